@@ -60,7 +60,7 @@ def _repeat_words(words: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(with_hashes(F.size(words), words))
+    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(with_hashes(F.size(w), w)))
 
 
 def _count(text: Column, kept: str) -> Column:
