@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def record_batches(batch: pa.RecordBatch, text: str, most_bytes: int = 8_000_000
     """Cut a batch into slices of about most_bytes of text (one row at least), to bound a worker's memory."""
     if batch.num_rows == 0:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     if sizes.sum() <= most_bytes:
         yield batch
         return

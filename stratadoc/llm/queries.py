@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_dedup, quality_rules, token_counts
 
 BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHAPE_FEATURES = ["n_lines", "n_shouts"]
@@ -26,8 +26,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judge(measured, ready=names).select("doc_id", *BASE_FEATURES, base.alias("base_failed"), "kept", *SHAPE_FEATURES)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted into an empty index, then freed of the lines that an earlier one holds."""
+    docs = documents(spark, sf_dir)
+    kept = line_dedup.LineIndex(spark, min_chars=10).insert(docs).dedup(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents in the vocabulary of piece_bpe_32k.model."""
+    counted = token_counts.count_tokens(documents(spark, sf_dir))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
+    "op6_token_counts": op6_token_counts,
 }
 
 _SPACE = r"[ \t\n\x0b\x0c\r]"
@@ -61,5 +76,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept,
        n_lines, n_shouts
 FROM g
+""",
+    "op2_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), repeated AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+  SELECT doc_id, i, line, coalesce(doc_id <> first_doc, false) AS dropped FROM keyed LEFT JOIN repeated ON keyed.k = repeated.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
 """,
 }
