@@ -156,9 +156,9 @@ def _key_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(flat.to_pylist()), "<u8").reshape(-1, 2)
 
 
-_POSTINGS = T.StructType.fromDDL("shard int, key binary, doc_id bigint")
-_COUNTS = T.StructType.fromDDL("shard int, key binary, n_docs bigint, first_doc bigint, last_doc bigint")
-_PROBED = T.StructType(_COUNTS.fields + T.StructType.fromDDL("maybe_seen boolean, blob binary").fields)
+_POSTINGS = "shard int, key binary, doc_id bigint"
+_COUNT_COLUMNS = ["shard", "key", "n_docs", "first_doc", "last_doc"]
+_PROBED = "shard int, key binary, n_docs bigint, first_doc bigint, last_doc bigint, maybe_seen boolean, blob binary"
 _PROBED_ARROW = pa.schema([("shard", pa.int32()), ("key", pa.binary()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("maybe_seen", pa.bool_()), ("blob", pa.binary())])
 
 
@@ -244,7 +244,7 @@ class LineIndex:
         else:
             probed = keep.table(self.filters.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInArrow(_probe_known, _PROBED), "probed")
         filters = probed.where("blob is not null").select("shard", "blob")
-        columns = [f.name for f in _COUNTS]
+        columns = _COUNT_COLUMNS
         new = probed.where("blob is null and not maybe_seen").select(columns)
         if self.filters is None:
             return self._with(filters, posted, new)
@@ -280,7 +280,7 @@ class LineIndex:
         columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
         drops = self.scratch.table(self.drops(), "drops").withColumnsRenamed({"doc_id": "__drop_id", "keys": "__keys"})
         joined = docs.select(columns).join(drops, F.col("doc_id").cast("long") == F.col("__drop_id"), "left").drop("__drop_id")
-        kind = T.StructType([docs.schema[c] for c in columns] + T.StructType.fromDDL("n_lines bigint, n_dropped bigint").fields)
+        kind = T.StructType([docs.schema[c] for c in columns] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
         return joined.mapInArrow(_without(self.min_chars), kind)
 
 

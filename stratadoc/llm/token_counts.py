@@ -188,5 +188,5 @@ def count_tokens(df: DataFrame, text: str = "text", *, model: str | None = None)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(counter.count(texts), pa.int64())], [*kept, "n_bytes", "n_tokens"])
 
     kept = [c for c in columns if c != text]
-    kind = T.StructType([df.schema[c] for c in kept] + T.StructType.fromDDL("n_bytes bigint, n_tokens bigint").fields)
+    kind = T.StructType([df.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return df.select(*kept, text).mapInArrow(run, kind)
