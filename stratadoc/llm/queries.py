@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, token_counts
+from . import line_dedup, minhash, quality_rules, token_counts
 
 BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHAPE_FEATURES = ["n_lines", "n_shouts"]
@@ -33,6 +33,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 4-word shingles at a similarity of 0.8."""
+    near = minhash.NearDuplicates(shingle_words=4, percent=80)
+    return near.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents in the vocabulary of piece_bpe_32k.model."""
     counted = token_counts.count_tokens(documents(spark, sf_dir))
@@ -42,6 +48,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
 }
 
