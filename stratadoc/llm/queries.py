@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, quality_rules, token_counts
+from . import fingerprints, line_dedup, minhash, quality_rules, secret_scan, token_counts
 
 BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHAPE_FEATURES = ["n_lines", "n_shouts"]
@@ -39,17 +39,54 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, whose second half comes from the next document."""
+    n = F.length("text")
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    paired = fingerprints.with_next(docs, derive={"print": fingerprints.fingerprint(F.col("text"))})
+    half = F.floor(n / 2).cast("int")
+    edited = paired.withColumn("edited", F.concat(F.left("text", n - half), F.left("__next", half)))
+    edited = edited.withColumn("edited_print", fingerprints.fingerprint(F.col("edited")))
+    return edited.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_string(F.col("print")).alias("fingerprint"),
+        fingerprints.as_string(F.col("edited_print")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        fingerprints.likeness(F.col("print"), F.col("__next_print")).alias("near_next"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents in the vocabulary of piece_bpe_32k.model."""
     counted = token_counts.count_tokens(documents(spark, sf_dir))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all documents, each distinct text scanned once through an empty ledger."""
+    found = secret_scan.BlobLedger(spark).scan(documents(spark, sf_dir), path="doc_id")
+    spans = F.col("spans")
+    n = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    base = F.filter(spans, lambda s: s["kind"] < len(secret_scan.BASE_KINDS))
+    return found.select(
+        F.col("path").alias("doc_id"),
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_counts": op6_token_counts,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 _SPACE = r"[ \t\n\x0b\x0c\r]"
