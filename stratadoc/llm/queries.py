@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, minhash, quality_rules, secret_scan, token_counts
+from . import fingerprints, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, token_counts, url_filter
 
 BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHAPE_FEATURES = ["n_lines", "n_shouts"]
@@ -80,13 +80,53 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target weights of the tree; names that aren't listed weigh 1.
+MIX_WEIGHTS = {"domain": {"web": 6, "books": 3}, "lang": {"en": 5, "de": 2, "fr": 2}, "source": {"src0": 3, "src1": 2}}
+
+
+def mix_domain(source: str = "source"):
+    """The domain of a source, by the last digit of its name."""
+    last = F.right(F.coalesce(F.col(source), F.lit("")), F.lit(1))
+    return F.when(last.isin(*"01234"), "web").when(last.isin(*"56789"), "books").otherwise("other")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 60 % of their words, up to two epochs a leaf."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    return mixing.select(docs, mix_domain(), MIX_WEIGHTS, percent=60, max_epochs=2, seed=1)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens at most."""
+    return packing.pack(documents(spark, sf_dir), 1024)
+
+
+#: The rules of the URL query.
+URL_RULES = (
+    url_filter.UrlRule("allow", "org", "/"),
+    url_filter.UrlRule("block", "example.org", "/es/"),
+    url_filter.UrlRule("block", "example.org", "/en/1"),
+    url_filter.UrlRule("allow", "com", "/fr/"),
+    url_filter.UrlRule("block", "com", "/de/"),
+)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's URL, by rule or by trees."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.UrlFilter(URL_RULES).judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_counts": op6_token_counts,
+    "op7_source_mixing": op7_source_mixing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_url_filter": op10_url_filter,
 }
 
 _SPACE = r"[ \t\n\x0b\x0c\r]"
@@ -135,5 +175,58 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op7_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id,
+         CASE WHEN right(coalesce(source, ''), 1) IN ('0', '1', '2', '3', '4') THEN 'web'
+              WHEN right(coalesce(source, ''), 1) IN ('5', '6', '7', '8', '9') THEN 'books' ELSE 'other' END AS domain,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(2 * sum(n_tokens) AS BIGINT) AS capacity FROM d GROUP BY ALL
+), root AS (
+  SELECT least(CAST(sum(tokens) AS BIGINT) * 60 // 100, CAST(sum(capacity) AS BIGINT)) AS budget FROM leaf
+), a0 AS (
+  SELECT domain, CAST(sum(capacity) AS BIGINT) AS capacity, CASE domain WHEN 'web' THEN 6 WHEN 'books' THEN 3 ELSE 1 END AS w, any_value(budget) AS budget FROM leaf, root GROUP BY domain
+), a1 AS (
+  SELECT *, coalesce(CAST(sum(capacity) OVER (ORDER BY capacity / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS spent,
+         CAST(sum(w) OVER (ORDER BY capacity / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS w_left FROM a0
+), a2 AS (SELECT *, capacity * w_left <= (budget - spent) * w AS capped FROM a1
+), a3 AS (
+  SELECT *, coalesce(CAST(sum(capacity) FILTER (WHERE capped) OVER () AS BIGINT), 0) AS used, CAST(sum(w) FILTER (WHERE NOT capped) OVER () AS BIGINT) AS w_open FROM a2
+), domains AS (SELECT domain, CASE WHEN capped THEN capacity ELSE (budget - used) * w // w_open END AS budget FROM a3
+), b0 AS (
+  SELECT domain, lang, CAST(sum(capacity) AS BIGINT) AS capacity, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w, any_value(budget) AS budget
+  FROM leaf JOIN domains USING (domain) GROUP BY domain, lang
+), b1 AS (
+  SELECT *, coalesce(CAST(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS spent,
+         CAST(sum(w) OVER (PARTITION BY domain ORDER BY capacity / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS w_left FROM b0
+), b2 AS (SELECT *, capacity * w_left <= (budget - spent) * w AS capped FROM b1
+), b3 AS (
+  SELECT *, coalesce(CAST(sum(capacity) FILTER (WHERE capped) OVER (PARTITION BY domain) AS BIGINT), 0) AS used, CAST(sum(w) FILTER (WHERE NOT capped) OVER (PARTITION BY domain) AS BIGINT) AS w_open FROM b2
+), langs AS (SELECT domain, lang, CASE WHEN capped THEN capacity ELSE (budget - used) * w // w_open END AS budget FROM b3
+), c0 AS (
+  SELECT domain, lang, source, tokens, capacity, CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 ELSE 1 END AS w, budget FROM leaf JOIN langs USING (domain, lang)
+), c1 AS (
+  SELECT *, coalesce(CAST(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS spent,
+         CAST(sum(w) OVER (PARTITION BY domain, lang ORDER BY capacity / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS w_left FROM c0
+), c2 AS (SELECT *, capacity * w_left <= (budget - spent) * w AS capped FROM c1
+), c3 AS (
+  SELECT *, coalesce(CAST(sum(capacity) FILTER (WHERE capped) OVER (PARTITION BY domain, lang) AS BIGINT), 0) AS used, CAST(sum(w) FILTER (WHERE NOT capped) OVER (PARTITION BY domain, lang) AS BIGINT) AS w_open FROM c2
+), budgets AS (
+  SELECT domain, lang, source, tokens, CASE WHEN capped THEN capacity ELSE (budget - used) * w // w_open END AS budget FROM c3
+), e AS (
+  SELECT *, CASE WHEN tokens > 0 THEN least(budget // tokens, 2) ELSE 1 END AS epochs FROM budgets
+), held AS (
+  SELECT d.*, e.epochs, CASE WHEN e.epochs < 2 THEN e.budget - e.epochs * e.tokens ELSE -1 END AS rest, md5('1:' || e.epochs || ':' || d.doc_id) AS key
+  FROM d JOIN e USING (domain, lang, source)
+), running AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM held
+), taken AS (
+  SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest >= 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM running
+)
+SELECT * FROM taken WHERE copies > 0
 """,
 }
