@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, token_counts, url_filter
+from . import fingerprints, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_counts, url_filter
 
 BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHAPE_FEATURES = ["n_lines", "n_shouts"]
@@ -33,6 +33,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that start earlier."""
+    return suffix_dedup.dedup_substrings(documents(spark, sf_dir), size=100, keep=False)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 4-word shingles at a similarity of 0.8."""
     near = minhash.NearDuplicates(shingle_words=4, percent=80)
@@ -120,6 +125,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_counts": op6_token_counts,
