@@ -6,13 +6,14 @@ N_COORDS minima; each (coordinate, value) pair is a token with a posting list.
 
 Two classes whose signatures agree in MATCHES coordinates or more are candidates. Tokens are
 ordered by the length of their lists: the MATCHES - 1 longest lists of a class are skipped, since
-candidates must meet in one of the others (its prefix); lists of one are no lists. Inside a list
-each class is paired with a pivot. Collisions of a pair are counted over all coordinates, pairs
+candidates must meet in one of the others (its prefix); lists of one are no lists. Shingles that no
+other listed class has are counted: two classes can share no more than the rest of either, which
+rules out classes and pairs for good. Inside a list each class is paired with a pivot. Collisions of a pair are counted over all coordinates, pairs
 below MATCHES go, the others are confirmed on full shingle sets. Components follow; lists whose
-classes aren't all in one component yet get a second pivot, and at last every pair that joins
-a class outside the list's largest component to a class of another component. So no pair that
-could join two components goes unseen, and a list of many copies costs as many pairs as it has
-classes.
+classes aren't all in one component yet get a second pivot. At last the classes that stay outside
+their lists' largest component are met in blocks with all classes of these lists, on full sets; a
+block gives its links alone. So no pair that could join two components goes unseen, and a list of
+many copies costs as many rows as it has classes.
 
 At N_COORDS = 48 and MATCHES = 26 a pair of similarity 0.8 is missed as a candidate with a
 probability of about 3 in a million, of 0.85 about 1 in 10**9.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ from .components import connected_components
 N_COORDS, MATCHES = 48, 26
 #: Hashes of shingles are kept to so many bits; within a sorted batch the document's number stands above them.
 HASH_BITS = 50
+#: Classes and shingles of a block in which links are sought that pivots haven't found, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 400, 1_000_000
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -153,6 +157,40 @@ def _sets(size: int):
     return run
 
 
+def _links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        empty = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        if not asks.any() or asks.all():
+            return empty
+        most = table.column("most")[0].as_py()
+        sides = []
+        for mine in (asks, ~asks):
+            part = table.filter(pa.array(mine))
+            lists = part.column("shingles").combine_chunks()
+            sides.append((part.column("node").to_numpy(), part.column("component").to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)))
+        (x, cx, nx, sx), (y, cy, ny, sy) = sides
+        common = np.intersect1d(sx, sy)
+        met = np.zeros((len(x), len(y)), np.float32)
+        places = [(np.repeat(np.arange(len(n)), n), np.searchsorted(common, s), s) for n, s in ((nx, sx), (ny, sy))]
+        for at in range(0, len(common), 4096):
+            width = min(4096, len(common) - at)
+            parts = []
+            for (row, place, s), n in zip(places, (len(x), len(y))):
+                here = np.flatnonzero((place >= at) & (place < at + width))
+                here = here[common[place[here]] == s[here]]
+                dense = np.zeros((n, width), np.float32)
+                dense[row[here], place[here] - at] = 1
+                parts.append(dense)
+            met += parts[0] @ parts[1].T
+        met = np.rint(met).astype(np.int64)
+        linked = (100 * met >= percent * (nx[:, None].astype(np.int64) + ny[None, :] - met)) & (cx[:, None] != cy[None, :]) & ((cy == most)[None, :] | (x[:, None] < y[None, :]))
+        i, j = np.nonzero(linked)
+        return pa.table([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j]))], names=["a", "b"])
+
+    return run
+
+
 def _agreements(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
@@ -174,6 +212,19 @@ class NearDuplicates:
         scratch.drop(lists)
         return out
 
+    def _bounded(self, lists: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+        """lists with size and shared, the most shingles that a class can have in common with another; without those that can't be similar to any."""
+        own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+        own = scratch.table(own.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "own")
+        bounds = sets.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+        bounds = scratch.table(bounds.where(100 * F.col("shared") >= self.percent * F.col("size")), "bounds")
+        return scratch.table(lists.join(bounds, "node").select("token", "node", "size", "shared"), "lists")
+
+    def _possible(self, x: str, y: str) -> Column:
+        """Whether the bounds of two classes leave room for similarity."""
+        sizes, met = F.col(f"size{x}") + F.col(f"size{y}"), F.least(f"shared{x}", f"shared{y}", f"size{x}", f"size{y}")
+        return 100 * met >= self.percent * (sizes - met)
+
     def _confirmed(self, pairs: DataFrame, signatures: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
         """a, b of the pairs that agree in enough coordinates and are similar on their full sets."""
         near = pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
@@ -205,25 +256,22 @@ class NearDuplicates:
         with_text = texts.withColumnRenamed("doc_id", "node").join(posted, "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
         sets = scratch.table(with_text.mapInArrow(_sets(self.size), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
         held = scratch.table(posted.join(signatures, "node"), "held")
+        lists = self._bounded(lists, sets, scratch)
 
         pivots = scratch.table(lists.groupBy("token").agg(F.min("node").alias("pivot")), "pivots")
         pairs = scratch.table(lists.join(pivots, "token").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         links = self._confirmed(pairs, held, sets, scratch)
         labels = connected_components(links, scratch)
-        for last in (False, True):
-            open_ = self._open_lists(lists, labels, scratch)
-            if last:
-                more = open_.where("component <> most").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), "most")
-                more = scratch.table(more, "outside").join(open_.select("token", F.col("node").alias("y"), F.col("component").alias("cy"), "n"), "token").where("cx <> cy and (cy = most or x < y)")
-                more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            else:
-                chosen = open_.where("component <> most").groupBy("token").agg(F.max_by(F.struct(F.col("node").alias("pivot"), F.col("component").alias("own")), F.xxhash64("node", "token")).alias("p"))
-                more = open_.join(scratch.table(chosen.select("token", "p.pivot", "p.own"), "pivots"), "token").where("component <> own").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-            more = scratch.table(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-            pairs = scratch.table(pairs.unionByName(more), "tried")
-            found = self._confirmed(more, held, sets, scratch)
-            links = scratch.table(links.unionByName(found), "links")
-            labels = connected_components(links, scratch)
+        open_ = self._open_lists(lists, labels, scratch)
+        side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("node", "component", "size", "shared")]
+        pivot = open_.where("component <> most").groupBy("token").agg(F.max_by(F.struct(*side("x")), F.xxhash64("node", "token")).alias("p")).select("token", "p.*")
+        more = scratch.table(pivot, "pivots").join(open_.select("token", "n", *side("y")), "token").where("componentx <> componenty").where(self._possible("x", "y"))
+        more = more.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+        more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = scratch.table(links.unionByName(self._confirmed(more, held, sets, scratch)), "links")
+        labels = connected_components(links, scratch)
+        links = scratch.table(links.unionByName(self._in_blocks(self._open_lists(lists, labels, scratch), sets, scratch)), "links")
+        labels = connected_components(links, scratch)
         part = labels.withColumnRenamed("node", "label_node")
         resolved = scratch.table(named.join(part, named.node == part.label_node, "left").select(*key, F.coalesce("component", "node").alias("component_id")), "resolved")
         same = [signed[k] == resolved[k] for k in key]
@@ -233,12 +281,28 @@ class NearDuplicates:
     @staticmethod
     def _open_lists(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
         """token, node, component, most, n of the lists with two components or more; most is the one with most classes."""
-        held = scratch.table(lists.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component")), "labelled")
+        held = scratch.table(lists.join(labels, "node", "left").select("token", "node", "size", "shared", F.coalesce("component", "node").alias("component")), "labelled")
         n = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
         mixed = n.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max_by("component", F.struct("k", "component")).alias("most")).where("n > 1")
         mixed = scratch.table(mixed, "mixed")
         return scratch.table(held.join(mixed, "token"), "open")
 
+    def _in_blocks(self, open_: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+        """a, b: the links that remain between components of open lists.
+
+        The classes of lists with the same largest component are one group. Its classes outside that
+        component are a query set, met with all of the group in blocks; a block's intersections are one
+        matrix product, and only links leave it.
+        """
+        nodes = open_.select("most", "node", "component", "size").distinct()
+        sized = nodes.groupBy("most").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+        nodes = scratch.table(nodes.join(sized, "most").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "grouped")
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        query = nodes.where("component <> most").select("most", "node", "component", F.col("own").alias("i"), F.explode(others).alias("j"), F.lit(True).alias("asks"))
+        rows = nodes.select("most", "node", "component", F.explode(others).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+        met = scratch.table(query.unionByName(rows), "blocks").join(sets, "node")
+        return met.groupBy("most", "i", "j").applyInArrow(_links(self.percent), "a bigint, b bigint")
+
     def dedup(self, docs: DataFrame) -> DataFrame:
         """The rows of docs whose text is the first of its component; columns as they are."""
         judged = self.components(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
