@@ -158,7 +158,8 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", *, derive:
         copy = F.struct(earlier[own].alias("b"), (F.col("__k") == firsts[0]).alias("wrap"), F.lit(True).alias("copy"))
         places = F.when(F.col("__k").isin(firsts), F.array(home, copy)).otherwise(places)
     dealt = df.withColumn("__k", low).withColumn("__at", F.explode(places)).withColumn("__tie", F.xxhash64(text))
-    order = Window.partitionBy("__at.b").orderBy("__at.wrap", "__k", "__tie")
+    dealt = dealt.withColumns({"__b": F.col("__at.b"), "__wrap": F.col("__at.wrap"), "__copy": F.col("__at.copy")}).drop("__at")
+    order = Window.partitionBy("__b").orderBy("__wrap", "__k", "__tie")
     out = dealt.withColumn("__next", F.lead(F.coalesce(text, F.lit(""))).over(order)).withColumns(derive or {})
     out = out.withColumns({f"__next_{name}": F.lead(name).over(order) for name in derive or {}})
-    return out.where("not __at.copy").drop("__k", "__at", "__tie")
+    return out.where("not __copy").drop("__k", "__b", "__wrap", "__copy", "__tie")
