@@ -168,8 +168,8 @@ class Cascade:
 
     def judge(self, df: DataFrame, text: str = "text", kept: str = "kept", ready: Sequence[str] = ()) -> DataFrame:
         """df with a boolean column."""
-        held = df.withColumn("__words", _words(F.col(text)))
-        return held.withColumn(kept, self.verdict(F.col(text), F.col("__words"), ready)).drop("__words")
+        # the words are bound inside the expression, so a filter on the verdict that is pushed down splits them once too
+        return df.withColumn(kept, let(_words(F.col(text)), lambda words: self.verdict(F.col(text), words, ready)))
 
 
 def with_features(df: DataFrame, names: Sequence[str], text: str = "text") -> DataFrame:
