@@ -14,7 +14,9 @@ and neighbouring windows with one anchor form a stretch of text, found by rollin
 3. The marks of a document are cut from its text.
 
 What a stage passes on are packed arrays by shard or bucket, not rows, and shards and buckets grow in
-number with the input. A stretch that very many documents hold is one entry a task.
+number with the input. A stretch that very many documents hold is one entry a task, a window that
+does is one a shard. An anchor with many contents in one task has these spread over shards; its own
+shard is told, and all its contents are then met as those of a split anchor.
 
 Defined results: a null text is empty. Rows without doc_id take no part and stay whole. doc_id is a
 key: rows that repeat it count as one document and should repeat its text. Matches don't cross
@@ -38,9 +40,13 @@ from .minhash import _mix, _powers
 
 SIZE, ANCHOR = 100, 32
 #: Text of a shard or bucket, about; and the least number of these.
-SHARD_BYTES, LEAST_SHARDS = 24_000_000, 64
+SHARD_BYTES, LEAST_SHARDS = 12_000_000, 128
+#: Text that is rolled over at once; its arrays take about a hundred times as much.
+SLICE_BYTES = 1_500_000
 #: Contents of an anchor that are sorted in one block, at most; bytes that are sorted in one call, about.
 BLOCK_CONTENTS, CALL_BYTES = 24, 600_000
+#: Contents of an anchor in one task from which they are spread over shards.
+SPREAD_CONTENTS = 16
 _PLACE_BITS = 28
 
 #: A stretch: anchor and content by hash, document, first window, number of windows.
@@ -48,11 +54,11 @@ STRETCH = np.dtype([("a", "<u8"), ("x", "<u8"), ("d", "<i8"), ("s", "<u4"), ("n"
 #: Windows of a document that go.
 MARK = np.dtype([("d", "<i8"), ("s", "<u4"), ("n", "<u2")])
 #: A stretch to fetch, with the number of its anchor's block (0: the only one).
-FETCH = np.dtype([("a", "<u8"), ("d", "<i8"), ("s", "<u4"), ("n", "<u2"), ("k", "<u4")])
+FETCH = np.dtype([("a", "<u8"), ("d", "<i8"), ("s", "<u4"), ("n", "<u2"), ("k", "<u8")])
 #: A window by hash, and its first place in a block.
 WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("d", "<i8"), ("s", "<u4")])
 _BLOBS = "kind int, part int, blob binary"
-_MARKS, _FETCHES, _WINDOWS, _STRETCHES, _TEXTS = range(5)
+_MARKS, _FETCHES, _WINDOWS, _STRETCHES, _TEXTS, _SPREAD, _SPREAD_ANCHORS = range(7)
 
 
 def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +146,7 @@ def _stretch_pass(size: int, anchor: int, n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for whole in batches:
-            for batch in record_batches(whole, "text", 4_000_000):
+            for batch in record_batches(whole, "text", SLICE_BYTES):
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 data, offsets = _flat(batch, "text")
                 doc, first, n, a, x = stretches(data, offsets, size, anchor)
@@ -153,7 +159,14 @@ def _stretch_pass(size: int, anchor: int, n_shards: int):
             every = every[order]
             rows = _blobs(_MARKS, _as_marks(every[gone]), every["d"][gone] % n_shards)
             kept = every[~gone]
-            rows += _blobs(_STRETCHES, kept, (kept["a"] % np.uint64(n_shards)).astype(np.int64))
+            fresh = np.flatnonzero(np.r_[True, kept["a"][1:] != kept["a"][:-1]]) if len(kept) else np.zeros(0, int)
+            many = np.diff(np.r_[fresh, len(kept)])
+            spread = np.repeat(many >= SPREAD_CONTENTS, many)
+            home = (kept["a"] % np.uint64(n_shards)).astype(np.int64)
+            rows += _blobs(_STRETCHES, kept[~spread], home[~spread])
+            rows += _blobs(_SPREAD, kept[spread], (_mix(kept["a"] + _mix(kept["x"]))[spread] % np.uint64(n_shards)).astype(np.int64))
+            named = fresh[many >= SPREAD_CONTENTS]
+            rows += _blobs(_SPREAD_ANCHORS, kept["a"][named], home[named])
             yield from _table(rows).to_batches()
 
     return run
@@ -166,8 +179,12 @@ def _settle(n_buckets: int):
         rows = []
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         marks = [np.frombuffer(b, MARK) for k, b in zip(kinds, blobs) if k == _MARKS]
-        held = [np.frombuffer(b, STRETCH) for k, b in zip(kinds, blobs) if k == _STRETCHES]
-        if held:
+        part = int(table.column("part")[0].as_py())
+        wide = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, "<u8") for k, b in zip(kinds, blobs) if k == _SPREAD_ANCHORS)]))
+        for kind in (_STRETCHES, _SPREAD):
+            held = [np.frombuffer(b, STRETCH) for k, b in zip(kinds, blobs) if k == kind]
+            if not held:
+                continue
             every = np.concatenate(held)
             order, gone = _later(every, [every["a"], every["x"]])
             every = every[order]
@@ -177,12 +194,12 @@ def _settle(n_buckets: int):
             size = np.diff(np.r_[np.flatnonzero(fresh), len(kept)])
             within = np.arange(len(kept)) - np.repeat(np.flatnonzero(fresh), size)
             many = np.repeat(size, size)
-            # a repeated row of a document is there twice, with the same place
+            split = (many > BLOCK_CONTENTS) | np.isin(kept["a"], wide) | (kind == _SPREAD)
             out = np.empty(len(kept), FETCH)
             for c in ("a", "d", "s", "n"):
                 out[c] = kept[c]
-            out["k"] = np.where(many > BLOCK_CONTENTS, within // BLOCK_CONTENTS + 1, 0)
-            out = out[many > 1]
+            out["k"] = np.where(split, (2 * part + (kind == _SPREAD) << 32) + within // BLOCK_CONTENTS + 1, 0)
+            out = out[(many > 1) | split]
             rows += _blobs(_FETCHES, out, _bucket(out["d"], n_buckets))
         every = np.concatenate(marks) if marks else np.zeros(0, MARK)
         return _table(rows + _blobs(_MARKS, every, _bucket(every["d"], n_buckets)))
@@ -231,13 +248,15 @@ def _sort_contents(size: int, n_buckets: int, n_shards: int):
         block = np.cumsum(block) - 1
         weight = np.bincount(block, length[order])
         call = np.cumsum(weight) // CALL_BYTES
-        rows = []
+        done = []
         for c in np.unique(call):
             mine = order[call[block] == c]
-            marks, windows = _one_call(part[mine], block[call[block] == c], [data[b : b + n] for b, n in zip(begin[mine].tolist(), length[mine].tolist())], size)
-            rows += _blobs(_MARKS, marks, _bucket(marks["d"], n_buckets))
-            rows += _blobs(_WINDOWS, windows, (windows["h"] % np.uint64(n_shards)).astype(np.int64))
-        return _table(rows)
+            done.append(_one_call(part[mine], block[call[block] == c], [data[b : b + n] for b, n in zip(begin[mine].tolist(), length[mine].tolist())], size))
+        marks, windows = (np.concatenate(x) for x in zip(*done))
+        # windows of split anchors meet within the shard first, so that a frequent one is one entry a shard
+        more, windows = _first_windows(windows)
+        marks = np.concatenate([marks, more])
+        return _table(_blobs(_MARKS, marks, _bucket(marks["d"], n_buckets)) + _blobs(_WINDOWS, windows, (windows["h"] % np.uint64(n_shards)).astype(np.int64)))
 
     return run
 
@@ -315,16 +334,20 @@ def _merge(marks: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _first_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the windows that aren't the first of equal ones, and the first ones."""
+    order, gone = _later(windows, [windows["h"], windows["g"]])
+    every = windows[order]
+    marks = np.empty(int(gone.sum()), MARK)
+    marks["d"], marks["s"], marks["n"] = every["d"][gone], every["s"][gone], 1
+    return _merge(marks), every[~gone]
+
+
 def _meet(n_buckets: int):
     """A shard's windows of split anchors: all but the first of equal ones are marks."""
 
     def run(table: pa.Table) -> pa.Table:
-        every = np.concatenate([np.frombuffer(b, WINDOW) for b in table.column("blob").to_pylist()])
-        order, gone = _later(every, [every["h"], every["g"]])
-        every = every[order][gone]
-        marks = np.empty(len(every), MARK)
-        marks["d"], marks["s"], marks["n"] = every["d"], every["s"], 1
-        marks = _merge(marks)
+        marks, _ = _first_windows(np.concatenate([np.frombuffer(b, WINDOW) for b in table.column("blob").to_pylist()]))
         return _table(_blobs(_MARKS, marks, _bucket(marks["d"], n_buckets)))
 
     return run
