@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, compact, normalize_ocr, word_tokens
+from .text import ALNUM, compact, count_matches, normalize_ocr, word_tokens
 
 # Characters that count as garbage, besides control, surrogate and private-use ones.
 GARBAGE_TEXT = "�□■◆●▪▫"
@@ -47,12 +47,12 @@ def clamp(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
 
 
-def with_text_metrics(df: DataFrame, text: str = "text", *, garbage: str = GARBAGE_TEXT, prefix: str = "", compose: bool = True) -> DataFrame:
-    """df with meaningful_ratio, garbage_ratio, repetition_ratio (4 decimals), character_count, word_count."""
+def with_text_metrics(df: DataFrame, text: str = "text", *, garbage: str = GARBAGE_TEXT, prefix: str = "", compose: bool = True, normalized: str | None = None) -> DataFrame:
+    """df with meaningful_ratio, garbage_ratio, repetition_ratio (4 decimals), character_count, word_count, and the normalised text if it gets a name."""
     held = df.withColumn("__n", normalize_ocr(F.col(text), compose=compose))
     held = held.withColumns({"__c": compact(F.col("__n")), "__w": word_tokens(F.lower("__n"))})
     n, words = F.length("__c"), F.size("__w")
-    ratio = lambda pattern: (n - F.length(F.regexp_replace("__c", pattern, ""))) / n
+    ratio = lambda pattern: count_matches(F.col("__c"), pattern) / n
     out = held.withColumns({
         f"{prefix}meaningful_ratio": F.when(n == 0, 0.0).otherwise(half_up(ratio(ALNUM), 4)),
         f"{prefix}garbage_ratio": F.when(n == 0, 1.0).otherwise(half_up(ratio(rf"[{garbage}\p{{Cc}}\p{{Cs}}\p{{Co}}]"), 4)),
@@ -60,6 +60,8 @@ def with_text_metrics(df: DataFrame, text: str = "text", *, garbage: str = GARBA
         f"{prefix}character_count": n,
         f"{prefix}word_count": F.when(n == 0, 0).otherwise(words),
     })
+    if normalized:
+        out = out.withColumn(normalized, F.col("__n"))
     return out.drop("__n", "__c", "__w")
 
 

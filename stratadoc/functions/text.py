@@ -40,7 +40,7 @@ def strip(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """Without white space."""
-    return F.regexp_replace(text, SPACE, "")
+    return F.regexp_replace(text, f"{SPACE}+", "")
 
 
 def split_words(text: Column) -> Column:
@@ -49,12 +49,13 @@ def split_words(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    """Runs of word characters."""
+    return F.filter(F.split(text, f"[^{WORD[1:-2]}]+"), lambda w: w != "")
 
 
 def count_matches(text: Column, pattern: str) -> Column:
     """Characters of text in a one-character class."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
 
 def normalize_chars(text: Column, *, swap_ligature: bool = True, compose: bool = True) -> Column:

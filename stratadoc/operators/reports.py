@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact, persian_ratio
+from ..functions.text import compact, count_matches, persian_ratio
 
 # Routes that used OCR.
 OCR_ROUTES = ("full_page_ocr", "region_ocr", "combined")
@@ -56,7 +56,7 @@ def codepoint_classes(df: DataFrame, text: str = "text") -> DataFrame:
     # Classes by their range of code points.
     classes = (("space", r"\s"), ("digit", "[0-9]"), ("latin", "[A-Za-z]"), ("latin_extended", r"[\x{00C0}-\x{024F}]"), ("arabic", r"[\x{0600}-\x{06FF}]"), ("ascii_other", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"))
     body = F.coalesce(F.col(text), F.lit(""))
-    count = lambda p: (F.length(body) - F.length(F.regexp_replace(body, p, ""))).cast("long")
+    count = lambda p: count_matches(body, p).cast("long")
     each = df.select(*(count(p).alias(name) for name, p in classes), F.length(body).cast("long").alias("__all")).agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name, _ in classes), F.coalesce(F.sum("__all"), F.lit(0)).alias("__all"))
     rest = F.col("__all") - sum((F.col(name) for name, _ in classes), F.lit(0))
     pairs = F.array(*(F.struct(F.lit(name).alias("class"), F.col(name).alias("n")) for name, _ in classes), F.struct(F.lit("other").alias("class"), rest.alias("n")))
