@@ -151,3 +151,54 @@ def violations(pages: DataFrame) -> DataFrame:
         F.when((route == "rejected") & F.col("gate_passed"), "rejected_but_passed"),
     )
     return pages.withColumn("violation", F.explode(F.filter(rules, lambda r: r.isNotNull())))
+
+
+def native_regions(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Text blocks in points as regions in pixels, inside the page, from the top, right before left.
+
+    pages: page_id, page_width_points, page_height_points, rendered_width, rendered_height; blocks: page_id, text, left, top, right, bottom.
+    """
+    c = F.col
+    held = blocks.join(pages, "page_id")
+    place = lambda v, points, pixels: F.greatest(F.lit(0), F.least(c(pixels), F.round(c(v) * c(pixels) / c(points)).cast("int")))
+    held = held.select(
+        "page_id", "text", place("left", "page_width_points", "rendered_width").alias("left"), place("top", "page_height_points", "rendered_height").alias("top"),
+        place("right", "page_width_points", "rendered_width").alias("right"), place("bottom", "page_height_points", "rendered_height").alias("bottom"),
+    )
+    held = held.where((c("right") > c("left")) & (c("bottom") > c("top")))
+    return held.withColumn("reading_order", F.row_number().over(Window.partitionBy("page_id").orderBy("top", F.desc("right"), "left", "bottom", "text")) - 1)
+
+
+def all_regions(native: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Native regions, then those of the chosen OCR candidate with their order moved behind."""
+    n = native.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    moved = ocr.join(n, "page_id", "left").withColumn("reading_order", (F.col("reading_order") + F.coalesce("n", F.lit(0))).cast("int")).drop("n")
+    return native.withColumn("layer", F.lit("native")).unionByName(moved.withColumn("layer", F.lit("ocr")))
+
+
+def simple_type(characters: Column, score: Column, images: Column, *, least: int = 40) -> Column:
+    """The simpler classification: by length of the native text, its score and the images' share."""
+    return (
+        F.when((characters < 5) & (images >= 0.02), "scanned").when(characters < 5, "empty")
+        .when((characters >= least) & (score >= 60), F.when(images >= 0.25, "mixed").otherwise("digital"))
+        .when((images >= 0.15) | (score < 60), "mixed").otherwise("digital")
+    )
+
+
+def missing_languages(requested: Column, available: list[str]) -> Column:
+    """Languages of profiles like a+b that aren't installed."""
+    from ..functions.text import required_languages
+
+    return F.array_except(required_languages(requested), F.array(*map(F.lit, available)).cast("array<string>"))
+
+
+def require_languages(df: DataFrame, profiles: str, available: list[str]) -> DataFrame:
+    """df; a row that asks for a language that isn't installed raises."""
+    missing = missing_languages(F.col(profiles), available)
+    return df.where(F.when(F.size(missing) == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("missing languages: "), F.array_join(missing, ", "))).cast("boolean")))
+
+
+def usable_profiles(profiles: Column, available: list[str], fallback: str = "eng") -> Column:
+    """Profiles all of whose languages are installed; the fallback where none is."""
+    kept = F.filter(profiles, lambda p: F.size(F.array_except(F.split(p, r"\+"), F.array(*map(F.lit, available)))) == 0)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(fallback)))

@@ -443,3 +443,59 @@ def test_points_are_upserted(spark, tmp_path):
     assert [r.chunk_id for r in held.read(replace_document=True).collect()] == ["c2"]
     held.compact(str(tmp_path / "compact"))
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
+
+
+# Settings, contracts, regions
+
+
+def test_settings():
+    from stratadoc import config
+
+    assert config.Settings.read({}) == config.Settings() and config.Settings.read({"PDF_MODE": " Adaptive ", "MAX_CHUNK_WORDS": "9"}).max_chunk_words == 9
+    for bad in ({"PDF_MODE": "x"}, {"MAX_CHUNK_WORDS": "0"}, {"MAX_CHUNK_WORDS": "y"}, {"ALLOW_NEEDS_REVIEW": "maybe"}):
+        with pytest.raises(ValueError):
+            config.Settings.read(bad)
+    assert config.page_numbers("5, 1-3,2") == [1, 2, 3, 5]
+    for bad in ("", "0", "3-1", "a", "1-"):
+        with pytest.raises(ValueError):
+            config.page_numbers(bad)
+
+
+def test_public_metadata(spark):
+    from stratadoc import schema
+
+    df = spark.createDataFrame([({"API-Key": "x"}, ["ok"]), ({"text": "x", "file": "/home/a"}, ["api_key=abc"]), ({"pages": "3"}, ["see /home/x"])], "m map<string,string>, s array<string>")
+    out = df.select(schema.metadata_faults(F.col("m")).alias("m"), schema.message_faults(F.col("s")).alias("s")).collect()
+    assert [r.m for r in out] == [["secret_field"], ["text_copy", "absolute_path"], []] and [r.s for r in out] == [[], ["secret_value"], ["private_path"]]
+    with pytest.raises(Exception, match="contract: "):
+        schema.checked(df, schema.metadata_faults(F.col("m"))).collect()
+    blocks = spark.createDataFrame([("table", None, None), ("paragraph", [["a"]], None), ("heading", None, (0.0, 0.0, 0.0, 5.0)), ("odd", None, None), ("table", [["a"]], (0.0, 0.0, 1.0, 1.0))], f"block_type string, rows array<array<string>>, bbox {schema.BOX}")
+    assert sorted(r.fault for r in schema.table_faults(blocks).collect()) == ["block_type:odd", "box", "rows_without_table", "table_without_rows"]
+    for ddl in (schema.CHUNKS, schema.POINTS, schema.MANIFESTS, schema.BLOCKS, schema.PAGES, schema.JOBS):
+        assert spark.createDataFrame([], ddl).count() == 0
+
+
+def test_native_and_ocr_regions(spark):
+    page = spark.createDataFrame([("p", 600.0, 800.0, 1200, 1600)], "page_id string, page_width_points double, page_height_points double, rendered_width int, rendered_height int")
+    blocks = spark.createDataFrame([("p", "b", 10.0, 20.0, 100.0, 40.0), ("p", "a", 300.0, 20.0, 700.0, 40.0), ("p", "gone", 610.0, 0.0, 700.0, 10.0)], "page_id string, text string, left double, top double, right double, bottom double")
+    native = pages.native_regions(page, blocks)
+    assert [(r.text, r.left, r.right, r.reading_order) for r in native.orderBy("reading_order").collect()] == [("a", 600, 1200, 0), ("b", 20, 200, 1)]
+    ocr = spark.createDataFrame([("p", "o", 0, 0, 1, 1, 0)], "page_id string, text string, left int, top int, right int, bottom int, reading_order int")
+    assert {(r.text, r.reading_order) for r in pages.all_regions(native, ocr).collect()} == {("a", 0), ("b", 1), ("o", 2)}
+
+
+def test_languages_and_simple_policy(spark):
+    df = spark.createDataFrame([(["fas+eng", "ara"],)], "p array<string>")
+    assert df.select(pages.missing_languages(F.col("p"), ["eng", "fas"])).first()[0] == ["ara"]
+    assert df.select(pages.usable_profiles(F.col("p"), ["eng", "fas"])).first()[0] == ["fas+eng"] and df.select(pages.usable_profiles(F.col("p"), ["x"])).first()[0] == ["eng"]
+    with pytest.raises(Exception, match="missing languages: ara"):
+        pages.require_languages(df, "p", ["eng", "fas"]).collect()
+    kinds = [one(spark, pages.simple_type(F.col("a"), F.col("b"), F.col("c")), a=a, b=b, c=c) for a, b, c in ((0, 0.0, 0.5), (0, 0.0, 0.0), (90, 80.0, 0.5), (90, 80.0, 0.0), (20, 80.0, 0.0), (90, 10.0, 0.0))]
+    assert kinds == ["scanned", "empty", "mixed", "digital", "digital", "mixed"]
+    assert one(spark, candidates.simple_selection(F.col("a"), F.col("b"), F.lit(None)), a=50.0, b=50.0) == 62.5
+
+
+def test_duplicate_region_texts(spark):
+    df = spark.createDataFrame([("p", 1, "Hello  World one two"), ("p", 2, "hello world one two"), ("p", 3, "hello world one twoo"), ("p", 4, " "), ("p", 5, "other")], "page_id string, region_id int, text string")
+    assert sorted(r.region_id for r in candidates.distinct_texts(df).collect()) == [1, 5]
+    assert sorted(r.region_id for r in candidates.first_texts(df).collect()) == [1, 3, 4, 5]
