@@ -41,6 +41,8 @@ from .components import connected_components
 N_COORDS, MATCHES = 48, 26
 #: Hashes of shingles are kept to so many bits; within a sorted batch the document's number stands above them.
 HASH_BITS = 50
+#: Text that is shingled at once; its arrays take about fifty times as much.
+SLICE_BYTES = 2_000_000
 #: Classes and shingles of a block in which links are sought that pivots haven't found, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 400, 1_000_000
 _SPACES = np.zeros(256, bool)
@@ -123,7 +125,7 @@ def _signatures(size: int, n_coords: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in record_batches(whole, "text", 4_000_000):
+            for batch in record_batches(whole, "text", SLICE_BYTES):
                 n = batch.num_rows
                 docs, hashes = shingle_sets(batch.column("text"), size)
                 sizes, full, starts = _segments(docs, n)
@@ -148,7 +150,7 @@ def _signatures(size: int, n_coords: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in record_batches(whole, "text", 4_000_000):
+            for batch in record_batches(whole, "text", SLICE_BYTES):
                 docs, hashes = shingle_sets(batch.column("text"), size)
                 sizes, _, _ = _segments(docs, batch.num_rows)
                 at = np.r_[0, np.cumsum(sizes)].astype(np.int32)
