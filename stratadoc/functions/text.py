@@ -24,9 +24,13 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Characters that composition leaves as they are, in any company: ASCII, inverted marks and quotes, Latin letters with marks.
+STABLE = r"\x00-\x7F\x{A1}\x{AB}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}"
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; ASCII texts never leave the JVM's expression, where they are unchanged."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """Compatibility composition; texts of stable characters only are passed by, so Python sees nulls for them."""
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
 
 
 def squeeze(text: Column) -> Column:

@@ -48,6 +48,17 @@ def test_display(spark):
     assert spark.range(1).select(text.required_languages(F.array(F.lit("fas+eng"), F.lit("eng+ara")))).first()[0] == ["fas", "eng", "ara"]
 
 
+def test_stable_characters_are_stable(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x200)]
+    df = spark.createDataFrame([(c, unicodedata.normalize("NFKC", c) == c) for c in chars], "c string, same boolean")
+    assert df.where(F.col("c").rlike(f"^[{text.STABLE}]$") & ~F.col("same")).count() == 0
+    held = ["été e\u0301", "Straße", "x\u00b2", "plain", None, "ﬁn"]
+    out = spark.createDataFrame([(i, h) for i, h in enumerate(held)], "i int, h string").select("i", text.nfkc(F.col("h")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in out] == [None if h is None else unicodedata.normalize("NFKC", h) for h in held]
+
+
 # Ids
 
 
