@@ -122,7 +122,7 @@ def as_string(print_: Column) -> Column:
 
 
 #: Rows of a bucket of neighbours, about; more where there are more than MOST_BUCKETS of these.
-BUCKET_ROWS, MOST_BUCKETS = 2048, 1024
+BUCKET_ROWS, MOST_BUCKETS = 2048, 65_536
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", *, derive: dict[str, Column] | None = None) -> DataFrame:
@@ -140,23 +140,33 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", *, derive:
     cuts = ids.agg(F.percentile_approx("k", [i / n_buckets for i in range(1, n_buckets)], 100_000)).first()[0] if n_buckets > 1 else []
     cuts = sorted(set(cuts or []))
 
-    def place(at: int, end: int) -> Column:
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  folded to one literal
+
+    def place(key_: Column) -> Column:
         """The number of cuts that are at most the key, by halving."""
-        if at == end:
-            return F.lit(at)
-        mid = (at + end) // 2
-        return F.when(F.col("__k") >= F.lit(cuts[mid]), place(mid + 1, end)).otherwise(place(at, mid))
-
-    own = place(0, len(cuts))
-    heads = [tuple(r) for r in ids.select(F.col("k").alias("__k")).groupBy(own.alias("b")).agg(F.min("__k")).orderBy("b").collect()]
-    firsts = [first for _, first in heads]
+        if not cuts:
+            return F.lit(0).cast("bigint")
+        bound = longs(cuts)
+
+        def halve(acc: Column, _: Column) -> Column:
+            middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+            open_, right = acc["lo"] < acc["hi"], key_ >= F.get(bound, middle)
+            return F.struct(F.when(open_ & right, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~right, middle).otherwise(acc["hi"]).alias("hi"))
+
+        start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.lit(len(cuts)).cast("bigint").alias("hi"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda acc: acc["lo"])
+
+    heads = [tuple(r) for r in ids.groupBy(place(F.col("k")).alias("b")).agg(F.min("k")).orderBy("b").collect()]
+    own, firsts = place(F.col("__k")), [first for _, first in heads]
     # the first rows of a bucket also go to the one before; those of the first bucket to the last, behind all others
-    earlier = F.create_map(*(F.lit(x) for i, (b, _) in enumerate(heads) for x in (b, heads[i - 1][0]))) if heads else None
-    home = F.struct(own.alias("b"), F.lit(False).alias("wrap"), F.lit(False).alias("copy"))
-    places = F.array(home)
+    earlier = [0] * (len(cuts) + 1)
+    for i, (b, _) in enumerate(heads):
+        earlier[b] = heads[i - 1][0]
+    home = lambda b: F.struct(b.alias("b"), F.lit(False).alias("wrap"), F.lit(False).alias("copy"))
+    places = let(own, lambda b: F.array(home(b)))
     if heads:
-        copy = F.struct(earlier[own].alias("b"), (F.col("__k") == firsts[0]).alias("wrap"), F.lit(True).alias("copy"))
-        places = F.when(F.col("__k").isin(firsts), F.array(home, copy)).otherwise(places)
+        copy = lambda b: F.struct(F.get(longs(earlier), b).alias("b"), (F.col("__k") == firsts[0]).alias("wrap"), F.lit(True).alias("copy"))
+        places = let(own, lambda b: F.when(F.col("__k").isin(firsts), F.array(home(b), copy(b))).otherwise(F.array(home(b))))
     dealt = df.withColumn("__k", low).withColumn("__at", F.explode(places)).withColumn("__tie", F.xxhash64(text))
     dealt = dealt.withColumns({"__b": F.col("__at.b"), "__wrap": F.col("__at.wrap"), "__copy": F.col("__at.copy")}).drop("__at")
     order = Window.partitionBy("__b").orderBy("__wrap", "__k", "__tie")
