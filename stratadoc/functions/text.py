@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 # Classes of characters, as Java regular expressions.
 #: White space as Python's str.split has it.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters.
+SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: Letters and digits; with the underscore, the characters of a word.
 ALNUM = r"[\p{L}\p{N}]"
 WORD = r"[\p{L}\p{N}_]+"
@@ -39,7 +41,8 @@ def squeeze(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at the ends."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def compact(text: Column) -> Column:
@@ -74,7 +77,8 @@ def normalize_ocr(text: Column, *, compose: bool = True) -> Column:
     """Presentation variants folded, line ends unified, blanks and blank lines reduced."""
     out = F.coalesce(text, F.lit(""))
     out = nfkc(out) if compose else out
-    out = F.translate(out, "\u064a\u0649\u0643\u0640\u200d\ufeff\u00ad", "\u06cc\u06cc\u06a9")  # the last four go
+    folded = F.translate(out, "\u064a\u0649\u0643\u0640\u200d\ufeff\u00ad", "\u06cc\u06cc\u06a9")  # the last four go
+    out = F.when(out.rlike(r"[\x{064A}\x{0649}\x{0643}\x{0640}\x{200D}\x{FEFF}\x{AD}]"), folded).otherwise(out)
     out = F.regexp_replace(out, r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[ \t\x{a0}]+", " ")
     out = F.regexp_replace(out, r" *\n *", "\n")
