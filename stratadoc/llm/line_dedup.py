@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 
 from .common import ASCII_SPACE, Scratch, record_batches
 
-KEY_BYTES = 16
+#: Documents whose lines go to a shard of the index, about.
+DOCS_A_SHARD = 20_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -229,6 +230,11 @@ class LineIndex:
         self.postings: DataFrame | None = None
         self.counts: DataFrame | None = None
 
+    @classmethod
+    def sized(cls, docs: DataFrame, **more: int) -> LineIndex:
+        """An empty index with a shard for every DOCS_A_SHARD rows of docs, so that shards keep their size as the input grows."""
+        return cls(docs.sparkSession, n_shards=max(256, docs.count() // DOCS_A_SHARD), **more)
+
     def _with(self, filters: DataFrame, postings: DataFrame, counts: DataFrame) -> LineIndex:
         out = LineIndex(self.spark, min_chars=self.min_chars, n_shards=self.n_shards)
         out.filters, out.postings, out.counts = filters, postings, counts

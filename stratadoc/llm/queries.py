@@ -29,7 +29,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted into an empty index, then freed of the lines that an earlier one holds."""
     docs = documents(spark, sf_dir)
-    kept = line_dedup.LineIndex(spark, min_chars=10).insert(docs).dedup(docs)
+    kept = line_dedup.LineIndex.sized(docs, min_chars=10).insert(docs).dedup(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
