@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,10 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="stratadoc-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Bytes of a batch between the JVM and Python, where the session leaves it at Spark's own 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches: both sides hold some of them for each task, outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of any Hadoop file system."""
     jvm = spark.sparkContext._jvm
@@ -45,6 +59,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/stratadoc-{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        bound_batches(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1

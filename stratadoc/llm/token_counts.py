@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import record_batches
+from .common import bound_batches, record_batches
 
 SPACE = "▁"
 LONG = 2048
@@ -187,6 +187,7 @@ def count_tokens(df: DataFrame, text: str = "text", *, model: str | None = None)
                 sizes = [len(x.encode()) for x in texts]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(counter.count(texts), pa.int64())], [*kept, "n_bytes", "n_tokens"])
 
+    bound_batches(df.sparkSession)
     kept = [c for c in columns if c != text]
     kind = T.StructType([df.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return df.select(*kept, text).mapInArrow(run, kind)
