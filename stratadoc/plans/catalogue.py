@@ -495,6 +495,24 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.selected(_gated(spark, sf_dir)).select(F.col("page_id").cast("long").alias("doc_id"), "route", "reason")
 
 
+def _gated_agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = candidates.scored(inputs.candidates(spark, sf_dir).repartition("page_id"))
+    return candidates.gated(candidates.with_agreement_each_way(held))
+
+
+@query()
+def candidate_gate_agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with agreement among a document's candidates, which SQL can't express; candidate_gate's SQL takes each candidate for a single one."""
+    held = _gated_agreed(spark, sf_dir)
+    return held.select(F.col("page_id").cast("long").alias("doc_id"), "candidate_no", "quality_score", "agreement_score", "selection_score", F.array_join("rejection_reasons", ",").alias("reasons"))
+
+
+@query()
+def candidate_selection_agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection from candidate_gate_agreed."""
+    return candidates.selected(_gated_agreed(spark, sf_dir)).select(F.col("page_id").cast("long").alias("doc_id"), "route", "reason")
+
+
 @query()
 def candidate_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement among the passages of a benchmark item: as it is, misread, without vowels."""

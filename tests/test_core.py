@@ -1,6 +1,7 @@
 """Operators of document analytics: hand-worked values, contracts, negative controls, plans."""
 
 import json
+import random
 import uuid
 from difflib import SequenceMatcher
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions import ids, quality, tables, text
 from stratadoc.operators import access, candidates, chunking, evaluate, layout, pages, rbac, reports, retrieval, upsert
+from stratadoc.plans import catalogue, inputs
 
 
 def one(spark, column, **values):
@@ -313,6 +315,46 @@ def test_gate_and_selection(spark):
     assert len(candidates.plans(["a", "b"], [3, 6, 11], ["x", "y"], most=8)) == 7
 
 
+def test_gate_and_selection_by_agreement(spark, tmp_path):
+    """Scores, reasons and routes of document candidates with agreement, against the rules by hand on each document's three."""
+    words = "other things that the brother thinks with a healthy thirst for truth and depth in every path of the north"
+    texts = {3: words, 4: f"{words} " * 9, 6: "aeiou eau oui aie " * 9, 7: "Straße thé " * 30, 8: "", 9: "x", 12: "the thin thug " * 40}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ours = {(int(r.page_id), r.candidate_no): r for r in candidates.scored(inputs.candidates(spark, str(tmp_path))).collect()}
+
+    def alike(a, b):
+        a, b = (" ".join(x.casefold().split()) for x in (a, b))
+        if not a or not b:
+            return 0.0
+        x, y = set(a.split()), set(b.split())
+        return round((SequenceMatcher(None, a, b).ratio() * 0.45 + len(x & y) / max(1, min(len(x), len(y))) * 0.55) * 100, 2)
+
+    gate = {(r.doc_id, r.candidate_no): r for r in catalogue.candidate_gate_agreed(spark, str(tmp_path)).collect()}
+    assert set(gate) == {(d, k) for d in texts for k in range(3)}
+    low = 0
+    for (d, k), r in gate.items():
+        row = ours[(d, k)]
+        agreement = sum(alike(row.text, ours[(d, o)].text) for o in range(3) if o != k) / 2
+        assert r.agreement_score == pytest.approx(agreement, abs=0.011)
+        assert r.selection_score == pytest.approx(max(0, min(100, row.quality_score * 0.45 + (row.mean_confidence or 0) * 0.35 + r.agreement_score * 0.20)), abs=0.011)
+        assert ("ocr_agreement_below_threshold" in r.reasons.split(",")) == (r.agreement_score < 45)
+        low += r.agreement_score < 45
+    assert 0 < low < len(gate)
+    for r in catalogue.candidate_selection_agreed(spark, str(tmp_path)).collect():
+        best = {route: max((g.selection_score for (d, k), g in gate.items() if d == r.doc_id and not g.reasons and (k == 1) == (route == "region_ocr")), default=None) for route in ("full_page_ocr", "region_ocr")}
+        full, region = best["full_page_ocr"], best["region_ocr"]
+        want = None if full is region is None else "region_ocr" if full is None or (region is not None and region >= full + 5) else "full_page_ocr"
+        assert r.route == want
+
+
+def test_matcher_ratio_is_that_of_difflib():
+    rng = random.Random(5)
+    for n in (0, 1, 30, 199, 200, 500):
+        for k in (1, 3, 20, 90):
+            a, b = ("".join(chr(97 + rng.randrange(k)) for _ in range(size)) for size in (rng.randint(0, n), n))
+            assert candidates.matcher_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
 def test_selection_scores(spark):
     base = spark.createDataFrame([candidate("p", 0, "x y", confidence=80.0)], CANDIDATE)
     held = base.withColumns({"quality_score": F.lit(85.25), "meaningful_ratio": F.lit(1.0), "garbage_ratio": F.lit(0.0), "repetition_ratio": F.lit(0.0), "word_count": F.lit(2)})
