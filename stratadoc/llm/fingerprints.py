@@ -6,7 +6,7 @@ lane modulo 2**LANE_BITS. So the order of paragraphs doesn't matter, and a parag
 or deleted by adding or subtracting its vector: combine() and retract() work on fingerprints alone.
 
 Beside the EXACT lanes, into which every paragraph is hashed densely and which decide equality,
-there are SPREAD lanes of counts modulo 2**16: a paragraph adds its length in characters to one of
+there are SPREAD lanes of counts modulo 2**32: a paragraph adds its length in characters to one of
 them, or takes it away, as its hash says. The product of two vectors of counts estimates the text
 that two multisets share, since what they don't share cancels out; likeness is that product over
 the larger of both squares, 0 for nothing in common (the error is about 1 / sqrt(SPREAD)).
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-EXACT, LANE_BITS, SPREAD, COUNT_BITS = 12, 56, 128, 16
+EXACT, LANE_BITS, SPREAD, COUNT_BITS = 12, 56, 128, 32
 _MASK, _COUNT_MASK = (1 << LANE_BITS) - 1, (1 << COUNT_BITS) - 1
-#: Counts are held four to a long.
-_PACK = 4
+#: Counts are held two to a long; the lengths of a text's paragraphs add up to less than half of 2**32.
+_PACK = 2
 #: A paragraph ends at a line break, a sentence at one of these and a space.
 _ENDS = r"\n|(?<=[.!?]) "
 
@@ -39,7 +39,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def _spread(parts: Column) -> Column:
-    """The SPREAD counts, four to a long; each paragraph is coded as its lane over its signed length modulo 2**16."""
+    """The SPREAD counts, two to a long; each paragraph is coded as its lane over its signed length modulo 2**32."""
 
     def code(p: Column) -> Column:
         size = F.length(p).cast("long")
@@ -58,7 +58,7 @@ def _spread(parts: Column) -> Column:
         )
 
     words = F.sequence(F.lit(0).cast("long"), F.lit(SPREAD // _PACK - 1).cast("long"))
-    return let(F.transform(parts, code), lambda codes: F.transform(words, lambda w: F.aggregate(F.filter(codes, lambda c: F.shiftright(c, 34) == w), F.lit(0).cast("long"), add)))
+    return let(F.transform(parts, code), lambda codes: F.transform(words, lambda w: F.aggregate(F.filter(codes, lambda c: F.shiftright(c, 33) == w), F.lit(0).cast("long"), add)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -109,7 +109,7 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1; 1 for equal fingerprints."""
 
     def of(both: Column) -> Column:
-        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0).cast("long"), lambda acc, z: acc + z)
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda acc, z: acc + z)
         x, y = both["x"], both["y"]
         most = F.greatest(dot(x, x), dot(y, y))
         return F.when(most == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), dot(x, y) / most))

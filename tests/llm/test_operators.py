@@ -181,6 +181,19 @@ def test_fingerprints_are_homomorphic(spark):
     assert row[:] == (True, True, True, False)
 
 
+def test_likeness_of_texts_that_repeat_a_line(spark):
+    """Counts of a line repeated to more than 16 bits hold; half of the text is half as much."""
+    texts = {n: "\n".join(["x" * 100] * n) for n in (200, 328, 400, 656)}
+    texts[65536] = "\n".join(["x" * 128] * 512)
+    df = spark.createDataFrame([(texts[a], texts[b], kept) for a, b, kept in ((400, 200, 0.5), (656, 328, 0.5), (656, 400, 400 / 656))] + [(texts[65536], "x" * 128, 1 / 512)], "a string, b string, kept double")
+    f = {c: fingerprints.fingerprint(F.col(c)) for c in "ab"}
+    for row in df.select(fingerprints.likeness(f["a"], f["b"]).alias("near"), "kept").collect():
+        assert row.near == pytest.approx(row.kept)
+    joined = fingerprints.combine(f["a"], f["b"])
+    assert [abs(sum(r[0])) for r in df.select(fingerprints.counts(joined)).collect()] == [60000, 98400, 105600, 65664]
+    assert df.select((fingerprints.retract(joined, f["b"]) == f["a"]).alias("same")).where("not same").count() == 0
+
+
 def test_next_rows_over_many_buckets(spark, monkeypatch, odd_docs, no_docs):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     ids = random.Random(2).sample(range(-500, 10_000), 300)
