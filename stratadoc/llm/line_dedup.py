@@ -9,9 +9,10 @@ Keys are dealt to shards by their first bytes. A LineIndex holds three tables in
 
 insert() probes and fills the filters shard by shard: keys that a filter doesn't know are new and
 go to the counts as they are; only the others are merged with exact rows. delete() takes the
-postings of documents away, lowers the counts, and takes keys without references out of the
-filters again, so that an insertion can be undone. A filter only ever spares work: what it
-answers with "maybe" is settled by the exact tables.
+postings of documents away, lowers the counts, and makes the filters anew of the keys that have
+references left, so that an insertion can be undone. (A key that came in by a false positive has no
+fingerprint of its own, and layers differ in size, so taking one away could be another key's.) A
+filter only ever spares work: what it answers with "maybe" is settled by the exact tables.
 
 Keys are counted before they are dealt to shards, so a line that a third of all documents hold is
 one row a shard and map task. Joins on keys read written tables, so that adaptive execution can
@@ -208,12 +209,11 @@ def _probe_known(filters: pa.Table, table: pa.Table) -> pa.Table:
     return _probe(blob, table, (filters if filters.num_rows else table).column("shard")[0].as_py())
 
 
-def _retract(filters: pa.Table, gone: pa.Table) -> pa.Table:
-    held = CuckooFilter.loads(filters.column("blob")[0].as_py() if filters.num_rows else None)
-    if gone.num_rows:
-        held.remove(_key_matrix(gone.column("key")))
-    shard = (filters if filters.num_rows else gone).column("shard")[0].as_py()
-    return pa.table([pa.array([shard], pa.int32()), pa.array([held.dumps()], pa.binary())], names=["shard", "blob"])
+def _refill(counts: pa.Table) -> pa.Table:
+    """The filter of a shard's keys that have references."""
+    held = CuckooFilter()
+    held.add(_key_matrix(counts.column("key")))
+    return pa.table([pa.array([counts.column("shard")[0].as_py()], pa.int32()), pa.array([held.dumps()], pa.binary())], names=["shard", "blob"])
 
 
 def _counted(postings: DataFrame) -> DataFrame:
@@ -265,10 +265,8 @@ class LineIndex:
         keep = self.scratch
         gone = doc_ids.select(F.col("doc_id").cast("long")).distinct()
         left = keep.table(self.postings.join(gone, "doc_id", "left_anti").select("shard", "key", "doc_id"), "postings")
-        touched = self.postings.join(gone, "doc_id", "left_semi").select("shard", "key").distinct()
         counts = keep.table(_counted(left), "counts")
-        lost = touched.join(counts, ["shard", "key"], "left_anti")
-        filters = keep.table(self.filters.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(_retract, "shard int, blob binary"), "filters")
+        filters = keep.table(counts.select("shard", "key").groupBy("shard").applyInArrow(_refill, "shard int, blob binary"), "filters")
         return self._with(filters, left, counts)
 
     def repeated(self) -> DataFrame:

@@ -68,6 +68,22 @@ def test_line_index_is_incremental_and_reversible(spark, docs):
     assert key(undone.insert(second)) == key(whole)
 
 
+@pytest.mark.parametrize("goes, stays", [(2, 0), (1, 1)])
+def test_deleting_one_of_two_keys_that_the_filter_confuses(spark, goes, stays):
+    """The second line's key is a false positive of the first one's filter; the key that stays is known after the other one goes."""
+    key = lambda line: np.frombuffer(line_dedup.line_key(line.encode(), 10), "<u8").reshape(-1, 2)
+    held = line_dedup.CuckooFilter()
+    held.add(key("the first line"))
+    many = [f"another line {i}" for i in range(1_500_000)]
+    lines = ["the first line", many[int(held.contains(np.concatenate([key(x) for x in many])).argmax())]]
+    assert held.contains(key(lines[1])).all()
+    of = lambda doc, line: spark.createDataFrame([(doc, line)], DOCS.split(", lang")[0])
+    index = line_dedup.LineIndex(spark, n_shards=1).insert(of(1, lines[0])).insert(of(2, lines[1]))
+    index = index.delete(of(goes, "").select("doc_id")).insert(of(3, lines[stays]))
+    assert [(bytes(r.key), r.n_docs) for r in index.counts.collect()] == [(key(lines[stays]).tobytes(), 2)]
+    assert [r.first_doc for r in index.repeated().collect()] == [stays + 1]
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, (20_000, 2)).astype(np.uint64)
