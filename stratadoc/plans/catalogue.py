@@ -369,6 +369,12 @@ def cer_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("item_id", F.round(evaluate.cer(F.replace("text", F.lit("th"), F.lit("d")), F.col("text")), 6).alias("cer"))
 
 
+@query()
+def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character error rates of all passages with th misread."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.round(evaluate.cer(F.replace("text", F.lit("th"), F.lit("d")), F.col("text")), 6).alias("cer"))
+
+
 @query()
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(evaluate.wer(F.regexp_replace("text", " (?:the|and) ", " "), F.col("text")), 6).alias("wer"))

@@ -430,6 +430,23 @@ def test_error_rates(spark):
     assert out[0].c == pytest.approx(1 / 9) and out[0].w == 0.5 and out[1][:] == out[2][:] == (None, None) and out[3].w == 1.0
 
 
+def test_cer_of_all_passages(spark, tmp_path):
+    """Every passage has a rate, by edits of code points."""
+    texts = ["the path", "thé où le théâtre", "کتاب the خانه", "日本 the 語😀", "Straße", "naïve other thing ☕"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    out = {r.item_id: r.cer for r in catalogue.cer(spark, str(tmp_path)).collect()}
+    assert out == {i: pytest.approx(edits(t.replace("th", "d"), t) / len(t), abs=1e-6) for i, t in enumerate(texts)}
+
+
 def test_durations_and_rates(spark):
     df = spark.createDataFrame([(10.0,), (20.0,), (30.0,)], "d double")
     assert evaluate.durations(df, "d").first()[:] == (3, 60.0, 20.0, 20.0, 30.0)
