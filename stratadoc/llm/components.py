@@ -18,14 +18,15 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.table(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "links")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
     while True:
-        told = both.join(labels.withColumnsRenamed({"node": "a"}), "a").select(F.col("b").alias("node"), "component")
-        least = scratch.table(labels.unionByName(told).groupBy("node").agg(F.min("component").alias("component")), "least")
+        told = both.join(labels.select(F.col("node").alias("a"), "component"), "a").select(F.col("b").alias("node"), "component", F.lit(None).cast("bigint").alias("before"))
+        own = labels.select("node", "component", F.col("component").alias("before"))
+        least = scratch.table(own.unionByName(told).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before")), "least")
         root = least.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = scratch.table(least.join(root, "component", "left").select("node", F.least(F.col("component"), F.coalesce("root", "component")).alias("component")), "jumped")
-        before = labels.withColumnsRenamed({"component": "before"})
-        changed = jumped.join(before, "node").where("component <> before").limit(1).count()
+        jumped = least.join(root, "component", "left").select("node", F.least(F.col("component"), F.coalesce("root", "component")).alias("component"), "before")
+        jumped = scratch.table(jumped, "jumped")
+        changed = jumped.where("component <> before").limit(1).count()
         scratch.drop(labels, least)
         labels = jumped
         if not changed:
             scratch.drop(both)
-            return labels
+            return labels.select("node", "component")

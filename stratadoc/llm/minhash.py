@@ -1,65 +1,62 @@
 """MinHash near-dedup by an inverted join of signature coordinates.
 
 A document is the set of its distinct word shingles (A-Z lower-cased, ASCII white space between
-words). Equal sets are one class, named by its smallest doc_id. A class has a signature of
-N_COORDS minima; each (coordinate, value) pair is a token with a posting list.
+words). A word is hashed to 64 bits by BLAKE2b keyed with ``secret``, a shingle to 64 bits of its
+words' hashes, so no text can be made to collide by one who doesn't know the secret; sets are
+compared by these hashes, where two different shingles are taken for one with a probability of
+2**-64. Equal sets are one class. A class has a signature of N_COORDS minima; each (coordinate,
+value) pair is a token with a posting list.
 
 Two classes whose signatures agree in MATCHES coordinates or more are candidates. Tokens are
 ordered by the length of their lists: the MATCHES - 1 longest lists of a class are skipped, since
 candidates must meet in one of the others (its prefix); lists of one are no lists. Shingles that no
 other listed class has are counted: two classes can share no more than the rest of either, which
-rules out classes and pairs for good. Inside a list each class is paired with a pivot. Collisions of a pair are counted over all coordinates, pairs
-below MATCHES go, the others are confirmed on full shingle sets. Components follow; lists whose
-classes aren't all in one component yet get a second pivot. At last the classes that stay outside
-their lists' largest component are met in blocks with all classes of these lists, on full sets; a
-block gives its links alone. So no pair that could join two components goes unseen, and a list of
-many copies costs as many rows as it has classes.
-
-At N_COORDS = 48 and MATCHES = 26 a pair of similarity 0.8 is missed as a candidate with a
-probability of about 3 in a million, of 0.85 about 1 in 10**9.
+rules out classes and pairs for good. Inside a list each class is paired with a pivot. Collisions of
+a pair are counted over all coordinates, pairs below MATCHES go, the others are confirmed on full
+shingle sets. Components follow; lists whose classes aren't all in one component yet get a second
+pivot. At last the classes that stay outside their lists' largest component are met in blocks with
+all classes of these lists, on full sets; a block gives its links alone. A group of more blocks than
+a class has shingles in its prefix is dealt by shingles first: two similar sets share one of their
+rarest shingles (PREFIX of the set's size), so only classes that do are met. So no pair that could
+join two components goes unseen, and a list of many copies costs as many rows as it has classes.
+
+At N_COORDS = 48 and MATCHES = 22 a pair of similarity 0.8 is missed as a candidate with a
+probability of about 3 in 10**8, of 0.85 of 5 in 10**11.
 
 Defined results: a text of fewer words than a shingle is one shingle, of no words (or null) an
 empty set, linked with nothing. Rows without doc_id take part in nothing: component null, kept
-true. Repeated rows and rows that share a doc_id are judged by their own texts. Columns pass
-through; n_shingles, component_id and kept replace columns of these names. An empty table gives
-an empty table.
+true. Repeated rows and rows that share a doc_id are judged by their own texts; components() says
+kept of all rows with the component's doc_id, dedup() keeps one row of a component: of its first
+doc_id, and of rows that share that, one with the first class. Very long texts are hashed in pieces
+that end at white space. Columns pass through; n_shingles, component_id and kept replace columns of
+these names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, record_batches
+from .common import ASCII_SPACE, Scratch, byte_sizes, slices
 from .components import connected_components
 
-N_COORDS, MATCHES = 48, 26
-#: Hashes of shingles are kept to so many bits; within a sorted batch the document's number stands above them.
-HASH_BITS = 50
-#: Text that is shingled at once; its arrays take about fifty times as much.
-SLICE_BYTES = 2_000_000
+N_COORDS, MATCHES = 48, 22
+#: Text and documents that are shingled at once; the arrays of a slice take about fifty times its text.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 16_384
+#: Words whose hashes are remembered, about.
+KNOWN_WORDS = 200_000
 #: Classes and shingles of a block in which links are sought that pivots haven't found, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 400, 1_000_000
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = re.compile(b"[" + re.escape(ASCII_SPACE) + b"]")
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_P, _P_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,44 +70,73 @@ def _multipliers(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * _P + np.uint64(seed)) | np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document numbers and hashes of the distinct shingles of a batch, ordered by both; whole texts, in arrays."""
-    n = len(texts)
-    texts = texts.fill_null("").cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + n + 1]
-    first, end = int(offsets[0]), int(offsets[-1])
-    empty = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if end == first:
-        return empty
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[first:end].copy()
-    data[(data >= 65) & (data <= 90)] += 32
-    solid = ~_SPACES[data]
-    bounds = np.zeros(len(data) + 1, bool)
-    bounds[offsets - first] = True
-    starts = np.flatnonzero(solid & (np.r_[True, ~solid[:-1]] | bounds[:-1]))
-    ends = np.flatnonzero(solid & (np.r_[~solid[1:], True] | bounds[1:])) + 1
-    if not len(starts):
-        return empty
-    up, down = _powers(len(data) + 1)
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])]
-    words = _mix((sums[ends] - sums[starts]) * down[starts])
-    owner = np.searchsorted(offsets - first, starts, "right") - 1
-    per_doc = np.bincount(owner, minlength=n)
-    turn = _multipliers(size + 1, 11)
-    k = max(len(words) - size + 1, 0)
-    whole = np.zeros(k, np.uint64)
-    for j in range(size):
-        whole += words[j : j + k] * turn[j]
-    inside = owner[:k] == owner[size - 1 : size - 1 + k]
-    hashes, docs = _mix(whole[inside]), owner[:k][inside]
-    few = np.flatnonzero((per_doc > 0) & (per_doc < size))
-    if len(few):
-        at = np.r_[0, np.cumsum(per_doc)]
-        short = [sum(((int(words[at[d] + j]) * int(turn[j])) for j in range(per_doc[d])), int(per_doc[d]) * int(turn[size])) % (1 << 64) for d in few.tolist()]
-        hashes, docs = np.r_[hashes, _mix(np.array(short, np.uint64))], np.r_[docs, few]
-    keys = np.sort(docs.astype(np.uint64) << np.uint64(HASH_BITS) | hashes >> np.uint64(64 - HASH_BITS))
-    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
-    return (keys >> np.uint64(HASH_BITS)).astype(np.int64), keys & np.uint64((1 << HASH_BITS) - 1)
+class _WordHashes(dict):
+    """The hashes of words, computed once each."""
+
+    def __init__(self, secret: bytes) -> None:
+        super().__init__()
+        self.secret = secret
+
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(blake2b(word, digest_size=8, key=self.secret).digest(), "little")
+        if len(self) < KNOWN_WORDS:
+            self[word] = out
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of about size bytes that end at white space, so that its words are never a list at once."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+class Shingler:
+    """Sets of shingles of a batch of texts, in arrays."""
+
+    def __init__(self, size: int, secret: bytes) -> None:
+        self.size, self.words = size, _WordHashes(secret)
+        self.turn = _multipliers(size + 1, 11)
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Document numbers and hashes of the distinct shingles of at most SLICE_ROWS whole texts, ordered by both."""
+        n, size, turn = len(texts), self.size, self.turn
+        held = [x.lower() if x else b"" for x in texts.cast(pa.large_binary()).to_pylist()]
+        if sum(map(len, held)) <= 2 * SLICE_BYTES:
+            split = [x.split() for x in held]
+            per_doc = np.fromiter(map(len, split), np.int64, n)
+            words = self.words.of([w for ws in split for w in ws])
+        else:
+            parts = [[self.words.of(piece.split()) for piece in _pieces(x, SLICE_BYTES)] for x in held]
+            per_doc = np.array([sum(map(len, p)) for p in parts], np.int64)
+            words = np.concatenate([np.zeros(0, np.uint64), *(a for p in parts for a in p)])
+        owner = np.repeat(np.arange(n, dtype=np.int64), per_doc)
+        k = max(len(words) - size + 1, 0)
+        whole = np.zeros(k, np.uint64)
+        for j in range(size):
+            whole += words[j : j + k] * turn[j]
+        inside = owner[:k] == owner[size - 1 : size - 1 + k]
+        hashes, docs = _mix(whole[inside]), owner[:k][inside]
+        few = np.flatnonzero((per_doc > 0) & (per_doc < size))
+        if len(few):
+            at = np.r_[0, np.cumsum(per_doc)]
+            short = [sum(((int(words[at[d] + j]) * int(turn[j])) for j in range(per_doc[d])), int(per_doc[d]) * int(turn[size])) % (1 << 64) for d in few.tolist()]
+            hashes, docs = np.r_[hashes, _mix(np.array(short, np.uint64))], np.r_[docs, few]
+        order = np.argsort(hashes)
+        order = order[np.argsort(docs[order].astype(np.uint16), kind="stable")]
+        hashes, docs = hashes[order], docs[order]
+        if len(hashes):
+            first = np.r_[True, (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])]
+            hashes, docs = hashes[first], docs[first]
+        return docs, hashes
 
 
 def _segments(docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,41 +146,57 @@ def _segments(docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return sizes, full, np.r_[0, np.cumsum(sizes)[:-1]][full].astype(np.int64)
 
 
-def _signatures(size: int, n_coords: int):
+def _classes(hashes: np.ndarray, full: np.ndarray, starts: np.ndarray, n: int) -> list[pa.Array]:
+    """128 bits that name a set, by document."""
+    out = np.zeros((n, 2), np.int64)
+    if len(full):
+        spread = _mix(hashes + np.uint64(1))
+        out[full, 0] = np.add.reduceat(spread, starts).view(np.int64)
+        out[full, 1] = np.add.reduceat(_mix(spread + _P), starts).view(np.int64)
+    return [pa.array(out[:, 0]), pa.array(out[:, 1])]
+
+
+_KEY = ["class_hi", "class_lo", "n_shingles"]
+
+
+def _signatures(size: int, secret: bytes, n_coords: int, in_row: bool):
+    """The columns of a batch (doc_id, text, or one struct row that has them) with the class and signature of each text."""
     turn, shift = _multipliers(n_coords, 29), _multipliers(n_coords, 31)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size, secret)
         for whole in batches:
-            for batch in record_batches(whole, "text", SLICE_BYTES):
-                n = batch.num_rows
-                docs, hashes = shingle_sets(batch.column("text"), size)
+            row = whole.column("row") if in_row else whole
+            every = row.field("text") if in_row else row.column("text")
+            ids = row.field("doc_id") if in_row else row.column("doc_id")
+            for start, n in slices(byte_sizes(every), SLICE_BYTES, SLICE_ROWS):
+                docs, hashes = shingler.sets(every.slice(start, n))
                 sizes, full, starts = _segments(docs, n)
                 signature = np.zeros((n, n_coords), np.uint32)
-                classes = np.zeros((n, 2), np.int64)
-                if len(full):
-                    for c in range(n_coords):
-                        signature[full, c] = np.minimum.reduceat(((hashes * turn[c] + shift[c]) >> np.uint64(32)).astype(np.uint32), starts)
-                    spread = _mix(hashes + np.uint64(1))
-                    classes[full, 0] = np.add.reduceat(spread, starts).view(np.int64)
-                    classes[full, 1] = np.add.reduceat(_mix(spread + _P), starts).view(np.int64)
+                for c in range(n_coords if len(full) else 0):
+                    signature[full, c] = np.minimum.reduceat(((hashes * turn[c] + shift[c]) >> np.uint64(32)).astype(np.uint32), starts)
                 at = np.r_[0, np.cumsum(np.where(sizes > 0, n_coords, 0))].astype(np.int32)
                 flat = signature[full].view(np.int32).ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                    ["doc_id", "n_shingles", "class_hi", "class_lo", "signature"],
-                )
+                held = [ids.slice(start, n).cast(pa.int64()), *_classes(hashes, full, starts, n), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+                names = ["doc_id", *_KEY, "signature"]
+                yield pa.RecordBatch.from_arrays([*held, row.slice(start, n)] if in_row else held, [*names, "row"] if in_row else names)
 
     return run
 
 
-def _sets(size: int):
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(k, T.LongType()) for k in _KEY), T.StructField("signature", T.ArrayType(T.IntegerType()))])
+
+
+def _sets(size: int, secret: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size, secret)
         for whole in batches:
-            for batch in record_batches(whole, "text", SLICE_BYTES):
-                docs, hashes = shingle_sets(batch.column("text"), size)
-                sizes, _, _ = _segments(docs, batch.num_rows)
+            every = whole.column("text")
+            for start, n in slices(byte_sizes(every), SLICE_BYTES, SLICE_ROWS):
+                docs, hashes = shingler.sets(every.slice(start, n))
+                sizes, full, starts = _segments(docs, n)
                 at = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*_classes(hashes, full, starts, n), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64)))], [*_KEY, "shingles"])
 
     return run
 
@@ -197,11 +239,15 @@ def _agreements(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
 class NearDuplicates:
     """Near-duplicate components of documents under a Jaccard similarity of percent / 100 or more."""
 
-    def __init__(self, *, shingle_words: int = 5, percent: int = 80, n_coords: int = N_COORDS, matches: int = MATCHES) -> None:
-        self.size, self.percent, self.n_coords, self.matches = shingle_words, percent, n_coords, matches
+    def __init__(self, *, shingle_words: int = 5, percent: int = 80, n_coords: int = N_COORDS, matches: int = MATCHES, secret: bytes = b"near duplicates") -> None:
+        self.size, self.percent, self.n_coords, self.matches, self.secret = shingle_words, percent, n_coords, matches, secret
 
     def _prefixes(self, classes: DataFrame, scratch: Scratch) -> DataFrame:
         """token, node: the posting lists of two classes or more, without the skipped ones."""
@@ -244,68 +290,119 @@ class NearDuplicates:
     def components(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
         scratch = Scratch(docs.sparkSession, "near")
-        kind = "doc_id bigint, n_shingles bigint, class_hi bigint, class_lo bigint, signature array<int>"
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        signed = scratch.table(texts.mapInArrow(_signatures(self.size, self.n_coords), kind), "signed")
-        key = ["class_hi", "class_lo", "n_shingles"]
-        named = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"))
-        named = scratch.table(named, "classes")
-        # one row of the class named by a doc_id; rows that share a doc_id may be in different classes
-        firsts = signed.select("doc_id", *key, "signature").withColumnsRenamed({"doc_id": "node"}).join(named, [*key, "node"], "left_semi")
-        signatures = scratch.table(firsts.dropDuplicates(["node"]).select("node", "signature"), "signatures")
-        lists = self._prefixes(signatures, scratch)
-        posted = scratch.table(lists.select("node").distinct(), "posted")
-        with_text = texts.withColumnRenamed("doc_id", "node").join(posted, "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
-        sets = scratch.table(with_text.mapInArrow(_sets(self.size), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
-        held = scratch.table(posted.join(signatures, "node"), "held")
-        lists = self._bounded(lists, sets, scratch)
+        signed = scratch.table(texts.mapInArrow(_signatures(self.size, self.secret, self.n_coords, False), _SIGNED), "signed")
+        judged = self._judged(signed, texts, scratch)
+        return judged.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
+    def dedup(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs without those whose text is near that of another row that stays; columns as they are."""
+        scratch = Scratch(docs.sparkSession, "near")
+        row = T.StructField("row", docs.schema)
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        signed = scratch.table(rows.mapInArrow(_signatures(self.size, self.secret, self.n_coords, True), T.StructType([*_SIGNED, row])), "signed")
+        texts = signed.select("doc_id", F.col("row.text").alias("text"))
+        judged = self._judged(signed.drop("row"), texts, scratch)
+        gone = scratch.table(judged.where("component_id is not null and n_shingles > 0 and not (leads and doc_id = component_id)").select("doc_id", *_KEY).distinct(), "gone")
+        left = signed.join(gone, ["doc_id", *_KEY], "left_anti")
+        again = left.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", *_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = scratch.table(again, "again")
+        if not _any(again):
+            return left.select("row.*")
+        once = left.join(again, ["doc_id", *_KEY], "left_semi").groupBy("doc_id", *_KEY).agg(F.first("row").alias("row"))
+        return left.join(again, ["doc_id", *_KEY], "left_anti").select("row.*").unionByName(once.select("row.*"))
+
+    def _judged(self, signed: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+        """signed with component_id, and leads: whether the row's class is the first of its component.
+
+        A class is named by a number that is given as the table of classes is written, and its first
+        doc_id; a doc_id may be the first of several classes.
+        """
+        named = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*_KEY).agg(F.min("doc_id").alias("first"), F.any_value("signature").alias("signature"))
+        signatures = scratch.table(named.withColumn("node", F.monotonically_increasing_id()), "classes")
+        named = signatures.drop("signature")
+        lists = self._prefixes(signatures.select("node", "signature"), scratch)
+        posted = scratch.table(named.join(lists.select("node").distinct(), "node", "left_semi"), "posted")
+        firsts = posted.select(F.col("first").alias("doc_id")).distinct()
+        held = texts.join(firsts, "doc_id", "left_semi").select("doc_id", "text")
+        sets = held.mapInArrow(_sets(self.size, self.secret), "class_hi bigint, class_lo bigint, n_shingles bigint, shingles array<bigint>")
+        sets = scratch.table(sets.dropDuplicates(_KEY).join(posted, _KEY).select("node", "shingles"), "shingles")
+        held = scratch.table(signatures.select("node", "signature").join(posted.select("node"), "node", "left_semi"), "held")
+        links = self._linked(self._bounded(lists, sets, scratch), held, sets, scratch)
+        labels = connected_components(links, scratch)
+        in_component = named.join(labels, "node").select("node", "component", "first")
+        heads = scratch.table(in_component.groupBy("component").agg(F.min(F.struct("first", "node")).alias("head")), "heads")
+        led = labels.join(heads, "component").select(F.col("node").alias("n"), "head")
+        resolved = named.join(led, named["node"] == led["n"], "left").select(*_KEY, F.coalesce("head.first", "first").alias("component_id"), F.coalesce(F.col("head.node") == F.col("node"), F.lit(True)).alias("leads"))
+        resolved = scratch.table(resolved, "resolved").withColumnsRenamed({k: f"__{k}" for k in _KEY})
+        same = [signed[k] == resolved[f"__{k}"] for k in _KEY]
+        out = signed.join(resolved, same, "left").withColumn("component_id", F.when(signed["doc_id"].isNotNull(), F.coalesce("component_id", "doc_id")))
+        return out.select("doc_id", *_KEY, "component_id", F.coalesce("leads", F.lit(True)).alias("leads"))
+
+    def _linked(self, lists: DataFrame, signatures: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+        """a, b: links enough to join all classes of a component."""
         pivots = scratch.table(lists.groupBy("token").agg(F.min("node").alias("pivot")), "pivots")
         pairs = scratch.table(lists.join(pivots, "token").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        links = self._confirmed(pairs, held, sets, scratch)
-        labels = connected_components(links, scratch)
-        open_ = self._open_lists(lists, labels, scratch)
+        links = self._confirmed(pairs, signatures, sets, scratch)
+        open_ = self._open_lists(lists, connected_components(links, scratch), scratch)
+        if not _any(open_):
+            return links
         side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("node", "component", "size", "shared")]
         pivot = open_.where("component <> most").groupBy("token").agg(F.max_by(F.struct(*side("x")), F.xxhash64("node", "token")).alias("p")).select("token", "p.*")
         more = scratch.table(pivot, "pivots").join(open_.select("token", "n", *side("y")), "token").where("componentx <> componenty").where(self._possible("x", "y"))
         more = more.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
         more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = scratch.table(links.unionByName(self._confirmed(more, held, sets, scratch)), "links")
-        labels = connected_components(links, scratch)
-        links = scratch.table(links.unionByName(self._in_blocks(self._open_lists(lists, labels, scratch), sets, scratch)), "links")
-        labels = connected_components(links, scratch)
-        part = labels.withColumnRenamed("node", "label_node")
-        resolved = scratch.table(named.join(part, named.node == part.label_node, "left").select(*key, F.coalesce("component", "node").alias("component_id")), "resolved")
-        same = [signed[k] == resolved[k] for k in key]
-        out = signed.join(resolved, same, "left").select(signed.doc_id, signed.n_shingles, F.when(signed.doc_id.isNotNull(), F.coalesce(resolved.component_id, signed.doc_id)).alias("component_id"))
-        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        if _any(more):
+            links = scratch.table(links.unionByName(self._confirmed(more, signatures, sets, scratch)), "links")
+            open_ = self._open_lists(lists, connected_components(links, scratch), scratch)
+            if not _any(open_):
+                return links
+        return scratch.table(links.unionByName(self._in_blocks(open_, sets, scratch)), "links")
 
     @staticmethod
     def _open_lists(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
         """token, node, component, most, n of the lists with two components or more; most is the one with most classes."""
         held = scratch.table(lists.join(labels, "node", "left").select("token", "node", "size", "shared", F.coalesce("component", "node").alias("component")), "labelled")
-        n = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-        mixed = n.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max_by("component", F.struct("k", "component")).alias("most")).where("n > 1")
-        mixed = scratch.table(mixed, "mixed")
-        return scratch.table(held.join(mixed, "token"), "open")
+        return scratch.table(held.join(scratch.table(NearDuplicates._mixed(held, ["token"]), "mixed"), "token"), "open")
+
+    @staticmethod
+    def _mixed(rows: DataFrame, by: list[str]) -> DataFrame:
+        """by, n, most of the groups with two components or more."""
+        n = rows.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("k"))
+        return n.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max_by("component", F.struct("k", "component")).alias("most")).where("n > 1")
 
     def _in_blocks(self, open_: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
         """a, b: the links that remain between components of open lists.
 
         The classes of lists with the same largest component are one group. Its classes outside that
         component are a query set, met with all of the group in blocks; a block's intersections are one
-        matrix product, and only links leave it.
+        matrix product, and only links leave it. Large groups are dealt by their prefixes' shingles first.
         """
-        nodes = open_.select("most", "node", "component", "size").distinct()
-        sized = nodes.groupBy("most").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-        nodes = scratch.table(nodes.join(sized, "most").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "grouped")
+        nodes = self._sized(open_.select("most", F.lit(0).cast("long").alias("part"), "node", "component", "size").distinct(), scratch)
+        rare = F.greatest(F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1, F.lit(1)).cast("int")
+        large = nodes.where("blocks > reach").select("most", "node", "component", "size")
+        met = nodes.where("blocks <= reach")
+        if _any(large):
+            large = scratch.table(large, "large")
+            asked = large.join(sets, "node").select("most", "node", F.explode("shingles").alias("s"))
+            often = scratch.table(asked.groupBy("most", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+            # shingles that one class of the group has come first in its prefix, and lead to nobody
+            ordered = asked.join(often, ["most", "s"]).groupBy("most", "node").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("held"))
+            ordered = ordered.join(large, ["most", "node"]).withColumn("held", F.slice("held", F.lit(1), F.greatest(rare - (F.col("size") - F.size("held")), F.lit(0)).cast("int")))
+            rows = scratch.table(ordered.select(F.col("most").alias("g"), "node", "component", "size", F.explode("held.s").alias("part")), "prefixes")
+            mixed = scratch.table(self._mixed(rows, ["g", "part"]).select("g", "part", "most"), "mixed")
+            dealt = self._sized(rows.join(mixed, ["g", "part"]).select("most", "part", "node", "component", "size", "g"), scratch)
+            met = met.unionByName(dealt.select(met.columns))
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
-        query = nodes.where("component <> most").select("most", "node", "component", F.col("own").alias("i"), F.explode(others).alias("j"), F.lit(True).alias("asks"))
-        rows = nodes.select("most", "node", "component", F.explode(others).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
-        met = scratch.table(query.unionByName(rows), "blocks").join(sets, "node")
-        return met.groupBy("most", "i", "j").applyInArrow(_links(self.percent), "a bigint, b bigint")
-
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs whose text is the first of its component; columns as they are."""
-        judged = self.components(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(judged, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+        query = met.where("component <> most").select("g", "part", "most", "node", "component", F.col("own").alias("i"), F.explode(others).alias("j"), F.lit(True).alias("asks"))
+        rows = met.select("g", "part", "most", "node", "component", F.explode(others).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+        blocks = scratch.table(query.unionByName(rows), "blocks").join(sets, "node")
+        return blocks.groupBy("g", "part", "i", "j").applyInArrow(_links(self.percent), "a bigint, b bigint")
+
+    def _sized(self, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+        """nodes with g (the group's name), the number of blocks of their group, their own block, and reach: the mean length of a prefix in the group."""
+        nodes = nodes if "g" in nodes.columns else nodes.withColumn("g", F.col("most"))
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        reach = (F.avg("size") * (100 - self.percent) / 100 + 1).alias("reach")
+        sized = nodes.groupBy("g", "part").agg(blocks.alias("blocks"), reach)
+        return scratch.table(nodes.join(sized, ["g", "part"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "grouped")

@@ -20,7 +20,8 @@ shard is told, and all its contents are then met as those of a split anchor.
 
 Defined results: a null text is empty. Rows without doc_id take no part and stay whole. doc_id is a
 key: rows that repeat it count as one document and should repeat its text. Matches don't cross
-documents. An empty table gives an empty table.
+documents. A text of 2**28 bytes or more is refused with an error. Other columns don't pass through.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, record_batches
 from .lyndon_sort import suffix_arrays
-from .minhash import _mix, _powers
+from .minhash import _mix
 
 SIZE, ANCHOR = 100, 32
 #: Text of a shard or bucket, about; and the least number of these.
@@ -47,6 +48,8 @@ SLICE_BYTES = 1_500_000
 BLOCK_CONTENTS, CALL_BYTES = 24, 600_000
 #: Contents of an anchor in one task from which they are spread over shards.
 SPREAD_CONTENTS = 16
+#: Stretches (32 bytes each) that a task holds before it collapses and passes them on, about.
+HELD_STRETCHES = 2_000_000
 _PLACE_BITS = 28
 
 #: A stretch: anchor and content by hash, document, first window, number of windows.
@@ -61,6 +64,21 @@ _BLOBS = "kind int, part int, blob binary"
 _MARKS, _FETCHES, _WINDOWS, _STRETCHES, _TEXTS, _SPREAD, _SPREAD_ANCHORS = range(7)
 
 
+_P = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        size = 1 << int(n - 1).bit_length()
+        for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(data) + 1)
     return np.r_[np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])], down
@@ -69,6 +87,8 @@ def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def stretches(data: np.ndarray, offsets: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Document numbers, first windows, numbers of windows, anchor and content hashes of all stretches of some texts."""
     windows, wide = len(data) - size + 1, size - anchor + 1
+    if len(data) >> _PLACE_BITS:
+        raise ValueError(f"a text of {len(data)} bytes; texts have fewer than {1 << _PLACE_BITS}")
     if windows <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     sums, down = _rolling(data)
@@ -141,12 +161,30 @@ def _as_marks(records: np.ndarray) -> np.ndarray:
 
 
 def _stretch_pass(size: int, anchor: int, n_shards: int):
-    """Texts to stretches by shard, collapsed over the task; the collapsed ones are marks already."""
+    """Texts to stretches by shard, collapsed over what a task holds at once; the collapsed ones are marks already."""
+
+    def collapsed(every: np.ndarray) -> list[pa.RecordBatch]:
+        order, gone = _later(every, [every["a"], every["x"]])
+        every = every[order]
+        rows = _blobs(_MARKS, _as_marks(every[gone]), every["d"][gone] % n_shards)
+        kept = every[~gone]
+        fresh = np.flatnonzero(np.r_[True, kept["a"][1:] != kept["a"][:-1]]) if len(kept) else np.zeros(0, int)
+        many = np.diff(np.r_[fresh, len(kept)])
+        spread = np.repeat(many >= SPREAD_CONTENTS, many)
+        home = (kept["a"] % np.uint64(n_shards)).astype(np.int64)
+        rows += _blobs(_STRETCHES, kept[~spread], home[~spread])
+        rows += _blobs(_SPREAD, kept[spread], (_mix(kept["a"] + _mix(kept["x"]))[spread] % np.uint64(n_shards)).astype(np.int64))
+        named = fresh[many >= SPREAD_CONTENTS]
+        rows += _blobs(_SPREAD_ANCHORS, kept["a"][named], home[named])
+        return _table(rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: list[np.ndarray] = []
         for whole in batches:
             for batch in record_batches(whole, "text", SLICE_BYTES):
+                if sum(map(len, held)) > HELD_STRETCHES:
+                    yield from collapsed(np.concatenate(held))
+                    held = []
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 data, offsets = _flat(batch, "text")
                 doc, first, n, a, x = stretches(data, offsets, size, anchor)
@@ -154,20 +192,7 @@ def _stretch_pass(size: int, anchor: int, n_shards: int):
                 out["a"], out["x"], out["d"], out["s"], out["n"] = a, x, ids[doc] if len(doc) else 0, first, n
                 held.append(out)
         if held:
-            every = np.concatenate(held)
-            order, gone = _later(every, [every["a"], every["x"]])
-            every = every[order]
-            rows = _blobs(_MARKS, _as_marks(every[gone]), every["d"][gone] % n_shards)
-            kept = every[~gone]
-            fresh = np.flatnonzero(np.r_[True, kept["a"][1:] != kept["a"][:-1]]) if len(kept) else np.zeros(0, int)
-            many = np.diff(np.r_[fresh, len(kept)])
-            spread = np.repeat(many >= SPREAD_CONTENTS, many)
-            home = (kept["a"] % np.uint64(n_shards)).astype(np.int64)
-            rows += _blobs(_STRETCHES, kept[~spread], home[~spread])
-            rows += _blobs(_SPREAD, kept[spread], (_mix(kept["a"] + _mix(kept["x"]))[spread] % np.uint64(n_shards)).astype(np.int64))
-            named = fresh[many >= SPREAD_CONTENTS]
-            rows += _blobs(_SPREAD_ANCHORS, kept["a"][named], home[named])
-            yield from _table(rows).to_batches()
+            yield from collapsed(np.concatenate(held))
 
     return run
 

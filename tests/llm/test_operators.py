@@ -5,6 +5,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DOCS, prose, rows
 from pyspark.sql import functions as F
@@ -165,11 +166,84 @@ def test_near_duplicates_in_large_mixed_groups(spark, monkeypatch):
     assert out == want and 1 < len({v[1] for v in want.values()}) < 150
 
 
+@pytest.mark.parametrize("rows_a_block", [20, 2])
+def test_near_duplicates_of_one_template(spark, monkeypatch, rows_a_block):
+    """Pages of one template with parts from a small stock: most are alike but not alike enough, so that blocks, and at 2 rows prefixes, must find the links."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows_a_block)
+    rng = random.Random(10)
+    frame, stock = prose(2, 70).split(), [prose(300 + k, 8) for k in range(9)]
+    texts = {i: " ".join([*frame[:35], *rng.sample(stock, 4), *frame[35:]]) for i in range(160)}
+    df = spark.createDataFrame(rows(texts), DOCS)
+    out = by_id(minhash.NearDuplicates(shingle_words=4).components(df), "n_shingles", "component_id", "kept")
+    want = brute.near_components(texts)
+    assert out == want and 1 < len({v[1] for v in want.values()}) < 160
+
+
+def test_near_duplicates_of_many_short_rows_in_one_batch(spark):
+    """More rows to an Arrow batch than a slice may have."""
+    texts = {i: f"row {i % 7001} of many {i % 7001} rows" for i in range(20_000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50000")
+    try:
+        out = by_id(minhash.NearDuplicates(shingle_words=4).components(df), "n_shingles", "component_id", "kept")
+    finally:
+        spark.conf.set(key, before)
+    assert out == {i: (3, i % 7001, i < 7001) for i in texts}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words of both letters collide in any polynomial modulo 2**64 with an odd base."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"{a} x y z"), (4, f"{b} x y z")], "doc_id bigint, text string")
+    assert by_id(minhash.NearDuplicates(shingle_words=4).components(df), "component_id") == {k: (k,) for k in (1, 2, 3, 4)}
+
+
+def test_near_dedup_judges_rows_that_share_an_id_by_their_texts(spark):
+    x, y, z = prose(1, 50), prose(2, 50), prose(3, 50)
+    near = y + " and one word"
+    df = spark.createDataFrame([(3, y, "a"), (7, x, "b"), (7, y, "c"), (3, z, "d"), (3, z, "d"), (9, z, "e"), (3, near, "f"), (None, y, "g"), (5, "", "h")], "doc_id bigint, text string, signature string")
+    kept = sorted((r.doc_id or 0, r.text, r.signature) for r in minhash.NearDuplicates().dedup(df).collect())
+    firsts = [t for t in (y, near)]
+    assert [k for k in kept if k[1] not in firsts] == sorted([(5, "", "h"), (3, z, "d"), (7, x, "b")])
+    assert len([k for k in kept if k[1] in firsts and k[0]]) == 1 and (0, y, "g") in kept
+    judged = minhash.NearDuplicates().components(df).where("doc_id = 7").collect()
+    assert sorted((r.component_id, r.kept) for r in judged) == [(3, False), (7, True)]
+
+
+def test_candidates_are_found_at_the_threshold(spark):
+    """Pairs of a similarity just at 0.8: the measured recall of signatures is whole."""
+    texts = {}
+    for k in range(300):
+        words = [f"p{k}w{i}" for i in range(93)]
+        texts[2 * k] = " ".join(words)
+        texts[2 * k + 1] = " ".join([*words[:40], *(f"q{k}x{i}" for i in range(6)), *words[46:]]) if k % 2 else " ".join(words[: 74 + 1])
+    want = brute.near_components(texts)
+    out = by_id(minhash.NearDuplicates(shingle_words=4).components(spark.createDataFrame(rows(texts), DOCS)), "n_shingles", "component_id", "kept")
+    assert out == want and sum(not v[2] for v in want.values()) == 300
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SLICE_BYTES", 1000)
+    texts = {0: prose(4, 3000), 1: "x" * 9000, 2: "x" * 9000 + " y", 3: " \n" * 4000 + "a b c d e"}
+    texts[4] = texts[0] + " more"
+    df = spark.createDataFrame(rows(texts), DOCS)
+    assert by_id(minhash.NearDuplicates(shingle_words=4).components(df), "n_shingles", "component_id", "kept") == brute.near_components(texts)
+    shingler = minhash.Shingler(4, b"k")
+    for text in texts.values():
+        assert len(shingler.sets(pa.array([text]))[1]) == len(brute.shingles(text))
+
+
 def test_near_duplicates_odd_inputs(spark, odd_docs, no_docs):
     out = minhash.NearDuplicates().components(odd_docs).collect()
-    assert len(out) == 5 and all(r.kept for r in out) and [r.component_id for r in out if r.doc_id is None] == [None]
-    assert minhash.NearDuplicates().components(no_docs).count() == 0
-    assert minhash.NearDuplicates().dedup(odd_docs).columns == odd_docs.columns
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in out) == [(-3, 1, -3, True), (0, 3, 0, True), (1, 9, 1, True), (1, 9, 1, True), (2, 0, 2, True)]
+    assert minhash.NearDuplicates().components(no_docs).count() == 0 and minhash.NearDuplicates().dedup(no_docs).count() == 0
+    left = minhash.NearDuplicates().dedup(odd_docs)
+    assert left.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [-3, 0, 1, 2] and left.where("signature <> 'x'").count() == 0
 
 
 # 5 fingerprints
