@@ -1,18 +1,22 @@
 """Incremental line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
 A line's key is a 128-bit hash of the line, stripped of ASCII white space and with A-Z lower-cased.
-Keys are dealt to shards by their first bytes. A LineIndex holds three tables in the shared folder:
-
-* ``filters`` (shard, blob): one cuckoo filter a shard over the keys that have references;
-* ``postings`` (shard, key, doc_id): one row for each key of each document, exact;
-* ``counts`` (shard, key, n_docs, first_doc, last_doc): the references to a key, exact.
-
-insert() probes and fills the filters shard by shard: keys that a filter doesn't know are new and
-go to the counts as they are; only the others are merged with exact rows. delete() takes the
-postings of documents away, lowers the counts, and makes the filters anew of the keys that have
-references left, so that an insertion can be undone. (A key that came in by a false positive has no
-fingerprint of its own, and layers differ in size, so taking one away could be another key's.) A
-filter only ever spares work: what it answers with "maybe" is settled by the exact tables.
+Keys are dealt to shards by their first bytes. A LineIndex is a version of three tables at a path
+(open() finds the last one again, in another session as well):
+
+* ``postings`` (shard, key, doc_id, seq): one row for each key of each document, exact;
+* ``gone`` (doc_id, seq): documents that were deleted, which hides their earlier postings;
+* ``log`` (shard, key, n_docs, first_doc, last_doc, kind, blob, seq): the references to a key, exact,
+  and one cuckoo filter a shard over the keys that have references; the last row of a key or shard holds.
+
+insert() probes and fills the filters of the shards that a batch has keys of: keys that a filter
+doesn't know are new and go to the log as they are; only the others are looked up and merged with
+their exact rows, and those that a filter took for known by mistake are added to it. delete()
+recounts the keys of the documents that go, takes the fingerprints of keys without references out
+of the filters, and fills a filter anew where layers leave it open whose fingerprint that is. So
+both append rows of the batch's keys alone, and an insertion can be undone. A filter only ever spares
+work: what it answers with "maybe" is settled by the exact tables. compact() writes each table as
+one part.
 
 Keys are counted before they are dealt to shards, so a line that a third of all documents hold is
 one row a shard and map task. Joins on keys read written tables, so that adaptive execution can
@@ -20,8 +24,10 @@ split a key with very many rows.
 
 Defined results: a null text is one empty line and stays null; rows without doc_id count for
 nothing and keep all lines; rows that share a doc_id count as one document; a key found twice in
-one document only stays. Other columns pass through; ``text`` is replaced, ``n_lines`` and
-``n_dropped`` are added and replace columns of these names. An empty table gives an empty table.
+one document only stays. Texts of any length are split as a whole, one at a time. Other columns pass
+through; ``text`` is replaced, ``n_lines`` and ``n_dropped`` are added and replace columns of these
+names. An empty table gives an empty table. Documents whose doc_id the index holds must be deleted
+before they are inserted again.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, Scratch, record_batches
+from .common import ASCII_SPACE, Scratch, TableStore, record_batches
 
 #: Documents whose lines go to a shard of the index, about.
 DOCS_A_SHARD = 20_000
@@ -137,20 +143,27 @@ class CuckooFilter:
         self.layers.insert(0, extra)
         self.used.insert(0, len(extra) * self.SLOTS)
 
-    def remove(self, keys: np.ndarray) -> None:
-        """Remove keys that were added before."""
-        for print_, place in zip(*self._parts(keys)):
-            for k, layer in enumerate(self.layers):
-                one = int(place) & (len(layer) - 1)
-                for b in (one, int(self._other(np.array([one]), np.array([print_]), len(layer))[0])):
-                    held = np.flatnonzero(layer[b] == print_)
-                    if len(held):
-                        layer[b, held[0]] = 0
-                        self.used[k] -= 1
-                        break
-                else:
-                    continue
-                break
+    def remove(self, keys: np.ndarray) -> bool:
+        """Remove keys that were added before; False, and nothing is removed, where several layers might hold a key.
+
+        Keys with one fingerprint and bucket have the other bucket in common as well, within a layer;
+        so there any copy does.
+        """
+        prints, places = self._parts(keys)
+        held = []
+        for layer in self.layers:
+            one = places & (len(layer) - 1)
+            held.append((layer[one] == prints[:, None]).any(1) | (layer[self._other(one, prints, len(layer))] == prints[:, None]).any(1))
+        if len(keys) and (np.sum(held, 0) != 1).any():
+            return False
+        for k, mine in enumerate(held):
+            layer = self.layers[k]
+            one = places[mine] & (len(layer) - 1)
+            for print_, b, c in zip(prints[mine], one.tolist(), self._other(one, prints[mine], len(layer)).tolist()):
+                b = b if (layer[b] == print_).any() else c
+                layer[b, np.flatnonzero(layer[b] == print_)[0]] = 0
+                self.used[k] -= 1
+        return True
 
 
 def _key_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -158,10 +171,14 @@ def _key_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(flat.to_pylist()), "<u8").reshape(-1, 2)
 
 
-_POSTINGS = "shard int, key binary, doc_id bigint"
-_COUNT_COLUMNS = ["shard", "key", "n_docs", "first_doc", "last_doc"]
-_PROBED = "shard int, key binary, n_docs bigint, first_doc bigint, last_doc bigint, maybe_seen boolean, blob binary"
-_PROBED_ARROW = pa.schema([("shard", pa.int32()), ("key", pa.binary()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("maybe_seen", pa.bool_()), ("blob", pa.binary())])
+_POSTED = "shard int, key binary, doc_id bigint"
+_POSTINGS = f"{_POSTED}, seq bigint"
+_GONE = "doc_id bigint, seq bigint"
+_ROW = "shard int, key binary, n_docs bigint, first_doc bigint, last_doc bigint, kind int, blob binary"
+_LOG = f"{_ROW}, seq bigint"
+#: Kinds of rows: references to a key; a key that a filter may know, to be merged; a filter.
+_COUNT, _MAYBE, _FILTER = range(3)
+_ROW_ARROW = pa.schema([("shard", pa.int32()), ("key", pa.binary()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
 def _post(min_chars: int, n_shards: int):
@@ -182,38 +199,52 @@ def _post(min_chars: int, n_shards: int):
     return run
 
 
-def _probe(blob: bytes | None, table: pa.Table, shard: int) -> pa.Table:
-    """The shard's keys with maybe_seen, then a row with its new filter."""
-    held, keys = CuckooFilter.loads(blob), _key_matrix(table.column("key"))
-    seen = held.contains(keys) if len(keys) else np.zeros(0, bool)
+def _filter_row(shard: int, held: CuckooFilter | None) -> pa.Table:
+    """A filter as a row; without one, where it has to be filled anew."""
+    return pa.table([pa.array([x], t) for x, t in zip((shard, None, None, None, None, _FILTER, held.dumps() if held else None), _ROW_ARROW.types)], schema=_ROW_ARROW)
+
+
+def _shard_and_filter(filters: pa.Table, keys: pa.Table) -> tuple[int, CuckooFilter]:
+    return (keys if keys.num_rows else filters).column("shard")[0].as_py(), CuckooFilter.loads(filters.column("blob")[0].as_py() if filters.num_rows else None)
+
+
+def _probe_known(filters: pa.Table, table: pa.Table) -> pa.Table:
+    """A shard's counted keys, new to the filter or not, then its new filter."""
+    if not table.num_rows:
+        return _ROW_ARROW.empty_table()
+    shard, held = _shard_and_filter(filters, table)
+    keys = _key_matrix(table.column("key"))
+    seen = held.contains(keys)
     held.add(keys[~seen])
-    n = len(keys)
-    return pa.table(
-        [
-            pa.array([shard] * (n + 1), pa.int32()),
-            pa.array([*table.column("key").to_pylist(), None], pa.binary()),
-            *(pa.array([*table.column(c).to_pylist(), None], pa.int64()) for c in ("n_docs", "first_doc", "last_doc")),
-            pa.array([*seen.tolist(), None], pa.bool_()),
-            pa.array([None] * n + [held.dumps()], pa.binary()),
-        ],
-        schema=_PROBED_ARROW,
-    )
+    kind = pa.array(np.where(seen, _MAYBE, _COUNT).astype(np.int32))
+    rows = pa.table([*(table.column(c) for c in ("shard", "key", "n_docs", "first_doc", "last_doc")), kind, pa.nulls(len(keys), pa.binary())], schema=_ROW_ARROW)
+    return pa.concat_tables([rows, _filter_row(shard, held)])
 
 
 def _probe_new(table: pa.Table) -> pa.Table:
-    return _probe(None, table, table.column("shard")[0].as_py())
+    return _probe_known(table.select([]).slice(0, 0), table)
 
 
-def _probe_known(filters: pa.Table, table: pa.Table) -> pa.Table:
-    blob = filters.column("blob")[0].as_py() if filters.num_rows else None
-    return _probe(blob, table, (filters if filters.num_rows else table).column("shard")[0].as_py())
+def _add(filters: pa.Table, keys: pa.Table) -> pa.Table:
+    if not keys.num_rows:
+        return _ROW_ARROW.empty_table()
+    shard, held = _shard_and_filter(filters, keys)
+    held.add(_key_matrix(keys.column("key")))
+    return _filter_row(shard, held)
+
+
+def _take(filters: pa.Table, keys: pa.Table) -> pa.Table:
+    if not keys.num_rows:
+        return _ROW_ARROW.empty_table()
+    shard, held = _shard_and_filter(filters, keys)
+    return _filter_row(shard, held if held.remove(_key_matrix(keys.column("key"))) else None)
 
 
 def _refill(counts: pa.Table) -> pa.Table:
     """The filter of a shard's keys that have references."""
     held = CuckooFilter()
     held.add(_key_matrix(counts.column("key")))
-    return pa.table([pa.array([counts.column("shard")[0].as_py()], pa.int32()), pa.array([held.dumps()], pa.binary())], names=["shard", "blob"])
+    return _filter_row(counts.column("shard")[0].as_py(), held)
 
 
 def _counted(postings: DataFrame) -> DataFrame:
@@ -221,53 +252,136 @@ def _counted(postings: DataFrame) -> DataFrame:
 
 
 class LineIndex:
-    """An index of lines; insert() and delete() return a new one and leave this one as it is."""
+    """A version of an index of lines; insert() and delete() return the next one and leave this one as it is. A version has one successor."""
+
+    def __init__(self, spark: SparkSession, *, min_chars: int = 10, n_shards: int = 256, path: str | None = None) -> None:
+        """A new index, at a path or in the shared folder."""
+        store = TableStore.open(spark, path) if path else TableStore.temporary(spark, "lines")
+        if store.version:
+            raise ValueError(f"{path} holds an index; open() it")
+        self._set(store.with_parts(about={"min_chars": min_chars, "n_shards": n_shards, "seq": 0}))
 
-    def __init__(self, spark: SparkSession, *, min_chars: int = 10, n_shards: int = 256) -> None:
-        self.spark, self.min_chars, self.n_shards = spark, min_chars, n_shards
-        self.scratch = Scratch(spark, "lines")
-        self.filters: DataFrame | None = None
-        self.postings: DataFrame | None = None
-        self.counts: DataFrame | None = None
+    def _set(self, store: TableStore) -> LineIndex:
+        self.spark, self.store, self.scratch = store.spark, store, Scratch(store.spark, "lines")
+        self.min_chars, self.n_shards, self.seq = (store.state["about"][k] for k in ("min_chars", "n_shards", "seq"))
+        return self
 
     @classmethod
-    def sized(cls, docs: DataFrame, **more: int) -> LineIndex:
+    def open(cls, spark: SparkSession, path: str) -> LineIndex:
+        """The last version of the index at a path."""
+        store = TableStore.open(spark, path)
+        if not store.version:
+            raise ValueError(f"{path} holds no index")
+        return cls.__new__(cls)._set(store)
+
+    @classmethod
+    def sized(cls, docs: DataFrame, **more) -> LineIndex:
         """An empty index with a shard for every DOCS_A_SHARD rows of docs, so that shards keep their size as the input grows."""
         return cls(docs.sparkSession, n_shards=max(256, docs.count() // DOCS_A_SHARD), **more)
 
-    def _with(self, filters: DataFrame, postings: DataFrame, counts: DataFrame) -> LineIndex:
-        out = LineIndex(self.spark, min_chars=self.min_chars, n_shards=self.n_shards)
-        out.filters, out.postings, out.counts = filters, postings, counts
-        return out
-
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """Add documents whose doc_ids the index doesn't hold yet."""
-        keep = self.scratch
-        posted = keep.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_post(self.min_chars, self.n_shards), _POSTINGS), "postings")
+    def _next(self, seq: int, append: dict[str, list[str]] | None = None, replace: dict[str, list[str]] | None = None) -> LineIndex:
+        return LineIndex.__new__(LineIndex)._set(self.store.with_parts(append, replace, {"seq": seq}))
+
+    def _log(self, more: list[str]) -> DataFrame:
+        return self.spark.read.schema(_LOG).parquet(*(f"{self.store.path}/{p}" for p in self.store.parts("log") + more))
+
+    def _last(self, kind: int, by: list[str], columns: list[str], more: list[str], only: DataFrame | None = None) -> DataFrame:
+        """The last rows of a kind by key or shard; of those in only."""
+        parts = self.store.parts("log") + more
+        rows = self._log(more).where(F.col("kind") == kind) if parts else self.spark.createDataFrame([], _LOG)
+        rows = rows if only is None else rows.join(only, by, "left_semi")
+        if len(parts) < 2:
+            return rows.select(*by, *columns)
+        return rows.groupBy(*by).agg(F.max_by(F.struct(*columns), "seq").alias("last")).select(*by, "last.*")
+
+    def _counts(self, more: list[str], only: DataFrame | None = None) -> DataFrame:
+        return self._last(_COUNT, ["shard", "key"], ["n_docs", "first_doc", "last_doc"], more, only).where("n_docs > 0")
+
+    def _filters(self, more: list[str], only: DataFrame | None = None) -> DataFrame:
+        return self._last(_FILTER, ["shard"], ["blob"], more, only)
+
+    @property
+    def counts(self) -> DataFrame:
+        """shard, key, n_docs, first_doc, last_doc of all keys with references."""
+        return self._counts([])
+
+    @property
+    def filters(self) -> DataFrame:
+        """shard, blob."""
+        return self._filters([])
+
+    @property
+    def postings(self) -> DataFrame:
+        """shard, key, doc_id of all documents that the index holds."""
+        return self._live(self.store.read("gone", _GONE) if self.store.parts("gone") else None)
+
+    def _live(self, gone: DataFrame | None) -> DataFrame:
+        held = self.store.read("postings", _POSTINGS)
+        if gone is None:
+            return held.drop("seq")
+        last = gone.groupBy("doc_id").agg(F.max("seq").alias("gone_seq")).withColumnRenamed("doc_id", "gone_id")
+        return held.join(last, (F.col("doc_id") == F.col("gone_id")) & (F.col("seq") < F.col("gone_seq")), "left_anti").drop("seq")
+
+    def insert(self, docs: DataFrame, *, steps: int = 1) -> LineIndex:
+        """Add documents whose doc_ids the index doesn't hold yet, in steps by the hash of doc_id: a step knows the keys of those before."""
+        rows = docs.select(F.col("doc_id").cast("long"), "text")
+        posted = rows.mapInArrow(_post(self.min_chars, self.n_shards), _POSTED)
+        if rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            posted = posted.distinct()
+        first = self.seq + 1
+        part = self.store.write(posted.withColumn("seq", F.lit(first).cast("long")), "postings")
+        posted = self.spark.read.schema(_POSTINGS).parquet(f"{self.store.path}/{part}")
+        log: list[str] = []
+        for k in range(steps):
+            log = self._step(posted if steps == 1 else posted.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) == k), log, first + 2 * k)
+        return self._next(first + 2 * steps - 1, {"postings": [part], "log": log})
+
+    def _step(self, posted: DataFrame, log: list[str], seq: int) -> list[str]:
+        """log with the parts that the postings of a batch add."""
+        numbered = lambda df, n: self.store.write(df.withColumn("seq", F.lit(n).cast("long")), "log")
         fresh = _counted(posted)
-        if self.filters is None:
-            probed = keep.table(fresh.groupBy("shard").applyInArrow(_probe_new, _PROBED), "probed")
-        else:
-            probed = keep.table(self.filters.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInArrow(_probe_known, _PROBED), "probed")
-        filters = probed.where("blob is not null").select("shard", "blob")
-        columns = _COUNT_COLUMNS
-        new = probed.where("blob is null and not maybe_seen").select(columns)
-        if self.filters is None:
-            return self._with(filters, posted, new)
-        merged = (
-            probed.where("blob is null and maybe_seen").select(columns).unionByName(self.counts)
-            .groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-        )
-        return self._with(filters, self.postings.unionByName(posted), keep.table(new.unionByName(merged), "counts"))
+        if not self.store.parts("log") + log:
+            return [numbered(fresh.groupBy("shard").applyInArrow(_probe_new, _ROW), seq)]
+        held = self._filters(log, posted.select("shard").distinct())
+        probed = held.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInArrow(_probe_known, _ROW)
+        log = [*log, numbered(probed, seq)]
+        maybe = self.spark.read.schema(_LOG).parquet(f"{self.store.path}/{log[-1]}").where(F.col("kind") == _MAYBE).select("shard", "key", "n_docs", "first_doc", "last_doc")
+        both = maybe.withColumn("exact", F.lit(0)).unionByName(self._counts(log, maybe.select("shard", "key")).withColumn("exact", F.lit(1)))
+        merged = both.groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.max("exact").alias("exact"))
+        merged = self.scratch.table(merged, "merged")
+        rows = merged.drop("exact").withColumns({"kind": F.lit(_COUNT), "blob": F.lit(None).cast("binary")})
+        mistaken = merged.where("exact = 0").select("shard", "key")
+        held = self._filters(log, mistaken.select("shard").distinct())
+        rows = rows.unionByName(held.groupBy("shard").cogroup(mistaken.groupBy("shard")).applyInArrow(_add, _ROW))
+        return [*log, numbered(rows, seq + 1)]
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take the documents of a column doc_id out again."""
-        keep = self.scratch
-        gone = doc_ids.select(F.col("doc_id").cast("long")).distinct()
-        left = keep.table(self.postings.join(gone, "doc_id", "left_anti").select("shard", "key", "doc_id"), "postings")
-        counts = keep.table(_counted(left), "counts")
-        filters = keep.table(counts.select("shard", "key").groupBy("shard").applyInArrow(_refill, "shard int, blob binary"), "filters")
-        return self._with(filters, left, counts)
+        seq = self.seq + 1
+        part = self.store.write(doc_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("seq", F.lit(seq).cast("long")), "gone")
+        going = self.spark.read.schema(_GONE).parquet(f"{self.store.path}/{part}")
+        keys = self.scratch.table(self.postings.join(going.select("doc_id"), "doc_id", "left_semi").select("shard", "key").distinct(), "keys")
+        before = self.store.read("gone", _GONE) if self.store.parts("gone") else None
+        left = self._live(going if before is None else before.unionByName(going)).join(keys, ["shard", "key"], "left_semi")
+        counted = keys.join(_counted(left), ["shard", "key"], "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)).cast("long"))
+        counted = self.scratch.table(counted.select("shard", "key", "n_docs", "first_doc", "last_doc"), "counts")
+        dead = counted.where("n_docs = 0").select("shard", "key")
+        held = self._filters([], dead.select("shard").distinct())
+        taken = self.scratch.table(held.groupBy("shard").cogroup(dead.groupBy("shard")).applyInArrow(_take, _ROW), "filters")
+        rows = counted.withColumns({"kind": F.lit(_COUNT), "blob": F.lit(None).cast("binary")}).unionByName(taken.where("blob is not null"))
+        numbered = self.store.write(rows.withColumn("seq", F.lit(seq).cast("long")), "log")
+        again = self._counts([numbered], None).join(taken.where("blob is null").select("shard"), "shard", "left_semi")
+        refilled = self.store.write(again.groupBy("shard").applyInArrow(_refill, _ROW).withColumn("seq", F.lit(seq + 1).cast("long")), "log")
+        return self._next(seq + 1, {"gone": [part], "log": [numbered, refilled]})
+
+    def compact(self) -> LineIndex:
+        """The same index with one part a table; the parts of earlier versions stay until the folder is cleaned."""
+        numbered = lambda df: df.withColumn("seq", F.lit(self.seq).cast("long"))
+        empty = F.lit(None).cast("long")
+        counts = self.counts.withColumns({"kind": F.lit(_COUNT), "blob": F.lit(None).cast("binary")})
+        filters = self.filters.select("shard", F.lit(None).cast("binary").alias("key"), empty.alias("n_docs"), empty.alias("first_doc"), empty.alias("last_doc"), F.lit(_FILTER).alias("kind"), "blob")
+        log = self.store.write(numbered(counts.unionByName(filters)), "log")
+        return self._next(self.seq, None, {"log": [log], "postings": [self.store.write(numbered(self.postings), "postings")], "gone": []})
 
     def repeated(self) -> DataFrame:
         """key, first_doc of the keys that two documents or more hold."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from . import fingerprints, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_counts, url_filter
 
 BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -27,9 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted into an empty index, then freed of the lines that an earlier one holds."""
+    """All documents inserted into an empty index in two steps, then freed of the lines that an earlier one holds."""
+    bound_batches(spark)
     docs = documents(spark, sf_dir)
-    kept = line_dedup.LineIndex.sized(docs, min_chars=10).insert(docs).dedup(docs)
+    kept = line_dedup.LineIndex.sized(docs, min_chars=10).insert(docs, steps=2).dedup(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
