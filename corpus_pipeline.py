@@ -29,7 +29,7 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds; n_chars follows the text."""
-    kept = line_dedup.LineIndex.sized(docs).insert(docs).dedup(docs)
+    kept = line_dedup.LineIndex.sized(docs).insert(docs, steps=2).dedup(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(docs.columns)
