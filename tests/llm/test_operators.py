@@ -393,6 +393,29 @@ def test_secrets_equal_brute_force(spark, docs, corpus):
     assert out[124][:3] == (2, 1, 1)
 
 
+def test_secrets_of_a_very_long_text(spark):
+    """A match in every few words, and places beyond the basic plane."""
+    text = "".join(f"😀 token={'a' * (7 + i % 3)} AKIAABCDEFGHIJ{'KLMNO' * (i % 2)} é{i:032x}\n" for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, text[1:])], "doc_id bigint, text string")
+    out = {r.path: r.spans for r in secret_scan.BlobLedger(spark).scan(df, path="doc_id").collect()}
+    for k, t in ((1, text), (2, text[1:])):
+        base = [(s.start, s.kind, f"{secret_scan.KINDS[s.kind].name}:{s.start}:{s.end}") for s in out[k] if s.kind < 3]
+        assert brute.sha(",".join(x for *_, x in base)) == brute.secrets(t)[3] and len(base) > 6000
+
+
+def test_ledger_is_found_again_at_its_path(spark, tmp_path):
+    df = spark.createDataFrame([("a", "token=abcdefghij"), ("b", "plain")], "path string, text string")
+    first = secret_scan.BlobLedger(spark, path=str(tmp_path / "ledger"))
+    first.scan(df).collect()
+    again = secret_scan.BlobLedger(spark, path=str(tmp_path / "ledger"))
+    more = spark.createDataFrame([("c", "token=abcdefghij"), ("d", "secret: abcdefgh12")], "path string, text string")
+    assert {r.path: len(r.spans) for r in again.scan(more).collect()} == {"c": 1, "d": 1} and again.unseen.count() == 1
+    again.compact()
+    last = secret_scan.BlobLedger(spark, path=str(tmp_path / "ledger"))
+    assert last.scanned.count() == 3 and last.findings.count() == 2 and len(last.store.parts("scanned")) == 1
+    assert {r.path: len(r.spans) for r in last.scan(df.union(more)).collect()} == {"a": 1, "b": 0, "c": 1, "d": 1} and last.unseen.count() == 0
+
+
 def test_ledger_scans_only_unseen_blobs(spark):
     held = [("a", "token=abcdefghij ghp_" + "a1" * 15), ("b", "plain"), ("c", "token=abcdefghij ghp_" + "a1" * 15)]
     df = spark.createDataFrame(held, "path string, text string")
