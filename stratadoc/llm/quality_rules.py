@@ -7,8 +7,9 @@ how much work is done, never the verdict: a row is kept if no rule rejects it.
 
 Defined results: a null, empty or blank text has no words (all counts 0) and is rejected by
 ``too_short``. A rule that gives null doesn't reject. Repeated rows are judged one by one. An
-empty table gives an empty table. Columns of the input stay; a feature column is added under the
-name asked for and replaces an input column of that name.
+empty table gives an empty table. Very long texts are judged whole, as any other. Columns of the
+input stay; a feature column is added under the name asked for and replaces an input column of that
+name. Repeated windows are found by hash and told by their words.
 """
 
 from __future__ import annotations
@@ -30,37 +31,49 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+"), lambda w: w != "")
 
 
+def _window_hash(w: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, linear but for one sort.
 
     Each window is one long: its hash shifted left over its position, so that a sort of longs puts
-    equal windows side by side with their places.
+    windows of one hash side by side with their places; such neighbours are compared by their words.
+    Where they differ (a collision), the text's windows are sorted by their words instead.
     """
+    covered = lambda starts: let(starts, lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2)))).cast("long"))
+    places = lambda w: F.sequence(F.lit(0), F.size(w) - 3)
+
+    def beside(rows: Column, same: Callable[[Column, Column], Column]) -> Column:
+        """The rows that are the same as the one before or behind."""
+        like = lambda x, k: F.coalesce(same(x, F.get(rows, k)), F.lit(False))
+        return F.filter(rows, lambda x, k: like(x, k - 1) | like(x, k + 1))
+
+    def by_words(w: Column) -> Column:
+        windows = F.transform(places(w), lambda i: F.struct(F.concat_ws("\n", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i")))
+        return covered(let(F.sort_array(windows), lambda rows: F.transform(beside(rows, lambda x, y: x["t"] == y["t"]), lambda x: x["i"])))
 
-    def covered(keys: Column, bits: Column) -> Column:
+    def by_hashes(w: Column, hashes: Column, bits: Column) -> Column:
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+        near = lambda x, y: F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
 
-        def again(sorted_keys: Column) -> Column:
-            near = lambda x, k: F.call_function("shiftright", F.get(sorted_keys, k), bits) == F.call_function("shiftright", x, bits)
-            starts = F.filter(sorted_keys, lambda x, k: F.coalesce(near(x, k - 1), F.lit(False)) | F.coalesce(near(x, k + 1), F.lit(False)))
-            return let(
-                F.transform(starts, lambda x: x.bitwiseAND(mask)),
-                lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2)))).cast("long"),
-            )
+        def same(x: Column, y: Column) -> Column:
+            return reduce(lambda a, b: a & b, (F.get(w, place(x) + d) == F.get(w, place(y) + d) for d in range(3)))
 
-        return let(F.sort_array(keys), again)
+        keys = F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))))
+        found = lambda rows: F.struct(beside(rows, near).alias("near"), beside(rows, lambda x, y: near(x, y) & same(x, y)).alias("same"))
+        # neighbours of one hash that differ leave fewer rows, or rows beside others; then no hash is trusted
+        trusted = lambda rows: F.size(F.filter(rows, lambda x, k: F.coalesce(near(x, F.get(rows, k + 1)) & ~same(x, F.get(rows, k + 1)), F.lit(False)))) == 0
+        return let(keys, lambda rows: let(found(rows), lambda f: F.when(trusted(f["near"]), covered(F.transform(f["same"], place))).otherwise(by_words(w))))
 
-    def with_hashes(n: Column, w: Column) -> Column:
-        bits = F.greatest(F.ceil(F.log2(n.cast("double"))), F.lit(1)).cast("int")
-        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return let(
-            hashes,
-            lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
-                let(bits, lambda b: covered(F.transform(h, lambda x, i: F.call_function("shiftleft", x, b).bitwiseOR(i.cast("long"))), b))
-            ),
-        )
+    def with_hashes(w: Column) -> Column:
+        bits = F.greatest(F.ceil(F.log2(F.size(w).cast("double"))), F.lit(1)).cast("int")
+        repeats = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(bits, lambda b: by_hashes(w, h, b)))
+        return let(F.transform(places(w), lambda i: _window_hash(w, i)), repeats)
 
-    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(with_hashes(F.size(w), w)))
+    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(with_hashes(w)))
 
 
 def _count(text: Column, kept: str) -> Column:
@@ -134,7 +147,7 @@ class Cascade:
         return lambda name: F.col(name) if name in ready else feature(name, text, words)
 
     def fit(self, df: DataFrame, text: str = "text", ready: Sequence[str] = ()) -> Cascade:
-        """Measure every rule on a Bernoulli sample; features in ready are columns of df already."""
+        """Measure every rule on a Bernoulli sample; features in ready are columns of df already, and cost a rule nothing."""
         rows = df.count()
         sample = df.select(text, *ready)
         if rows > self.sample_rows:

@@ -11,7 +11,6 @@ from .common import bound_batches
 from . import fingerprints, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_counts, url_filter
 
 BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SHAPE_FEATURES = ["n_lines", "n_shouts"]
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -19,12 +18,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cascade over all documents, with the features of its rules."""
-    names = [*BASE_FEATURES, *SHAPE_FEATURES]
-    measured = quality_rules.with_features(documents(spark, sf_dir), names)
-    cascade = quality_rules.Cascade().fit(documents(spark, sf_dir))
+    """Cascade over all documents. The base features are columns of the result; those of the other rules are worked out where no rule before them has rejected."""
+    measured = quality_rules.with_features(documents(spark, sf_dir), BASE_FEATURES)
+    cascade = quality_rules.Cascade().fit(measured, ready=BASE_FEATURES)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return cascade.judge(measured, ready=names).select("doc_id", *BASE_FEATURES, base.alias("base_failed"), "kept", *SHAPE_FEATURES)
+    return cascade.judge(measured, ready=BASE_FEATURES).select("doc_id", *BASE_FEATURES, base.alias("base_failed"), "kept")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +163,7 @@ WITH w AS (
 ), g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_shouts > 20 * n_words
-            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept,
-       n_lines, n_shouts
+            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM g
 """,
     "op2_line_dedup": r"""

@@ -42,6 +42,17 @@ def test_quality_order_never_changes_the_verdict(spark, docs, no_docs, odd_docs)
     assert judged.count() == 5 and judged.columns == odd_docs.columns and judged.where("kept").count() == 0
 
 
+def test_repeated_windows_are_told_by_their_words(spark, monkeypatch):
+    """With hashes of four values most windows collide, and the counts are the same."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(200)] + [" ".join(map(str, range(80))), "x " * 30, prose(1, 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i: (brute.quality(t)["n_repeat_words"],) for i, t in enumerate(texts)}
+    assert by_id(quality_rules.with_features(df, ["n_repeat_words"]), "n_repeat_words") == want
+    monkeypatch.setattr(quality_rules, "_window_hash", lambda w, i: F.ascii(F.get(w, i)).cast("long") % 2)
+    assert by_id(quality_rules.with_features(df, ["n_repeat_words"]), "n_repeat_words") == want
+
+
 # 2 line dedup
 
 
