@@ -1,20 +1,25 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 A rule fits its host and all subdomains where the path starts as the rule's does; the longest that
-fits decides. URLs that no rule fits are judged by trees trained on those that one does: lengths,
-depth, digit ratio, entropy, parameter counts, and the statistics of host suffixes, which are
-counted over all labelled URLs. The trees are fitted on a Bernoulli sample of at most about
-``fit_rows`` labelled rows; scoring takes every row.
+fits decides. URLs that no rule fits are judged by trees trained on those that one does (or on labels
+of the input): lengths, depth, digit ratio, entropy, parameter counts, and the statistics of suffixes:
+of a host's last label, its last two, and its last one with the first segment of the path. Suffixes
+are counted over all labelled URLs, in FOLDS by the URL's hash; a labelled URL gets the counts of the
+other folds, so its own label isn't among its features. The trees are fitted on a Bernoulli sample of
+at most about ``fit_rows`` labelled rows; features and scores are of every row.
+
+Features are DataFrame expressions; trees are grown and scored in arrays.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule, and is
 judged by the trees like any other. Without labelled rows of both verdicts the method gives the
-only verdict seen, or ``allow``. Repeated rows are judged one by one.
+only verdict seen, or ``allow``. Repeated rows are judged one by one. Very long URLs are measured
+whole. Columns of the input pass through, whatever their names, but for host, path, rule, verdict and
+score, which are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -59,27 +64,34 @@ def fitting(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return out
 
 
-#: Suffixes of a host of so many labels get statistics.
-SUFFIX_LABELS = (1, 2)
-FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "query_length", "has_fragment", *(f"suffix{k}_{x}" for k in SUFFIX_LABELS for x in ("seen", "blocked")))
+#: Statistics of these: the last label of a host, the last two, the last one before the path's first segment.
+SUFFIXES = ("suffix1", "suffix2", "suffix_path")
+FOLDS = 5
+LEXICAL = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "query_length", "has_fragment")
+FEATURES = (*LEXICAL, *(f"{s}_{x}" for s in SUFFIXES for x in ("seen", "blocked")))
 
 
-def suffix(host: Column, labels: int) -> Column:
-    return F.substring_index(host, ".", -labels)
+def suffixes(host: Column, path: Column) -> dict[str, Column]:
+    last = F.substring_index(host, ".", -1)
+    return {"suffix1": last, "suffix2": F.substring_index(host, ".", -2), "suffix_path": F.concat(last, F.lit("/"), F.substring_index(F.substring(path, 2, 1 << 30), "/", 1))}
 
 
-def features(urls: list[str | None], hosts: list[str], paths: list[str], stats: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each URL; stats has its suffixes' seen and blocked counts."""
-    out = np.zeros((len(urls), len(FEATURES)))
-    for i, (url, host, path) in enumerate(zip(urls, hosts, paths)):
-        url = url or ""
-        n = len(url) or 1
-        query = url.partition("?")[2].partition("#")[0]
-        entropy = -sum(c / n * math.log2(c / n) for c in Counter(url).values())
-        out[i, :10] = len(url), len(host), len(path), host.count("."), path.count("/"), sum(map(str.isdigit, url)) / n, entropy, query.count("=") if query else 0, len(query), "#" in url
-    out[:, 10::2] = np.log1p(stats[:, 0::2])
-    out[:, 11::2] = (stats[:, 1::2] + 1) / (stats[:, 0::2] + 2)
-    return out
+def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """LEXICAL of a URL, as doubles."""
+    url = F.coalesce(url, F.lit(""))
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c)))
+    n = F.greatest(F.length(url), F.lit(1))
+    query = F.regexp_extract(url, r"^[^?]*\?([^#]*)", 1)
+
+    def bits(chars: Column) -> Column:
+        share = lambda c: (F.length(url) - F.length(F.replace(url, c))) / n
+        return F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+
+    values = [
+        F.length(url), F.length(host), F.length(path), count(host, "."), count(path, "/"), F.length(F.regexp_replace(url, "[^0-9]", "")) / n,
+        bits(F.array_distinct(F.filter(F.split(url, ""), lambda c: c != ""))), count(query, "="), F.length(query), (F.instr(url, "#") > 0).cast("int"),
+    ]
+    return {name: v.cast("double") for name, v in zip(LEXICAL, values)}
 
 
 @dataclass
@@ -160,51 +172,61 @@ class UrlFilter:
         self.rules, self.fit_rows, self.seed, self.positive, self.negative = list(rules), fit_rows, seed, positive, negative
         self.trees: BoostedTrees | None = None
 
-    def parsed(self, df: DataFrame, url: str = "url") -> DataFrame:
-        """df with host, path, rule, label, and suffix1, suffix2."""
-        held = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-        held = held.withColumn("__fit", fitting(F.col("host"), F.col("path"), self.rules))
-        held = held.withColumns({"rule": F.col("__fit.rule"), "label": F.col("__fit.verdict")}).drop("__fit")
-        return held.withColumns({f"suffix{k}": suffix(F.col("host"), k) for k in SUFFIX_LABELS})
-
-    def _with_stats(self, parsed: DataFrame, scratch: Scratch) -> DataFrame:
-        """Counts of each suffix among all labelled rows; tables of suffixes are joined as Spark sees fit by their size."""
-        out = parsed
-        for k in SUFFIX_LABELS:
-            counted = parsed.where("label is not null").groupBy(f"suffix{k}").agg(F.count(F.lit(1)).alias(f"seen{k}"), F.count_if(F.col("label") == self.positive).alias(f"blocked{k}"))
-            counted = scratch.table(counted, f"suffix{k}").withColumnRenamed(f"suffix{k}", f"__s{k}")
-            out = out.join(counted, F.col(f"suffix{k}") == F.col(f"__s{k}"), "left").drop(f"__s{k}").fillna(0, [f"seen{k}", f"blocked{k}"])
-        return out
-
-    @property
-    def _stat_columns(self) -> list[str]:
-        return [f"{x}{k}" for k in SUFFIX_LABELS for x in ("seen", "blocked")]
-
-    def _matrix(self, batch: pa.RecordBatch | pa.Table, url: str) -> np.ndarray:
-        held = [batch.column(c).to_pylist() for c in (url, "host", "path")]
-        stats = np.array([batch.column(c).to_pylist() for c in self._stat_columns], float).T.reshape(-1, len(self._stat_columns))
-        return features(*held, stats)
+    def parsed(self, df: DataFrame, url: str = "url", label: str | None = None) -> DataFrame:
+        """row (the input's columns), url, host, path, fit (the rule and its verdict), label (the rule's verdict, or else the column label's), fold, s (suffixes), x (lexical features)."""
+        own = F.col(label).cast("string") if label else F.lit(None).cast("string")
+        held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(url).alias("url"), own.alias("own"))
+        held = held.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+        held = held.withColumn("fit", fitting(F.col("host"), F.col("path"), self.rules))
+        s = F.struct(*(c.alias(n) for n, c in suffixes(F.col("host"), F.col("path")).items()))
+        x = F.array(*lexical(F.col("url"), F.col("host"), F.col("path")).values())
+        fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+        return held.select("row", "url", "host", "path", "fit", F.coalesce("fit.verdict", "own").alias("label"), fold.alias("fold"), s.alias("s"), x.alias("x"))
+
+    def featured(self, parsed: DataFrame, scratch: Scratch) -> DataFrame:
+        """parsed with x of all FEATURES; tables of suffixes are joined as Spark sees fit by their size."""
+        out = parsed.withColumns({f"s_{k}": F.col(f"s.{k}") for k in SUFFIXES}).drop("s")
+        per_fold = lambda value: F.array(*(F.sum(F.when(F.col("fold") == i, value).otherwise(0.0)) for i in range(FOLDS)))
+        stats: list[Column] = []
+        for k in SUFFIXES:
+            blocked = F.when(F.col("label") == self.positive, 1.0).otherwise(0.0)
+            counted = parsed.where("label is not null").groupBy(F.col(f"s.{k}").alias(f"at_{k}")).agg(per_fold(F.lit(1.0)).alias(f"seen_{k}"), per_fold(blocked).alias(f"blocked_{k}"))
+            out = out.join(scratch.table(counted, k), F.col(f"s_{k}") == F.col(f"at_{k}"), "left")
+            total = lambda name: F.coalesce(F.aggregate(name, F.lit(0.0), lambda acc, v: acc + v) - F.when(F.col("label").isNotNull(), F.get(name, F.col("fold"))).otherwise(0.0), F.lit(0.0))
+            seen, positive = total(f"seen_{k}"), total(f"blocked_{k}")
+            stats += [F.log1p(seen), (positive + 1) / (seen + 2)]
+        return out.select("row", "url", "host", "path", "fit", "label", F.concat("x", F.array(*stats)).alias("x"))
+
+    def fit(self, featured: DataFrame) -> BoostedTrees:
+        """Trees of the labelled rows of featured."""
+        labelled = featured.where("label is not null").select("url", "label", "x")
+        n = labelled.count()
+        sample = labelled if n <= self.fit_rows else labelled.sample(fraction=self.fit_rows / n, seed=self.seed)
+        table = sample.orderBy("url").toArrow()
+        y = np.array([v == self.positive for v in table.column("label").to_pylist()], float)
+        return BoostedTrees().fit(_matrix(table.column("x")), y) if n else BoostedTrees(base=-1.0)
 
-    def judge(self, df: DataFrame, url: str = "url") -> DataFrame:
+    def judge(self, df: DataFrame, url: str = "url", label: str | None = None) -> DataFrame:
         """The columns of df, host, path, rule, verdict, score (log odds of the trees)."""
         scratch = Scratch(df.sparkSession, "urls")
-        names = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "score")]
-        parsed = scratch.table(self.parsed(df.select(names), url), "parsed")
-        known = self._with_stats(parsed, scratch)
-        n = parsed.where("label is not null").count()
-        labelled = known.where("label is not null").select(url, "host", "path", "label", *self._stat_columns)
-        sample = labelled if n <= self.fit_rows else labelled.sample(fraction=self.fit_rows / n, seed=self.seed)
-        table = sample.orderBy(url).toArrow()
-        y = np.array([x == self.positive for x in table.column("label").to_pylist()], float)
-        self.trees = BoostedTrees(base=-1.0) if not n else BoostedTrees().fit(self._matrix(table, url), y)
-        trees, matrix, positive, negative = self.trees, self._matrix, self.positive, self.negative
+        parsed = scratch.table(self.parsed(df, url, label), "parsed")
+        featured = scratch.table(self.featured(parsed, scratch), "featured")
+        trees = self.trees = self.fit(featured)
+        positive, negative = self.positive, self.negative
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                score = trees.score(matrix(batch, url))
-                verdict = [v or (positive if s > 0 else negative) for v, s in zip(batch.column("label").to_pylist(), score.tolist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(verdict, pa.string()), pa.array(score)], [*kept, "verdict", "score"])
+                score = trees.score(_matrix(batch.column("x")))
+                verdict = [v or (positive if s > 0 else negative) for v, s in zip(batch.column("verdict").to_pylist(), score.tolist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(score)], kind.names)
+
+        kept = featured.select("row", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"), "x")
+        kind = T.StructType([kept.schema[c] for c in ("row", "host", "path", "rule", "verdict")] + [T.StructField("score", T.DoubleType())])
+        names = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "score")]
+        return kept.mapInArrow(run, kind).select(*(F.col(f"row.`{c}`") for c in names), "host", "path", "rule", "verdict", "score")
+
 
-        kept = [*names, "host", "path", "rule"]
-        kind = T.StructType([known.schema[c] for c in kept] + [T.StructField("verdict", T.StringType()), T.StructField("score", T.DoubleType())])
-        return known.select(*kept, "label", *self._stat_columns).mapInArrow(run, kind)
+def _matrix(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Arrays of FEATURES as rows."""
+    flat = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
