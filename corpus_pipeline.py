@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.llm import line_dedup, minhash, mixing, packing, quality_rules
-from stratadoc.llm.common import Scratch
+from stratadoc.llm.common import Scratch, bound_batches
 from stratadoc.llm.queries import MIX_WEIGHTS, mix_domain
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,6 +29,7 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds; n_chars follows the text."""
+    bound_batches(spark)
     kept = line_dedup.LineIndex.sized(docs).insert(docs, steps=2).dedup(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -48,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequences."""
+    bound_batches(spark)
     return packing.pack(docs, SEQUENCE)
 
 
