@@ -12,7 +12,8 @@ that two multisets share, since what they don't share cancels out; likeness is t
 the larger of both squares, 0 for nothing in common (the error is about 1 / sqrt(SPREAD)).
 
 Defined results: a null text is an empty one; an empty text is the multiset of one empty paragraph.
-Equal texts have equal fingerprints and a likeness of 1.
+Equal texts have equal fingerprints and a likeness of 1. Very long texts are hashed whole, as any
+other: a paragraph's length counts in full.
 """
 
 from __future__ import annotations
@@ -122,53 +123,64 @@ def as_string(print_: Column) -> Column:
 
 
 #: Rows of a bucket of neighbours, about; more where there are more than MOST_BUCKETS of these.
-BUCKET_ROWS, MOST_BUCKETS = 2048, 65_536
+BUCKET_ROWS, MOST_BUCKETS = 512, 65_536
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _cuts(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Starts of buckets (key, tie): a key that is several quantiles is cut into as many ranges of ties."""
+    times: dict[int, int] = {}
+    for q in quantiles:
+        times[q] = times.get(q, 0) + 1
+    return [(q, _LEAST + (j << 64) // n) for q, n in sorted(times.items()) for j in range(n)]
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", *, derive: dict[str, Column] | None = None) -> DataFrame:
     """df with __next, the text of the row that follows by key (after the last: of the first), and __next_<name>
     for columns derived from the row.
 
-    Rows are dealt to buckets between quantiles of the key, and the first rows of a bucket are given to
-    the bucket before as well, so that no window sees more than a bucket and a text is shuffled once.
-    Equal keys follow each other in the order of their text's hash; rows without a key come last.
+    Rows are dealt to buckets between quantiles of the key, and of the text's hash where one key (or none)
+    has several buckets' rows. The first rows of a bucket are given to the bucket before as well, so that
+    no window sees more than a bucket and a text is shuffled once. Equal keys follow each other in the
+    order of their text's hash; rows without a key come last. Identical rows are in one bucket.
     """
-    low = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
+    low = F.coalesce(F.col(key).cast("long"), F.lit(_MOST))
     ids = df.select(low.alias("k"))
     n = ids.count()
     n_buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = ids.agg(F.percentile_approx("k", [i / n_buckets for i in range(1, n_buckets)], 100_000)).first()[0] if n_buckets > 1 else []
-    cuts = sorted(set(cuts or []))
+    cuts = _cuts(ids.agg(F.percentile_approx("k", [i / n_buckets for i in range(1, n_buckets)], 100_000)).first()[0] or [] if n_buckets > 1 else [])
+    hot = len({k for k, _ in cuts}) < len(cuts)
+    tie = F.xxhash64(text) if hot else F.lit(0).cast("long")
 
     longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  folded to one literal
 
-    def place(key_: Column) -> Column:
-        """The number of cuts that are at most the key, by halving."""
+    def place(key_: Column, tie_: Column) -> Column:
+        """The number of cuts that are at most the row's, by halving."""
         if not cuts:
             return F.lit(0).cast("bigint")
-        bound = longs(cuts)
+        keys, ties = longs([k for k, _ in cuts]), longs([t for _, t in cuts])
 
         def halve(acc: Column, _: Column) -> Column:
             middle = F.shiftright(acc["lo"] + acc["hi"], 1)
-            open_, right = acc["lo"] < acc["hi"], key_ >= F.get(bound, middle)
+            right = key_ >= F.get(keys, middle) if not hot else (key_ > F.get(keys, middle)) | ((key_ == F.get(keys, middle)) & (tie_ >= F.get(ties, middle)))
+            open_ = acc["lo"] < acc["hi"]
             return F.struct(F.when(open_ & right, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~right, middle).otherwise(acc["hi"]).alias("hi"))
 
         start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.lit(len(cuts)).cast("bigint").alias("hi"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda acc: acc["lo"])
 
-    heads = [tuple(r) for r in ids.groupBy(place(F.col("k")).alias("b")).agg(F.min("k")).orderBy("b").collect()]
-    own, firsts = place(F.col("__k")), [first for _, first in heads]
+    placed = df.select(low.alias("k"), tie.alias("t"))
+    heads = [(b, h["k"], h["t"]) for b, h in placed.groupBy(place(F.col("k"), F.col("t")).alias("b")).agg(F.min(F.struct("k", "t"))).orderBy("b").collect()]
     # the first rows of a bucket also go to the one before; those of the first bucket to the last, behind all others
-    earlier = [0] * (len(cuts) + 1)
-    for i, (b, _) in enumerate(heads):
-        earlier[b] = heads[i - 1][0]
+    earlier, head_k, head_t = ([0] * (len(cuts) + 1) for _ in range(3))
+    for i, (b, k, t) in enumerate(heads):
+        earlier[b], head_k[b], head_t[b] = heads[i - 1][0], k, t
     home = lambda b: F.struct(b.alias("b"), F.lit(False).alias("wrap"), F.lit(False).alias("copy"))
-    places = let(own, lambda b: F.array(home(b)))
-    if heads:
-        copy = lambda b: F.struct(F.get(longs(earlier), b).alias("b"), (F.col("__k") == firsts[0]).alias("wrap"), F.lit(True).alias("copy"))
-        places = let(own, lambda b: F.when(F.col("__k").isin(firsts), F.array(home(b), copy(b))).otherwise(F.array(home(b))))
-    dealt = df.withColumn("__k", low).withColumn("__at", F.explode(places)).withColumn("__tie", F.xxhash64(text))
-    dealt = dealt.withColumns({"__b": F.col("__at.b"), "__wrap": F.col("__at.wrap"), "__copy": F.col("__at.copy")}).drop("__at")
+    copy = lambda b: F.struct(F.get(longs(earlier), b).alias("b"), (b == (heads[0][0] if heads else 0)).alias("wrap"), F.lit(True).alias("copy"))
+    leads = lambda b: (F.col("__k") == F.get(longs(head_k), b)) & (F.col("__cut") == F.get(longs(head_t), b))
+    places = let(place(F.col("__k"), F.col("__cut")), lambda b: F.when(leads(b), F.array(home(b), copy(b))).otherwise(F.array(home(b))))
+    dealt = df.withColumn("__k", low).withColumn("__cut", tie).withColumn("__at", F.explode(places)).withColumn("__tie", F.xxhash64(text))
+    dealt = dealt.withColumns({"__b": F.col("__at.b"), "__wrap": F.col("__at.wrap"), "__copy": F.col("__at.copy")}).drop("__at", "__cut")
     order = Window.partitionBy("__b").orderBy("__wrap", "__k", "__tie")
     out = dealt.withColumn("__next", F.lead(F.coalesce(text, F.lit(""))).over(order)).withColumns(derive or {})
     out = out.withColumns({f"__next_{name}": F.lead(name).over(order) for name in derive or {}})

@@ -341,6 +341,15 @@ def test_next_rows_over_many_buckets(spark, monkeypatch, odd_docs, no_docs):
     out = {r.doc_id: r["__next"] for r in fingerprints.with_next(df).collect()}
     order = sorted(ids)
     assert out == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+    same = [(None if i % 2 else 7, f"u{i}") for i in range(200)] + [(i, f"v{i}") for i in range(50)]
+    got = {r.text: r["__next"] for r in fingerprints.with_next(spark.createDataFrame(same, "doc_id bigint, text string").repartition(5)).collect()}
+    at, seen = "v0", []
+    for _ in range(250):  # one ring through all rows, by key
+        seen.append(at)
+        at = got[at]
+    keys = [1 << 63 if t[0] == "u" and int(t[1:]) % 2 else 7 if t[0] == "u" else int(t[1:]) for t in seen]
+    assert at == "v0" and len(set(seen)) == 250 and keys == sorted(keys)
+    assert len(fingerprints._cuts([7] * 8 + [9])) == 9
     assert fingerprints.with_next(odd_docs).count() == 5 and fingerprints.with_next(no_docs).count() == 0
 
 
