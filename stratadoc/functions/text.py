@@ -30,6 +30,20 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 STABLE = r"\x00-\x7F\x{A1}\x{AB}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}"
 
 
+#: Characters whose folded case is their lower case: ASCII, Latin letters with marks but for sharp s and a few more, Arabic script, CJK.
+FOLDED_AS_LOWER = r"\x00-\x7F\x{A0}-\x{B4}\x{B6}-\x{DE}\x{E0}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}\x{600}-\x{6FF}\x{2010}-\x{2027}\x{3000}-\x{9FFF}"
+
+
+@F.pandas_udf(T.StringType())
+def _casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else x.casefold())
+
+
+def casefold(text: Column) -> Column:
+    """Case folding, which Spark has no function for; texts whose lower case is the same don't leave the JVM."""
+    return F.coalesce(_casefold(F.when(text.rlike(f"[^{FOLDED_AS_LOWER}]"), text)), F.lower(text))
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility composition; texts of stable characters only are passed by, so Python sees nulls for them."""
     return F.coalesce(_nfkc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
@@ -45,6 +59,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
+def blank(text: Column) -> Column:
+    """Whether there is nothing but white space; a null is blank."""
+    return ~F.coalesce(text.rlike(f"[^{SPACE[1:-1]}]"), F.lit(False))
+
+
 def compact(text: Column) -> Column:
     """Without white space."""
     return F.regexp_replace(text, f"{SPACE}+", "")
@@ -92,9 +111,26 @@ def normalize_for_evaluation(text: Column, *, compose: bool = True) -> Column:
     return squeeze(F.replace(out, F.lit("\u200c"), F.lit(" ")))
 
 
+def normalize_router(text: Column) -> Column:
+    """As normalize_ocr, but without composition, with the zero-width non-joiner as a space and the stroke of kashida kept."""
+    out = F.translate(F.coalesce(text, F.lit("")), "\u064a\u0649\u0643\u200c\xa0\u200d\ufeff\u00ad", "\u06cc\u06cc\u06a9  ")  # the last three go
+    out = F.regexp_replace(out, r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"[ \t]+", " ")
+    out = F.regexp_replace(out, r" *\n *", "\n")
+    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+
+
 def normalize_for_agreement(text: Column) -> Column:
-    """Lower case, everything that is no word character to a space."""
-    return squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+    """normalize_router with case folded, everything that is no word character or Arabic script to a space."""
+    return squeeze(F.regexp_replace(casefold(normalize_router(text)), r"[^\p{L}\p{N}_\x{0600}-\x{06FF}]+", " "))
+
+
+def normalize_for_comparison(text: Column, *, compose: bool = True) -> Column:
+    """What two layers of a page are compared by: composed, case folded, variants folded, all blanks to single spaces."""
+    out = F.coalesce(text, F.lit(""))
+    out = casefold(nfkc(out) if compose else out)
+    out = F.translate(out, "\u064a\u0649\u0643\u200c\u0640", "\u06cc\u06cc\u06a9 ")  # the last one goes
+    return squeeze(out)
 
 
 def persian_ratio(text: Column) -> Column:
@@ -132,6 +168,14 @@ def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(kb < 1024, show(kb, "KB")).when(mb < 1024, show(mb, "MB")).otherwise(show(gb, "GB"))
 
 
+def location_text(location: Column) -> Column:
+    """A place for readers: sheet and row of a cell, number of a page, else the place's type."""
+    cell = F.concat(location["sheet"], F.lit(", row "), location["row"].cast("string"))
+    page = F.concat(F.lit("page "), location["num"].cast("string"))
+    kind = location["type"]
+    return F.when(location.isNull(), "\u2014").when(kind == "cell", cell).when(kind == "page", page).otherwise(F.coalesce(kind, F.lit("location")))
+
+
 def clock(seconds: Column) -> Column:
     """m:ss"""
     return F.format_string("%d:%02d", F.floor(seconds / 60), F.floor(seconds) % 60)

@@ -72,8 +72,38 @@ def leaks(hits: DataFrame, allowed: DataFrame, key: str = "chunk_id") -> DataFra
     return hits.join(allowed.select(key), key, "left_anti")
 
 
+_RANKING = {"GlobalLimit", "LocalLimit", "Sort", "Window", "Offset", "Tail", "WindowGroupLimit"}
+
+
+def _paths(node, above: list[str]) -> list[list[str]]:
+    """What stands on each way from the root of a plan to a leaf: R for a ranking, F for the group filter."""
+    kind = node.nodeName()
+    mark = ["R"] if kind in _RANKING else ["F"] if kind == "Filter" and "arrays_overlap" in node.simpleStringWithNodeId() + node.expressions().toString() else []
+    children = node.children()
+    held = [children.apply(i) for i in range(children.size())]
+    return [path for child in held for path in _paths(child, above + mark)] if held else [above + mark]
+
+
 def filter_below_ranking(df: DataFrame) -> bool:
-    """Whether the optimised plan has the group filter under its limit or sort."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    ranked = min((i for i in (plan.find(w) for w in ("GlobalLimit", "LocalLimit", "Sort [", "Window [")) if i >= 0), default=-1)
-    return plan.rfind("arrays_overlap") > ranked
+    """Whether the optimised plan filters by group, and below every limit, sort and window over what it filters."""
+    guarded = [path for path in _paths(df._jdf.queryExecution().optimizedPlan(), []) if "F" in path]
+    return bool(guarded) and all("R" not in path[max(i for i, m in enumerate(path) if m == "F") :] for path in guarded)
+
+
+def granted(permission: str, level: str = "level", permissions: str = "permissions", *, panel: bool = False) -> Column:
+    """may() over rows of users: creators always, then, where a panel asks for it, admins only, then by permission."""
+    creator, admin = F.col(level) == "creator", F.col(level).isin("creator", "admin")
+    held = F.coalesce(F.array_contains(permissions, permission), F.lit(False))
+    return creator | ((admin if panel else F.lit(True)) & held)
+
+
+def may_panel(level: str = "level") -> Column:
+    """Whether a user's level opens the admin panel."""
+    return F.coalesce(F.col(level).isin("creator", "admin"), F.lit(False))
+
+
+def one_row(df: DataFrame, what: str) -> DataFrame:
+    """df, which must have a row: none raises not found when it is read."""
+    n = df.agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct("*"), ignorenulls=False).alias("__row"))
+    found = F.when(F.col("__n") > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"{what} not found")).cast("boolean"))
+    return n.where(found).select("__row.*")

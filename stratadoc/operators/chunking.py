@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import language, split_words, strip
+from ..functions.text import SPACE, language, normalize_for_comparison, split_words, strip
 
 #: Windows of at most so many characters are left out.
 LEAST_CHARS = 50
@@ -32,9 +32,9 @@ def fixed_chunks(df: DataFrame, text: str = "text", size: int = 512, overlap: in
 
 
 def split_articles(text: Column, mark: str = "ماده") -> Column:
-    """Articles from one heading to the next; what stands before the first goes, and none gives no rows."""
-    head = rf"\n\s*{mark}\d+"
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)({head}.*?)(?={head}|\z)"), F.lit(1)), strip)
+    """Articles from one heading (a line of the mark and digits of any script) to the next, as they stand; what is before the first goes, and none gives no rows."""
+    head = rf"\n{SPACE}*{mark}\p{{Nd}}+"
+    return F.regexp_extract_all(text, F.lit(rf"(?s)({head}.*?)(?={head}|\z)"), F.lit(1))
 
 
 _STATE = "struct<out:array<struct<text:string,kind:string,blocks:array<string>>>,parts:array<string>,held:array<string>,words:int>"
@@ -58,7 +58,7 @@ def structural(blocks: Column, max_words: int = 512, overlap: int = OVERLAP) ->
         return F.struct(out.alias("out"), parts.alias("parts"), held.alias("held"), words.cast("int").alias("words"))
 
     def step(acc: Column, b: Column) -> Column:
-        n = F.size(split_words(b["text"]))
+        n = b["n"]
         own = F.array(b["block_id"])
         kind_ = F.when(b["block_type"] == "table", "table").otherwise("text")
         whole = F.array(piece(b["text"], kind_, own)).cast(kind)
@@ -70,7 +70,9 @@ def structural(blocks: Column, max_words: int = 512, overlap: int = OVERLAP) ->
         return F.when((b["block_type"] == "table") | (n > max_words), alone).when(opens, begun).otherwise(grown).cast(_STATE)
 
     start = state(F.array().cast(kind), none, none, F.lit(0)).cast(_STATE)
-    return F.filter(F.aggregate(blocks, start, step, closed), lambda c: c["text"] != "")
+    # words are counted once a block, before the fold
+    sized = F.transform(blocks, lambda b: F.struct(b["block_id"].alias("block_id"), b["block_type"].alias("block_type"), b["text"].alias("text"), F.regexp_count(b["text"], F.lit(f"[^{SPACE[1:-1]}]+")).alias("n")))
+    return F.filter(F.aggregate(sized, start, step, closed), lambda c: c["text"] != "")
 
 
 def page_chunks(pages: DataFrame, max_words: int = 512) -> DataFrame:
@@ -94,7 +96,7 @@ def document_chunks(pages: DataFrame, acl_groups: list[str], *, allow_needs_revi
     groups = normalized_groups(acl_groups)
     held = page_chunks(allowed_pages(pages, allow_needs_review=allow_needs_review), max_words)
     held = held.withColumns({
-        "chunk_id": ids.canonical_id("chunk", F.col("page_id"), F.lit("structural-v1"), F.col("chunk_index")),
+        "chunk_id": ids.canonical_id("chunk", ids.Plain(F.col("page_id")), ids.Plain(F.lit("structural-v1")), ids.Plain(F.col("chunk_index"))),
         "lang": language(F.col("text")), "acl_groups": F.array(*map(F.lit, groups)),
         "location": F.struct(F.lit("page").alias("type"), F.col("page_number").alias("num"), F.col("page_id").alias("page_id"), F.lit("structural-v1").alias("strategy"), F.col("kind").alias("kind"), F.col("block_ids").alias("block_ids")),
     })
@@ -104,7 +106,7 @@ def document_chunks(pages: DataFrame, acl_groups: list[str], *, allow_needs_revi
 def page_sized(pages: DataFrame, *, allow_needs_review: bool = False) -> DataFrame:
     """One chunk a page; a page that isn't allowed raises."""
     return allowed_pages(pages, allow_needs_review=allow_needs_review, strict=True).select(
-        "*", F.col("index_text").alias("text"), ids.canonical_id("chunk", F.col("page_id"), F.lit("page-v1"), F.lit(0)).alias("chunk_id"), language(F.col("index_text")).alias("lang")
+        "*", F.col("index_text").alias("text"), ids.canonical_id("chunk", ids.Plain(F.col("page_id")), ids.Plain(F.lit("page-v1")), ids.Plain(F.lit(0))).alias("chunk_id"), language(F.col("index_text")).alias("lang")
     )
 
 
@@ -121,7 +123,8 @@ def stamped(chunks: DataFrame, tenant_id: str, acl_groups: list[str]) -> DataFra
     return chunks.withColumns({"tenant_id": F.lit(tenant_id), "acl_groups": F.array(*map(F.lit, normalized_groups(acl_groups))), "chunk_id": F.concat_ws(":", F.lit(tenant_id), "chunk_id")})
 
 
-def layer_text(native: Column, ocr: Column, normalized_native: Column, normalized_ocr: Column) -> Column:
-    """Both layers of a page, the native one alone where they are the same."""
+def layer_text(native: Column, ocr: Column) -> Column:
+    """Both layers of a page, the native one alone where they say the same: composed, case and variants folded, blanks reduced."""
     n, o = strip(F.coalesce(native, F.lit(""))), strip(F.coalesce(ocr, F.lit("")))
-    return F.when(n == "", o).when((o == "") | (normalized_native == normalized_ocr), n).otherwise(F.concat(n, F.lit("\n\n"), o))
+    same = normalize_for_comparison(n) == normalize_for_comparison(o)
+    return F.when(n == "", o).when((o == "") | same, n).otherwise(F.concat(n, F.lit("\n\n"), o))

@@ -14,15 +14,22 @@ def cer(hypothesis: Column, truth: Column, *, compose: bool = True) -> Column:
     return F.when(truth.isNotNull() & (F.length(t) > 0), F.levenshtein(h, t) / F.length(t))
 
 
+#: Code points beyond the basic plane, where no surrogates are.
+_MOST_WORDS = 0x110000 - 0x10000
+
+
 def wer(hypothesis: Column, truth: Column, *, compose: bool = True) -> Column:
     """Edits of words over the truth's words; words are coded as single characters, so that the JVM's edit distance counts them."""
     h, t = (split_words(normalize_for_evaluation(c, compose=compose)) for c in (hypothesis, truth))
 
     def coded(words: Column, known: Column) -> Column:
-        # from the CJK block on, which is past every surrogate problem for 20000 distinct words
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4DFF), 4, "0")), "UTF-16BE")), "")
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
+
+    def edits(s: Column) -> Column:
+        many = F.raise_error(F.concat(F.lit(f"more than {_MOST_WORDS} distinct words: "), F.size(s["k"]).cast("string"))).cast("int")
+        return F.when(F.size(s["k"]) > _MOST_WORDS, many).otherwise(F.levenshtein(coded(s["h"], s["k"]), coded(s["t"], s["k"])))
 
-    both = F.transform(F.array(F.struct(h.alias("h"), t.alias("t"), F.array_union(h, t).alias("k"))), lambda s: F.levenshtein(coded(s["h"], s["k"]), coded(s["t"], s["k"])) / F.size(s["t"]))
+    both = F.transform(F.array(F.struct(h.alias("h"), t.alias("t"), F.array_union(h, t).alias("k"))), lambda s: edits(s) / F.size(s["t"]))
     return F.when(truth.isNotNull() & (F.size(t) > 0), F.get(both, F.lit(0)))
 
 

@@ -19,6 +19,14 @@ def file_reports(quality: DataFrame, pages: DataFrame, tables: DataFrame, failur
     return out if failures is None else out.unionByName(failures.select("document_id", "error"), allowMissingColumns=True)
 
 
+def with_warnings(reports: DataFrame, documents: DataFrame) -> DataFrame:
+    """reports with warnings: a document's own (documents: document_id, warnings) before those of its quality, each once."""
+    none = F.array().cast("array<string>")
+    own = documents.select("document_id", F.col("warnings").alias("__own"))
+    held = reports.join(own, "document_id", "left")
+    return held.withColumn("warnings", F.array_distinct(F.concat(F.coalesce("__own", none), F.coalesce("warnings", none)))).drop("__own")
+
+
 def corpus_totals(reports: DataFrame) -> DataFrame:
     """Totals of a run: failed files count as files only."""
     good = F.col("error").isNull()
@@ -82,3 +90,56 @@ def ingestion_status(embedded: Column, level: Column, n_warnings: Column, needs_
     """indexed, indexed_with_warnings, needs_review or failed."""
     clean = (level == "accepted") & (n_warnings == 0) & (needs_review == 0)
     return F.when((embedded > 0) & clean, "indexed").when(embedded > 0, "indexed_with_warnings").when(needs_review > 0, "needs_review").otherwise("failed")
+
+
+def results(quality: DataFrame, documents: DataFrame, embedded: DataFrame, *, pipeline: str) -> DataFrame:
+    """What became of each document: counts, score and verdict of its quality, embedded chunks, all warnings, status.
+
+    documents: document_id, source, tenant_id, extraction_route, table_count, warnings, errors; embedded: document_id, embedded_chunks.
+    """
+    none = F.array().cast("array<string>")
+    held = quality.withColumnRenamed("warnings", "__told").join(documents, "document_id").join(embedded, "document_id", "left").withColumn("embedded_chunks", F.coalesce("embedded_chunks", F.lit(0)))
+    held = held.withColumn("warnings", F.concat(F.coalesce("warnings", none), F.coalesce("__told", none)))
+    status = ingestion_status(F.col("embedded_chunks"), F.col("level"), F.size("warnings"), F.col("needs_review_pages"))
+    return held.select(
+        "document_id", F.col("embedded_chunks").alias("chunks"), "source", "tenant_id", F.lit(pipeline).alias("ingestion_pipeline"), "extraction_route", status.alias("ingestion_status"), F.col("score").alias("quality_score"),
+        F.col("level").alias("quality_level"), "total_pages", "accepted_pages", "needs_review_pages", "failed_pages", "empty_pages", "table_count", "warnings", "errors", "embedded_chunks",
+    )
+
+
+def indexed_or_raise(results_: DataFrame) -> DataFrame:
+    """results; one that failed without a chunk raises when it is read."""
+    empty = (F.col("embedded_chunks") == 0) & (F.col("ingestion_status") == "failed")
+    said = F.concat(F.lit("nothing to index in "), "source", F.lit(" (route "), "extraction_route", F.lit(", quality "), "quality_level", F.lit(")"))
+    return results_.where(F.when(empty, F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+
+
+def parsed_reports(texts: DataFrame, schema: str, text: str = "text") -> DataFrame:
+    """Rows of JSON reports, each an object with ``reports`` or a bare list."""
+    body = F.col(text)
+    held = F.when(body.rlike(r"^\s*\["), F.from_json(body, f"array<struct<{schema}>>")).otherwise(F.from_json(body, f"struct<reports:array<struct<{schema}>>>")["reports"])
+    return texts.select(*(c for c in texts.columns if c != text), F.explode(held).alias("r")).select("*", "r.*").drop("r")
+
+
+def as_lines(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """line_no, line: rows as a table of text, headers and a rule first; a report's rows, which are few."""
+    shown = rows.select(F.col(order).alias("__o"), *(F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in columns))
+    widths = shown.agg(*(F.greatest(F.coalesce(F.max(F.length(c)), F.lit(0)), F.lit(len(c))).alias(f"w_{c}") for c in columns))
+    padded = lambda values: F.concat_ws("  ", *(F.rpad(v, F.col(f"w_{c}"), " ") for c, v in zip(columns, values)))
+    head = widths.select(F.lit(0).alias("line_no"), padded([F.lit(c) for c in columns]).alias("line"))
+    rule = widths.select(F.lit(1).alias("line_no"), F.concat_ws("  ", *(F.repeat(F.lit("-"), F.col(f"w_{c}")) for c in columns)).alias("line"))
+    body = shown.withColumn("line_no", F.row_number().over(Window.orderBy("__o")) + 1).join(F.broadcast(widths)).select("line_no", padded([F.col(c) for c in columns]).alias("line"))
+    return head.unionByName(rule).unionByName(body)
+
+
+def write_artefacts(pages: DataFrame, folder: str) -> None:
+    """Pages as JSON and their texts beside it, a part a page number, to look at without an engine."""
+    pages.write.mode("overwrite").partitionBy("document_id").json(f"{folder}/pages")
+    pages.select("document_id", "page_number", F.col("index_text").alias("value")).write.mode("overwrite").partitionBy("document_id", "page_number").text(f"{folder}/text")
+
+
+def region_report(regions: DataFrame) -> DataFrame:
+    """A row a page (page_id) of its regions: their number, words, mean confidence weighted by words, and the regions as JSON."""
+    weight = F.when(F.col("confidence").isNotNull(), F.greatest(F.lit(1), F.col("word_count")))
+    rows = F.to_json(F.sort_array(F.collect_list(F.struct("region_id", "left", "top", "right", "bottom", "word_count", F.round("confidence", 2).alias("confidence")))))
+    return regions.groupBy("page_id").agg(F.count(F.lit(1)).alias("regions"), F.sum("word_count").alias("words"), F.round(F.sum(F.col("confidence") * weight) / F.sum(weight), 2).alias("mean_confidence"), rows.alias("report"))

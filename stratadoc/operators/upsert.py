@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import point_id
+from ..schema import POINTS
 
 
 def points(chunks: DataFrame) -> DataFrame:
@@ -29,9 +30,19 @@ class PointTable:
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return fs.exists(at) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(at))
 
+    def create(self, schema: str = POINTS) -> None:
+        """An empty table of a schema (DDL), if there is none yet."""
+        if not self.exists():
+            self.spark.createDataFrame([], schema).drop("tenant_id").write.parquet(f"{self.path}/tenant_id=__none")
+
+    def count(self) -> int:
+        """Current points."""
+        return self.read().count()
+
     def upsert(self, chunks: DataFrame, seq: int) -> int:
-        """Append chunks under a sequence number; the same batch again changes nothing that is read."""
-        held = points(chunks).withColumn("ingest_seq", F.lit(seq).cast("long")).dropDuplicates(["point_id"]).persist()
+        """Append chunks under a sequence number; of a point that a batch has twice the later row wins. The same batch again changes nothing that is read."""
+        numbered = points(chunks).withColumn("__no", F.monotonically_increasing_id())
+        held = latest(numbered, order="__no").drop("__no").withColumn("ingest_seq", F.lit(seq).cast("long")).persist()
         try:
             n = held.count()
             if n:

@@ -35,13 +35,14 @@ def _ocr(c: str) -> str:
 
 
 def _metrics(source: str, c: str, garbage: str, carry: str = "*") -> str:
-    """Common table expressions that end in m: source with the five metrics of column c."""
+    """Common table expressions that end in m: source with the five metrics of column c, and the ratios before they are rounded."""
     return rf"""n0 AS (SELECT *, {_ocr(c)} AS norm FROM {source}),
-n1 AS (SELECT *, regexp_replace(norm, '{_WS}', '', 'g') AS comp, regexp_extract_all(lower(norm), '[\p{{L}}\p{{N}}_]+') AS toks FROM n0),
-m AS (SELECT *, CASE WHEN length(comp) = 0 THEN 0.0 ELSE round((length(comp) - length(regexp_replace(comp, '[\p{{L}}\p{{N}}]', '', 'g'))) / length(comp) + 1e-9, 4) END AS meaningful_ratio,
-  CASE WHEN length(comp) = 0 THEN 1.0 ELSE round((length(comp) - length(regexp_replace(comp, '[{garbage}\p{{Cc}}\p{{Cs}}\p{{Co}}]', '', 'g'))) / length(comp) + 1e-9, 4) END AS garbage_ratio,
-  CASE WHEN length(comp) = 0 OR len(toks) = 0 THEN 1.0 ELSE round(1 - len(list_distinct(toks)) / len(toks) + 1e-9, 4) END AS repetition_ratio,
-  length(comp) AS character_count, CASE WHEN length(comp) = 0 THEN 0 ELSE len(toks) END AS word_count FROM n1)"""
+n1 AS (SELECT *, regexp_replace(norm, '{_WS}', '', 'g') AS comp, regexp_extract_all(norm, '[\p{{L}}\p{{N}}_]+') AS toks FROM n0),
+n2 AS (SELECT *, CASE WHEN length(comp) = 0 THEN 0.0 ELSE (length(comp) - length(regexp_replace(comp, '[\p{{L}}\p{{N}}]', '', 'g'))) / length(comp) END AS raw_meaningful,
+  CASE WHEN length(comp) = 0 THEN 1.0 ELSE (length(comp) - length(regexp_replace(comp, '[{garbage}\p{{Cc}}\p{{Cs}}\p{{Co}}]', '', 'g'))) / length(comp) END AS raw_garbage,
+  CASE WHEN length(comp) = 0 OR len(toks) = 0 THEN 1.0 ELSE 1 - len(list_distinct(list_transform(toks, lambda x: replace(lower(x), 'ß', 'ss')))) / len(toks) END AS raw_repetition FROM n1),
+m AS (SELECT *, round(raw_meaningful + 1e-9, 4) AS meaningful_ratio, round(raw_garbage + 1e-9, 4) AS garbage_ratio, round(raw_repetition + 1e-9, 4) AS repetition_ratio,
+  length(comp) AS character_count, CASE WHEN length(comp) = 0 THEN 0 ELSE len(toks) END AS word_count FROM n2)"""
 
 
 _SCORE = "CASE WHEN character_count = 0 THEN 0.0 ELSE round(greatest(0.0, least(100.0, 100 * (meaningful_ratio * 0.45 + (1 - garbage_ratio) * 0.25 + (1 - repetition_ratio) * 0.15 + least(character_count / 200, 1.0) * 0.15))) + 1e-9, 2) END"
@@ -110,11 +111,10 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH q AS (SELECT vec_id AS a, embedding AS e FROM embeddings WHERE vec_id % 20 = 0) SELECT a, vec_id AS b, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> a QUALIFY row_number() OVER (PARTITION BY a ORDER BY list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) DESC, vec_id) = 1")
 def vector_self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other vector of every vector whose id is divisible by 20: the query set goes to all rows, in blocks."""
-    held = table(spark, sf_dir, "embeddings")
-    asked = held.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("qvec"))
-    met = held.join(asked, F.col("vec_id") != F.col("question_id"))
-    best = retrieval.top_k_each(met.select("question_id", "vec_id", retrieval.cosine(F.col("embedding"), F.col("qvec")).alias("score")), "question_id", 1, "vec_id")
-    return best.select(F.col("question_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 6).alias("score"))
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    hits = retrieval.nearest(held, held.where("id % 20 = 0"), 2).where("chunk_id <> question_id")
+    best = hits.groupBy("question_id").agg(F.min_by(F.struct("chunk_id", "score"), "rank").alias("h"))
+    return best.select(F.col("question_id").alias("a"), F.col("h.chunk_id").alias("b"), F.round("h.score", 6).alias("score"))
 
 
 # Chunks and ids
@@ -152,19 +152,29 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "chunk_id", "lang", F.to_json("location").alias("location"))
 
 
-@query()
+_HEADS = rf"\n{_WS}*ماده\p{{Nd}}+"
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), t AS (SELECT doc_id, chr(10) || string_agg('ماده' || CASE WHEN doc_id % 2 = 0 THEN CAST(i AS VARCHAR) ELSE translate(CAST(i AS VARCHAR), '0123456789', '۰۱۲۳۴۵۶۷۸۹') END || ' ' || ls[i], chr(10) || ' ' ORDER BY i) AS t FROM l GROUP BY doc_id), h AS (SELECT doc_id, regexp_extract_all(t, '{_HEADS}') AS hs, regexp_split_to_array(t, '{_HEADS}') AS ps FROM t), a AS (SELECT doc_id, unnest(range(1, len(hs) + 1)) AS i, hs, ps FROM h) SELECT doc_id, i - 1 AS article, md5(hs[i] || ps[i + 1]) AS body_md5 FROM a")
 def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines numbered as articles, then split at the headings again."""
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("ماده"), (i + 1).cast("string"), F.lit(" "), x)), "\n")
+    """Lines numbered as articles, in ASCII or Persian digits, then split at the headings again."""
+    digits = lambda n: F.when(F.col("doc_id") % 2 == 0, n).otherwise(F.translate(n, "0123456789", "۰۱۲۳۴۵۶۷۸۹"))
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("ماده"), digits((i + 1).cast("string")), F.lit(" "), x)), "\n ")
     held = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_articles(F.concat(F.lit("\n"), numbered))).alias("article", "body"))
-    return held.select("doc_id", "article", F.md5("body").alias("body_md5"))
+    return held.select("doc_id", F.col("article").cast("long").alias("article"), F.md5("body").alias("body_md5"))
 
 
-@query(rf"WITH d AS (SELECT doc_id, text AS n, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN replace(text, 'a', 'A') ELSE '' END AS o FROM documents), s AS (SELECT doc_id, regexp_replace(n, '^{_WS}+|{_WS}+$', '', 'g') AS n, regexp_replace(o, '^{_WS}+|{_WS}+$', '', 'g') AS o, {_ocr('n')} AS nn, {_ocr('o')} AS no FROM d) SELECT doc_id, md5(CASE WHEN n = '' THEN o WHEN o = '' OR nn = no THEN n ELSE n || chr(10) || chr(10) || o END) AS text_md5 FROM s")
+def _folded(c: str) -> str:
+    """What layers are compared by: case and variants folded, blanks reduced (composition leaves these texts as they are)."""
+    return f"trim(regexp_replace(translate(replace(lower({c}), 'ß', 'ss'), chr(1610) || chr(1609) || chr(1603) || chr(8204) || chr(1600), chr(1740) || chr(1740) || chr(1705) || ' '), '{_WS}+', ' ', 'g'))"
+
+
+@query(rf"WITH d AS (SELECT doc_id, text AS n, CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), '  ') WHEN 1 THEN replace(text, 'a', 'A') WHEN 2 THEN replace(text, 'e', 'o') ELSE '' END AS o FROM documents), s AS (SELECT doc_id, regexp_replace(n, '^{_WS}+|{_WS}+$', '', 'g') AS n, regexp_replace(o, '^{_WS}+|{_WS}+$', '', 'g') AS o FROM d) SELECT doc_id, md5(CASE WHEN n = '' THEN o WHEN o = '' OR {_folded('n')} = {_folded('o')} THEN n ELSE n || chr(10) || chr(10) || o END) AS text_md5 FROM s")
 def layer_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, o = F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("a"), F.lit("A"))).otherwise("")
-    held = chunking.layer_text(n, o, text.normalize_ocr(n, compose=False), text.normalize_ocr(o, compose=False))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(held).alias("text_md5"))
+    """Layers that differ by line breaks, by case, by letters, and one alone."""
+    t, k = F.col("text"), F.col("doc_id") % 4
+    o = F.when(k == 0, F.replace(t, F.lit("\n"), F.lit("  "))).when(k == 1, F.replace(t, F.lit("a"), F.lit("A"))).when(k == 2, F.replace(t, F.lit("e"), F.lit("o"))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(chunking.layer_text(t, o)).alias("text_md5"))
 
 
 # Text and quality
@@ -311,20 +321,30 @@ def minmax_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("question_id", "chunk_id", F.round(retrieval.minmax("bm25", "question_id"), 4).alias("score"))
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = access.SecureChunks(inputs.vectors(spark, sf_dir), ACTOR).frame().select("vec_id", "vector")
-    questions = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
-    dense = chunks.join(questions).select("question_id", F.col("vec_id").alias("chunk_id"), retrieval.cosine(F.col("vector"), F.col("qvec")).alias("score"), "qlabel")
-    lexical = dense.where((F.col("chunk_id") + F.col("qlabel")) % 3 == 0).select("question_id", "chunk_id", ((F.col("chunk_id") * 7 + F.col("qlabel")) % 50).cast("double").alias("bm25"))
-    return retrieval.fuse(dense.select("question_id", "chunk_id", "score"), lexical, keys=["question_id", "chunk_id"])
+_HYBRID = f"""{_DOCS}, ch AS (SELECT doc_id AS chunk_id, text, CAST(embedding AS DOUBLE[]) AS v, {_split('text')} AS ws FROM d JOIN embeddings ON vec_id = doc_id WHERE {_SEEN}),
+qs AS (SELECT item_id AS question_id, text AS question, CAST(embedding AS DOUBLE[]) AS qv, {_split('text')} AS qws FROM benchmark JOIN embeddings ON vec_id = item_id),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ws) AS term FROM ch) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM ch),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw, any_value(avgdl) AS avgdl FROM tf, st GROUP BY term, n),
+idf AS (SELECT term, avgdl, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM raw),
+qt AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest(qws) AS term FROM qs) GROUP BY ALL),
+b AS (SELECT question_id, tf.chunk_id, greatest(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ws) / avgdl))), 0.0) AS bm25 FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN ch ON ch.chunk_id = tf.chunk_id GROUP BY question_id, tf.chunk_id),
+s AS (SELECT qs.question_id, ch.chunk_id, list_cosine_similarity(v, qv) AS dense, coalesce(bm25, 0.0) AS bm25, question, text FROM qs CROSS JOIN ch LEFT JOIN b ON b.question_id = qs.question_id AND b.chunk_id = ch.chunk_id),
+n AS (SELECT *, min(dense) OVER w AS l1, max(dense) OVER w AS h1, min(bm25) OVER w AS l2, max(bm25) OVER w AS h2 FROM s WINDOW w AS (PARTITION BY question_id)),
+f AS (SELECT question_id, chunk_id, question, text, round(0.5 * CASE WHEN h1 = l1 THEN 0.5 ELSE (dense - l1) / (h1 - l1) END + 0.5 * CASE WHEN h2 = l2 THEN 0.5 ELSE (bm25 - l2) / (h2 - l2) END, 9) AS fused FROM n),
+t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, chunk_id) <= 20),
+r AS (SELECT question_id, chunk_id, fused, len(list_intersect(list_distinct({_split('lower(question)')}), {_split('lower(text)')})) / len(list_distinct({_split('lower(question)')})) AS score FROM t)"""
 
 
-@query(f"WITH {_VECTORS}, q AS (SELECT vec_id AS question_id, embedding AS qvec, label AS ql FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT question_id, vec_id AS chunk_id, list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(qvec AS DOUBLE[])) AS score, CASE WHEN (vec_id + ql) % 3 = 0 THEN CAST((vec_id * 7 + ql) % 50 AS DOUBLE) ELSE 0.0 END AS bm25 FROM v, q WHERE {_SEEN}), n AS (SELECT *, min(score) OVER w AS l1, max(score) OVER w AS h1, min(bm25) OVER w AS l2, max(bm25) OVER w AS h2 FROM s WINDOW w AS (PARTITION BY question_id)), f AS (SELECT question_id, chunk_id, round(0.5 * CASE WHEN h1 = l1 THEN 0.5 ELSE (score - l1) / (h1 - l1) END + 0.5 * CASE WHEN h2 = l2 THEN 0.5 ELSE (bm25 - l2) / (h2 - l2) END, 6) AS score FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM f) SELECT question_id, chunk_id, score, rank FROM r WHERE rank <= 5")
+@query(f"WITH {_HYBRID}, k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, fused DESC, chunk_id) AS rank FROM r) SELECT question_id, chunk_id, round(score, 6) AS score, round(fused, 6) AS fused, rank FROM k WHERE rank <= 5")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense and lexical scores of the query set against all that the identity may see, fused."""
-    held = _hybrid(spark, sf_dir).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
-    hits = retrieval.top_k_each(held, "question_id", 5, "chunk_id")
-    return hits.select("question_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    """Every benchmark passage as a question: dense and BM25 scores of the texts that the identity may see, fused, the 20 best reranked, 5 of them."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    seen = access.SecureChunks(inputs.documents(spark, sf_dir), ACTOR).frame()
+    chunks = seen.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), "text", "vector")
+    questions = table(spark, sf_dir, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.col("vector").alias("qvec"))
+    hits = retrieval.hybrid(chunks, questions, 5)
+    return hits.select("question_id", "chunk_id", F.round("score", 6).alias("score"), F.round("fused", 6).alias("fused"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 6) DESC, chunk_id) AS rank FROM b), tr AS (SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark, documents WHERE doc_id % 4 = 1 AND contains(documents.text, benchmark.text)), h AS (SELECT tr.question_id, min(rank) AS first FROM tr LEFT JOIN r ON r.question_id = tr.question_id AND r.chunk_id = tr.chunk_id AND rank <= 5 GROUP BY tr.question_id) SELECT count(*) AS questions, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5 FROM h")
@@ -332,7 +352,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether documents that contain a passage are among its best hits."""
     hits = retrieval.top_k_each(_bm25(spark, sf_dir).select("question_id", "chunk_id", F.round("bm25", 6).alias("score")), "question_id", 5, "chunk_id")
     mine = inputs.documents(spark, sf_dir).where(F.col("tenant_id") == ACTOR.tenant_id)
-    truth = mine.join(_questions(spark, sf_dir).select("question_id", "question"), F.contains("text", "question")).select("question_id", F.col("doc_id").alias("chunk_id"))
+    truth = retrieval.containing(mine.select(F.col("doc_id").alias("chunk_id"), "text"), _questions(spark, sf_dir))
     return evaluate.recall(hits, truth)
 
 
@@ -479,7 +499,7 @@ def job_status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAND = rf"""c0 AS (SELECT doc_id, unnest([0, 1, 2]) AS k, text AS t FROM documents),
 c1 AS (SELECT doc_id, k, CASE k WHEN 0 THEN t WHEN 1 THEN replace(t, 'th', '□') ELSE regexp_replace(t, '[aeiou]', '', 'g') END AS text, CASE WHEN k = 1 THEN 'region_ocr' ELSE 'full_page_ocr' END AS route, CASE WHEN (doc_id + k) % 11 <> 0 THEN CAST((doc_id * 13 + k * 29) % 101 AS DOUBLE) END AS mc, CAST((doc_id % 50) / 1000.0 AS DOUBLE) AS cov, (doc_id + k) % 17 <> 0 AS sv, doc_id % 5 <> 0 AS ov FROM c0),
 {_metrics('c1', 'text', quality.GARBAGE_CANDIDATE)},
-c2 AS (SELECT *, 100 * (meaningful_ratio * 0.40 + (1 - garbage_ratio) * 0.20 + (1 - repetition_ratio) * 0.15 + least(character_count / 120, 1.0) * 0.15 + least(greatest(cov, 0.0) / 0.02, 1.0) * 0.10) AS tsc FROM m),
+c2 AS (SELECT *, 100 * (raw_meaningful * 0.40 + (1 - raw_garbage) * 0.20 + (1 - raw_repetition) * 0.15 + least(character_count / 120, 1.0) * 0.15 + least(greatest(cov, 0.0) / 0.02, 1.0) * 0.10) AS tsc FROM m),
 c3 AS (SELECT *, round(greatest(0.0, least(100.0, CASE WHEN mc IS NULL THEN tsc ELSE tsc * 0.70 + mc * 0.30 END)) + 1e-9, 2) AS quality_score FROM c2),
 c4 AS (SELECT *, list_filter([CASE WHEN NOT sv THEN 'structurally_invalid' END, CASE WHEN route = 'region_ocr' AND NOT ov THEN 'invalid_region_reading_order' END, CASE WHEN length(comp) < 10 THEN 'ocr_text_too_short' END, CASE WHEN word_count < 2 THEN 'ocr_word_count_below_threshold' END, CASE WHEN mc IS NULL OR mc < 55 THEN 'ocr_confidence_below_threshold' END, CASE WHEN quality_score < 55 THEN 'ocr_quality_below_threshold' END, CASE WHEN meaningful_ratio < 0.55 THEN 'meaningful_character_ratio_below_threshold' END, CASE WHEN garbage_ratio > 0.08 THEN 'garbage_ratio_above_threshold' END, CASE WHEN repetition_ratio > 0.75 THEN 'repetition_ratio_above_threshold' END, CASE WHEN cov < 0.0005 THEN 'ocr_coverage_below_threshold' END], lambda x: x IS NOT NULL) AS reasons, round(greatest(0.0, least(100.0, quality_score * 0.5625 + coalesce(mc, 0.0) * 0.4375)) + 1e-9, 2) AS selection_score FROM c3)"""
 
@@ -503,7 +523,7 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gated_agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = candidates.scored(inputs.candidates(spark, sf_dir).repartition("page_id"))
-    return candidates.gated(candidates.with_agreement_each_way(held))
+    return candidates.gated(candidates.with_agreement(held))
 
 
 @query()
@@ -526,7 +546,8 @@ def candidate_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.with_agreement(held).select("page_id", "candidate_no", "agreement_score")
 
 
-_EVID = rf"""e0 AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 = 1 THEN substr(text, 1, 20) ELSE text END AS nt, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE 1 END AS nb, (doc_id % 8) / 10.0 AS ic, (doc_id % 13) / 200.0 AS vr, doc_id % 4 = 0 AS ocr FROM documents),
+_EVID = rf"""ev AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 6 = 0 THEN '' ELSE substr(text, 1, 20) END FROM documents WHERE doc_id % 6 < 2),
+e0 AS (SELECT doc_id, text AS nt, CASE WHEN abs(doc_id) % 9 = 0 THEN 0 ELSE 1 END AS nb, (abs(doc_id) % 8) / 10.0 AS ic, (abs(doc_id) % 13) / 200.0 AS vr, abs(doc_id) % 4 = 0 AS ocr FROM ev),
 e1 AS (SELECT *, regexp_replace(nt, '{_WS}', '', 'g') AS comp FROM e0),
 e AS (SELECT *, length(comp) AS nc, CASE WHEN length(comp) = 0 THEN 0.0 ELSE round((length(comp) - length(regexp_replace(comp, '[\p{{L}}\p{{N}}]', '', 'g'))) / length(comp), 4) END AS mr FROM e1),
 cl AS (SELECT *, nc >= 40 AND mr >= 0.55 AND nb > 0 AS usable FROM e),
@@ -548,18 +569,19 @@ def inspector_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.evidence(spark, sf_dir).select("doc_id", pages.inspected_type(F.col("native_characters"), F.col("visual_ratio")).alias("page_type"))
 
 
-@query(f"WITH {_EVID}, r AS (SELECT doc_id, page_type, trim(nt) <> '' AS hn, doc_id % 3 = 0 AS ho, doc_id % 2 = 0 AS ok FROM pt) SELECT doc_id, CASE WHEN hn AND ho AND ok THEN 'combined' WHEN hn THEN 'native' WHEN ho AND ok THEN 'full_page_ocr' ELSE 'rejected' END AS route, CASE WHEN hn AND ho AND ok THEN 'accepted' WHEN hn THEN CASE WHEN page_type = 'digital' AND NOT ho THEN 'accepted' ELSE 'needs_review' END WHEN ho AND ok THEN 'accepted' WHEN ho THEN 'needs_review' ELSE 'failed' END AS status, CASE WHEN hn AND ho AND ok THEN true WHEN hn THEN page_type = 'digital' AND NOT ho ELSE ho AND ok END AS passed FROM r")
+@query(f"WITH {_EVID}, r AS (SELECT doc_id, page_type, trim(nt) <> '' AS hn, abs(doc_id) % 3 = 0 AS ho, abs(doc_id) % 2 = 0 AS ok FROM pt) SELECT doc_id, CASE WHEN hn AND ho AND ok THEN 'combined' WHEN hn THEN 'native' WHEN ho AND ok THEN 'full_page_ocr' ELSE 'rejected' END AS route, CASE WHEN hn AND ho AND ok THEN 'accepted' WHEN hn THEN CASE WHEN page_type = 'digital' AND NOT ho THEN 'accepted' ELSE 'needs_review' END WHEN ho AND ok THEN 'accepted' WHEN ho THEN 'needs_review' ELSE 'failed' END AS status, CASE WHEN hn AND ho AND ok THEN true WHEN hn THEN page_type = 'digital' AND NOT ho ELSE ho AND ok END AS passed FROM r")
 def route_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = pages.classified(inputs.evidence(spark, sf_dir))
-    held = held.withColumns({"ocr_text": F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""), "ocr_passed": F.col("doc_id") % 2 == 0})
+    held = held.withColumns({"ocr_text": F.when(F.abs("doc_id") % 3 == 0, "x").otherwise(""), "ocr_passed": F.abs("doc_id") % 2 == 0})
     return pages.routed(held).select("doc_id", "route", "status", "passed")
 
 
-@query(f"WITH {_EVID}, a AS (SELECT doc_id, page_type, usable, trim(nt) <> '' AS hn, CASE WHEN doc_id % 5 < 2 THEN 'full_page_ocr' WHEN doc_id % 5 = 2 THEN 'region_ocr' END AS sr, doc_id % 5 < 4 AS ho FROM pt) SELECT doc_id, CASE WHEN sr IS NOT NULL AND hn AND page_type = 'mixed' THEN 'combined' WHEN sr IS NOT NULL THEN sr WHEN hn THEN 'native' ELSE 'rejected' END AS route, CASE WHEN sr IS NOT NULL AND hn AND page_type = 'mixed' THEN 'needs_review' WHEN sr IS NOT NULL THEN 'accepted' WHEN hn AND page_type = 'digital' AND usable THEN 'accepted' WHEN hn THEN 'needs_review' WHEN ho THEN 'needs_review' ELSE 'failed' END AS status, array_to_string(list_filter(['r', CASE WHEN sr IS NULL AND hn THEN 'usable_native_text_preserved_after_ocr_rejection' END, CASE WHEN sr IS NOT NULL AND hn AND page_type = 'mixed' THEN 'mixed_layers_preserved_without_coordinate_merge' END, CASE WHEN page_type = 'empty' THEN 'empty_page_detected' END], lambda x: x IS NOT NULL), ',') AS fallback_reasons FROM a")
+@query(f"WITH {_EVID}, a AS (SELECT doc_id, page_type, usable, trim(nt) <> '' AS hn, CASE WHEN abs(doc_id) % 5 < 2 THEN 'full_page_ocr' WHEN abs(doc_id) % 5 = 2 THEN 'region_ocr' END AS sr, abs(doc_id) % 5 < 4 AS ho FROM pt) SELECT doc_id, CASE WHEN sr IS NOT NULL AND hn AND page_type = 'mixed' THEN 'combined' WHEN sr IS NOT NULL THEN sr WHEN hn THEN 'native' ELSE 'rejected' END AS route, CASE WHEN sr IS NOT NULL AND hn AND page_type = 'mixed' THEN 'needs_review' WHEN sr IS NOT NULL THEN 'accepted' WHEN hn AND page_type = 'digital' AND usable THEN 'accepted' WHEN hn THEN 'needs_review' WHEN ho THEN 'needs_review' ELSE 'failed' END AS status, array_to_string(list_filter(['r', CASE WHEN sr IS NULL AND hn THEN 'usable_native_text_preserved_after_ocr_rejection' END, CASE WHEN sr IS NOT NULL AND hn AND page_type = 'mixed' THEN 'mixed_layers_preserved_without_coordinate_merge' END, CASE WHEN page_type = 'empty' THEN 'empty_page_detected' END], lambda x: x IS NOT NULL), ',') AS fallback_reasons FROM a")
 def adaptive_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = pages.classified(inputs.evidence(spark, sf_dir))
-    pick = F.when(F.col("doc_id") % 5 < 2, "full_page_ocr").when(F.col("doc_id") % 5 == 2, "region_ocr")
-    held = held.withColumns({"selected_route": pick, "ocr_text": F.when(F.col("doc_id") % 5 < 4, "x").otherwise(""), "reason": F.lit("r"), "first_type": F.col("page_type")})
+    n = F.abs("doc_id") % 5
+    pick = F.when(n < 2, "full_page_ocr").when(n == 2, "region_ocr")
+    held = held.withColumns({"selected_route": pick, "ocr_text": F.when(n < 4, "x").otherwise(""), "reason": F.lit("r"), "first_type": F.col("page_type")})
     return pages.decided(held).select("doc_id", "route", "status", F.array_join("fallback_reasons", ",").alias("fallback_reasons"))
 
 
@@ -574,13 +596,17 @@ def page_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.violations(held).select("doc_id", "violation")
 
 
-@query("SELECT lang, doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS page_index FROM documents")
+@query("SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn * turn) - 1 AS page_index FROM conversations")
 def contiguous_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = pages.renumbered(table(spark, sf_dir, "documents"), "lang", "n_chars")
-    return held.select("lang", "doc_id", F.col("page_index").cast("long").alias("page_index"))
+    """Turns of conversations as pages whose numbers have gaps."""
+    held = pages.renumbered(table(spark, sf_dir, "conversations").withColumn("number", F.col("turn") * F.col("turn")), "conv_id", "number")
+    return held.select("conv_id", "turn", F.col("page_index").cast("long").alias("page_index"))
 
 
-@query()
+_PLAIN = "trim(regexp_replace(" + "replace(" * 6 + "regexp_replace({0}, '<[^>]*>', ' ', 'g')" + "".join(f", '{e}', {c})" for e, c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'"))) + f", '{_WS}+', ' ', 'g'))"
+
+
+@query(r"WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages), c AS (SELECT page_id, regexp_extract_all(h, '(?i)</?(?:h[1-6]|p|li|table)\b[^>]*>') AS tags, regexp_split_to_array(h, '(?i)</?(?:h[1-6]|p|li|table)\b[^>]*>') AS parts FROM b), r AS (SELECT page_id, unnest(range(0, len(parts))) AS n, tags, parts FROM c), s AS (SELECT page_id, n, parts[n + 1] AS part, CASE WHEN n > 0 THEN lower(tags[n]) ELSE '' END AS tag FROM r), d AS (SELECT *, sum(CASE WHEN tag LIKE '<table%' THEN 1 WHEN tag LIKE '</table%' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n) AS depth FROM s), u AS (SELECT *, max(CASE WHEN depth > 0 AND NOT (depth = 1 AND tag LIKE '<table%') THEN NULL ELSE n END) OVER (PARTITION BY page_id ORDER BY n) AS unit, CASE WHEN depth > 0 THEN 'table' WHEN tag LIKE '<h%' THEN 'heading' WHEN tag LIKE '<li%' THEN 'list_item' ELSE 'paragraph' END AS kind FROM d), g AS (SELECT page_id, unit, arg_min(kind, n) AS block_type, string_agg(part, ' ' ORDER BY n) AS f FROM u GROUP BY page_id, unit), t AS (SELECT page_id, unit, block_type, " + _PLAIN.replace("{0}", "f") + r" AS text FROM g) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY unit) - 1 AS reading_order, block_type, md5(text) AS text_md5 FROM t WHERE text <> ''")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = markup.html_blocks(table(spark, sf_dir, "pages"))
     return held.select("page_id", F.col("reading_order").cast("long").alias("reading_order"), "block_type", F.md5("text").alias("text_md5"))

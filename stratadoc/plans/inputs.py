@@ -12,8 +12,16 @@ ACTOR = Identity("user_b", "t1", ("g1", "g3"))
 QUESTION_VECTOR = 7
 
 
+#: A table of fewer bytes a core may lie in fewer row groups than there are cores.
+SMALL_BYTES_A_CORE = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; the rows of a small one are dealt to all cores, since a row group is read by one."""
+    held = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = int(str(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES_A_CORE * cores
+    return held.repartition(cores) if small and name in ("documents", "pages") else held
 
 
 def groups_of(key: str) -> Column:
@@ -64,16 +72,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page evidence of documents."""
-    from ..operators.pages import meaningful_ratio
+    """Page evidence of documents by their whole texts; blank and short pages are rows of their own, with negative ids."""
     from ..functions.text import compact
+    from ..operators.pages import meaningful_ratio
 
     c = F.col
-    docs = table(spark, sf_dir, "documents")
-    text = F.when(c("doc_id") % 6 == 0, F.lit("")).when(c("doc_id") % 6 == 1, F.left("text", F.lit(20))).otherwise(c("text"))
-    return docs.select(
-        "doc_id", text.alias("native_text"), F.length(compact(text)).alias("native_characters"), meaningful_ratio(text).alias("meaningful_ratio"), F.when(c("doc_id") % 9 == 0, 0).otherwise(1).alias("n_blocks"),
-        ((c("doc_id") % 8) / 10.0).cast("double").alias("image_coverage"), ((c("doc_id") % 13) / 200.0).cast("double").alias("visual_ratio"), (c("doc_id") % 4 == 0).alias("has_ocr"),
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    more = docs.where("doc_id % 6 < 2").select((-1 - c("doc_id")).alias("doc_id"), F.when(c("doc_id") % 6 == 0, F.lit("")).otherwise(F.left("text", F.lit(20))).alias("text"))
+    held = docs.unionByName(more)
+    n = F.abs("doc_id")
+    return held.select(
+        "doc_id", c("text").alias("native_text"), F.length(compact(c("text"))).alias("native_characters"), meaningful_ratio(c("text")).alias("meaningful_ratio"), F.when(n % 9 == 0, 0).otherwise(1).alias("n_blocks"),
+        ((n % 8) / 10.0).cast("double").alias("image_coverage"), ((n % 13) / 200.0).cast("double").alias("visual_ratio"), (n % 4 == 0).alias("has_ocr"),
     )
 
 

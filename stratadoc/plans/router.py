@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,28 @@ class Unavailable(Exception):
     """The engine of an extractor isn't there."""
 
 
+class Failed(Exception):
+    """An extractor couldn't read a document set; kind says why, without a path."""
+
+    kind = "failed"
+
+
+class Encrypted(Failed):
+    kind = "encrypted"
+
+
+class Unreadable(Failed):
+    kind = "unreadable"
+
+
+class InvalidPages(Failed):
+    kind = "invalid_page_range"
+
+
+class TimedOut(Failed):
+    kind = "timed_out"
+
+
 class Extractor(ABC):
     """A pluggable engine: documents to attempts (document_id, outcome, accepted_pages, needs_review_pages, score)."""
 
@@ -33,6 +55,37 @@ class Extractor(ABC):
     def extract(self, documents: DataFrame, options: Options) -> DataFrame: ...
 
 
+class Wrapped(Extractor):
+    """An engine that is loaded when it is first used: what it raises becomes an outcome, and is never told with a path.
+
+    make loads it (ImportError: it isn't there) and gives a function from documents and options to attempts;
+    errors names what its own exceptions mean.
+    """
+
+    def __init__(self, name: str, extensions: frozenset[str], make: Callable[[], Callable[[DataFrame, Options], DataFrame]], errors: Mapping[type[Exception], type[Exception]] | None = None) -> None:
+        self.name, self.extensions, self._make, self._errors = name, extensions, make, dict(errors or {})
+
+    def extract(self, documents: DataFrame, options: Options) -> DataFrame:
+        try:
+            run = self._make()
+        except ImportError as error:
+            raise Unavailable(f"{self.name} isn't installed") from error
+        try:
+            return run(documents, options)
+        except (Unavailable, Failed):
+            raise
+        except Exception as error:
+            kind = next((to for of, to in self._errors.items() if isinstance(error, of)), Failed)
+            raise kind(f"{self.name} could not read the documents") from error
+
+
+class PageRenderer(ABC):
+    """A pluggable engine: documents and a resolution to images (document_id, page_index, content, page_width, page_height)."""
+
+    @abstractmethod
+    def render(self, documents: DataFrame, dpi: int) -> DataFrame: ...
+
+
 def sufficient() -> Column:
     return (F.col("outcome") == "ok") & ((F.col("accepted_pages") > 0) | (F.col("needs_review_pages") > 0))
 
@@ -45,8 +98,9 @@ def staged(documents: DataFrame, extractors: Sequence[Extractor], options: Optio
         mine = left.where(F.col("extension").isin(*extractor.extensions)) if extractor.extensions else left
         try:
             got = extractor.extract(mine, options).select("document_id", "outcome", "accepted_pages", "needs_review_pages", "score")
-        except Unavailable:
-            got = mine.select("document_id", F.lit("unavailable").alias("outcome"), F.lit(0).alias("accepted_pages"), F.lit(0).alias("needs_review_pages"), F.lit(None).cast("double").alias("score"))
+        except (Unavailable, Failed) as error:
+            outcome = "unavailable" if isinstance(error, Unavailable) else "failed"
+            got = mine.select("document_id", F.lit(outcome).alias("outcome"), F.lit(0).alias("accepted_pages"), F.lit(0).alias("needs_review_pages"), F.lit(None).cast("double").alias("score"))
         got = got.withColumns({"attempt": F.lit(number), "extractor": F.lit(extractor.name)})
         attempts = got if attempts is None else attempts.unionByName(got)
         left = left.join(got.where(sufficient()), "document_id", "left_anti")

@@ -25,7 +25,8 @@ JOBS = "document_id string, source string, tenant_id string, chunks bigint, stat
 PAGE_TYPES = ("digital", "scanned", "mixed", "empty", "unknown")
 ROUTES = ("native", "full_page_ocr", "region_ocr", "combined", "rejected")
 STATUSES = ("accepted", "needs_review", "failed")
-BLOCK_TYPES = ("heading", "paragraph", "list_item", "table", "figure", "caption", "header", "footer", "formula", "code", "other")
+BLOCK_TYPES = ("heading", "paragraph", "list_item", "table", "key_value", "image_text", "header", "footer", "caption", "unknown")
+# What public metadata and messages must not have.
 #: Metadata keys that hold secrets, or copies of the text.
 SECRET_KEYS = ("api_key", "authorization", "connection_string", "password", "secret", "secret_key", "token", "access_token")
 TEXT_KEYS = ("candidate_text", "content", "document_text", "native_text", "ocr_text", "text", "text_preview")
@@ -49,6 +50,21 @@ def metadata_faults(metadata: Column) -> Column:
     return F.filter(faults, lambda f: f.isNotNull())
 
 
+_JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
+
+
+def json_faults(metadata: Column) -> Column:
+    """metadata_faults of nested metadata, given as JSON: keys and strings at any depth."""
+    named = F.transform(F.regexp_extract_all(metadata, F.lit(_JSON_STRING + r"\s*:"), F.lit(1)), lambda k: F.translate(F.lower(F.trim(k)), "-", "_"))
+    values = F.regexp_extract_all(F.regexp_replace(metadata, _JSON_STRING + r"\s*:", ""), F.lit(_JSON_STRING), F.lit(1))
+    plain_ = F.transform(values, lambda v: F.replace(F.replace(v, F.lit("\\\\"), F.lit("\\")), F.lit("\\/"), F.lit("/")))
+    faults = F.array(
+        F.when(F.exists(named, lambda k: k.isin(*SECRET_KEYS)), "secret_field"), F.when(F.exists(named, lambda k: k.isin(*TEXT_KEYS)), "text_copy"),
+        F.when(F.exists(plain_, lambda v: v.rlike(ABSOLUTE)), "absolute_path"),
+    )
+    return F.filter(faults, lambda f: f.isNotNull())
+
+
 def message_faults(messages: Column) -> Column:
     """Names of what public messages mustn't have."""
     faults = F.array(F.when(F.exists(messages, lambda m: m.rlike(PRIVATE_PATH)), "private_path"), F.when(F.exists(messages, lambda m: m.rlike(SECRET_VALUE)), "secret_value"))

@@ -24,9 +24,14 @@ def extension(path: Column) -> Column:
 
 def scan(spark: SparkSession, folder: str, *, only_supported: bool = True) -> DataFrame:
     """path, name, size, sha256, extension, content of the files directly inside a folder, by name."""
-    held = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    held = held.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), extension(F.col("path")).alias("extension"), "content")
-    return (held.where(F.col("extension").isin(*PARSERS)) if only_supported else held).orderBy("name")
+    held = described(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder))
+    return (held.where("supported") if only_supported else held).drop("supported").orderBy("name")
+
+
+def described(files: DataFrame) -> DataFrame:
+    """Files (path, length, content) with name, size, sha256, extension, and whether there is a parser for them."""
+    kind = extension(F.col("path"))
+    return files.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), kind.alias("extension"), kind.isin(*PARSERS).alias("supported"), "content")
 
 
 def parse(files: DataFrame, kind: str) -> DataFrame:

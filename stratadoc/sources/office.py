@@ -149,3 +149,13 @@ def docx_blocks(items: DataFrame) -> DataFrame:
     held = items.withColumns({"block_type": F.when(F.col("kind") == "table", "table").otherwise(paragraph_type(F.col("style"))), "text": text})
     held = held.where(F.length("text") > 0)
     return held.withColumn("reading_order", F.row_number().over(Window.partitionBy("path").orderBy("item_no")) - 1)
+
+
+def plain_chunks(items: DataFrame) -> DataFrame:
+    """Fixed windows of a document's paragraphs, tables aside, joined by line breaks: path, index, text, lang."""
+    from ..functions.text import blank
+    from ..operators.chunking import fixed_chunks
+
+    shown = items.where((F.col("kind") == "paragraph") & ~blank(F.col("text")))
+    whole = shown.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    return fixed_chunks(whole, "body").select("path", F.col("chunk_index").alias("index"), F.col("chunk_text").alias("text"), language(F.col("chunk_text")).alias("lang"))

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from stratadoc.plans import catalogue
+from stratadoc.plans import catalogue, library  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
