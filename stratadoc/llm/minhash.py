@@ -1,10 +1,10 @@
 """MinHash near-dedup by an inverted join of signature coordinates.
 
 A document is the set of its distinct word shingles (A-Z lower-cased, ASCII white space between
-words). A word is hashed to 64 bits by BLAKE2b keyed with ``secret``, a shingle to 64 bits of its
-words' hashes, so no text can be made to collide by one who doesn't know the secret; sets are
-compared by these hashes, where two different shingles are taken for one with a probability of
-2**-64. Equal sets are one class. A class has a signature of N_COORDS minima; each (coordinate,
+words). A word is hashed to 64 bits by XXH3 with a ``seed``, a shingle to 64 bits of its words'
+hashes; sets are compared by these hashes, where two different shingles are taken for one with a
+probability of 2**-64. Who must fear texts that are made to collide keeps the seed to themselves.
+Equal sets are one class. A class has a signature of N_COORDS minima; each (coordinate,
 value) pair is a token with a posting list.
 
 Two classes whose signatures agree in MATCHES coordinates or more are candidates. Tokens are
@@ -36,11 +36,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +52,8 @@ from .components import connected_components
 N_COORDS, MATCHES = 48, 22
 #: Text and documents that are shingled at once; the arrays of a slice take about fifty times its text.
 SLICE_BYTES, SLICE_ROWS = 2_000_000, 16_384
-#: Words whose hashes are remembered, about.
-KNOWN_WORDS = 200_000
+#: Bits of the map of documents whose sets are needed, at most; more documents than an eighth of them pass it more and more by chance, and are told apart behind it.
+MAP_BITS = 1 << 26
 #: Classes and shingles of a block in which links are sought that pivots haven't found, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 400, 1_000_000
 _SPACE = re.compile(b"[" + re.escape(ASCII_SPACE) + b"]")
@@ -70,25 +71,6 @@ def _multipliers(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * _P + np.uint64(seed)) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    """The hashes of words, computed once each."""
-
-    def __init__(self, secret: bytes) -> None:
-        super().__init__()
-        self.secret = secret
-
-    def __missing__(self, word: bytes) -> int:
-        out = int.from_bytes(blake2b(word, digest_size=8, key=self.secret).digest(), "little")
-        if len(self) < KNOWN_WORDS:
-            self[word] = out
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def _pieces(text: bytes, size: int) -> Iterator[bytes]:
     """A text in pieces of about size bytes that end at white space, so that its words are never a list at once."""
     at = 0
@@ -102,10 +84,13 @@ def _pieces(text: bytes, size: int) -> Iterator[bytes]:
 class Shingler:
     """Sets of shingles of a batch of texts, in arrays."""
 
-    def __init__(self, size: int, secret: bytes) -> None:
-        self.size, self.words = size, _WordHashes(secret)
+    def __init__(self, size: int, seed: int) -> None:
+        self.size, self.seed = size, seed
         self.turn = _multipliers(size + 1, 11)
 
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(self.seed)), np.uint64, len(words))
+
     def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Document numbers and hashes of the distinct shingles of at most SLICE_ROWS whole texts, ordered by both."""
         n, size, turn = len(texts), self.size, self.turn
@@ -113,9 +98,9 @@ class Shingler:
         if sum(map(len, held)) <= 2 * SLICE_BYTES:
             split = [x.split() for x in held]
             per_doc = np.fromiter(map(len, split), np.int64, n)
-            words = self.words.of([w for ws in split for w in ws])
+            words = self._hashes([w for ws in split for w in ws])
         else:
-            parts = [[self.words.of(piece.split()) for piece in _pieces(x, SLICE_BYTES)] for x in held]
+            parts = [[self._hashes(piece.split()) for piece in _pieces(x, SLICE_BYTES)] for x in held]
             per_doc = np.array([sum(map(len, p)) for p in parts], np.int64)
             words = np.concatenate([np.zeros(0, np.uint64), *(a for p in parts for a in p)])
         owner = np.repeat(np.arange(n, dtype=np.int64), per_doc)
@@ -159,12 +144,12 @@ def _classes(hashes: np.ndarray, full: np.ndarray, starts: np.ndarray, n: int) -
 _KEY = ["class_hi", "class_lo", "n_shingles"]
 
 
-def _signatures(size: int, secret: bytes, n_coords: int, in_row: bool):
+def _signatures(size: int, seed: int, n_coords: int, in_row: bool):
     """The columns of a batch (doc_id, text, or one struct row that has them) with the class and signature of each text."""
     turn, shift = _multipliers(n_coords, 29), _multipliers(n_coords, 31)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size, secret)
+        shingler = Shingler(size, seed)
         for whole in batches:
             row = whole.column("row") if in_row else whole
             every = row.field("text") if in_row else row.column("text")
@@ -187,10 +172,14 @@ def _signatures(size: int, secret: bytes, n_coords: int, in_row: bool):
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(k, T.LongType()) for k in _KEY), T.StructField("signature", T.ArrayType(T.IntegerType()))])
 
 
-def _sets(size: int, secret: bytes):
+def _sets(size: int, seed: int, wanted: np.ndarray):
+    """The sets of the texts whose place (at) is marked in a bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size, secret)
+        shingler = Shingler(size, seed)
         for whole in batches:
+            at = whole.column("at").to_numpy()
+            whole = whole.filter(pa.array(wanted[at >> 3] >> (at & 7) & 1 == 1))
             every = whole.column("text")
             for start, n in slices(byte_sizes(every), SLICE_BYTES, SLICE_ROWS):
                 docs, hashes = shingler.sets(every.slice(start, n))
@@ -201,6 +190,20 @@ def _sets(size: int, secret: bytes):
     return run
 
 
+def _marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of bits / 8 bytes with the places of the doc_ids of ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rows = ids.select(F.floor(place / _BUCKET).cast("int").alias("b"), (place % _BUCKET).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("map")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for b, held in rows:
+        out[b * _BUCKET // 8 : (b + 1) * _BUCKET // 8] = np.frombuffer(held, np.uint8)[: _BUCKET // 8]
+    return out
+
+
+#: Bits of one of Spark's bitmaps.
+_BUCKET = 1 << 15
+
+
 def _links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -246,8 +249,8 @@ def _any(df: DataFrame) -> bool:
 class NearDuplicates:
     """Near-duplicate components of documents under a Jaccard similarity of percent / 100 or more."""
 
-    def __init__(self, *, shingle_words: int = 5, percent: int = 80, n_coords: int = N_COORDS, matches: int = MATCHES, secret: bytes = b"near duplicates") -> None:
-        self.size, self.percent, self.n_coords, self.matches, self.secret = shingle_words, percent, n_coords, matches, secret
+    def __init__(self, *, shingle_words: int = 5, percent: int = 80, n_coords: int = N_COORDS, matches: int = MATCHES, seed: int = 1) -> None:
+        self.size, self.percent, self.n_coords, self.matches, self.seed = shingle_words, percent, n_coords, matches, seed
 
     def _prefixes(self, classes: DataFrame, scratch: Scratch) -> DataFrame:
         """token, node: the posting lists of two classes or more, without the skipped ones."""
@@ -264,9 +267,9 @@ class NearDuplicates:
         """lists with size and shared, the most shingles that a class can have in common with another; without those that can't be similar to any."""
         own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
         own = scratch.table(own.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "own")
-        bounds = sets.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+        bounds = sets.select("node", "first", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "first", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
         bounds = scratch.table(bounds.where(100 * F.col("shared") >= self.percent * F.col("size")), "bounds")
-        return scratch.table(lists.join(bounds, "node").select("token", "node", "size", "shared"), "lists")
+        return scratch.table(lists.join(bounds, "node").select("token", "node", "first", "size", "shared"), "lists")
 
     def _possible(self, x: str, y: str) -> Column:
         """Whether the bounds of two classes leave room for similarity."""
@@ -291,7 +294,7 @@ class NearDuplicates:
         """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
         scratch = Scratch(docs.sparkSession, "near")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        signed = scratch.table(texts.mapInArrow(_signatures(self.size, self.secret, self.n_coords, False), _SIGNED), "signed")
+        signed = scratch.table(texts.mapInArrow(_signatures(self.size, self.seed, self.n_coords, False), _SIGNED), "signed")
         judged = self._judged(signed, texts, scratch)
         return judged.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -300,7 +303,7 @@ class NearDuplicates:
         scratch = Scratch(docs.sparkSession, "near")
         row = T.StructField("row", docs.schema)
         rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-        signed = scratch.table(rows.mapInArrow(_signatures(self.size, self.secret, self.n_coords, True), T.StructType([*_SIGNED, row])), "signed")
+        signed = scratch.table(rows.mapInArrow(_signatures(self.size, self.seed, self.n_coords, True), T.StructType([*_SIGNED, row])), "signed")
         texts = signed.select("doc_id", F.col("row.text").alias("text"))
         judged = self._judged(signed.drop("row"), texts, scratch)
         gone = scratch.table(judged.where("component_id is not null and n_shingles > 0 and not (leads and doc_id = component_id)").select("doc_id", *_KEY).distinct(), "gone")
@@ -323,10 +326,12 @@ class NearDuplicates:
         named = signatures.drop("signature")
         lists = self._prefixes(signatures.select("node", "signature"), scratch)
         posted = scratch.table(named.join(lists.select("node").distinct(), "node", "left_semi"), "posted")
-        firsts = posted.select(F.col("first").alias("doc_id")).distinct()
-        held = texts.join(firsts, "doc_id", "left_semi").select("doc_id", "text")
-        sets = held.mapInArrow(_sets(self.size, self.secret), "class_hi bigint, class_lo bigint, n_shingles bigint, shingles array<bigint>")
-        sets = scratch.table(sets.dropDuplicates(_KEY).join(posted, _KEY).select("node", "shingles"), "shingles")
+        # only texts of listed classes are shingled again: a bitmap of bounded size leaves out the others without a shuffle of texts
+        bits = min(MAP_BITS, max(_BUCKET, 1 << (16 * posted.count()).bit_length()))
+        wanted = _marked(posted.select(F.col("first").alias("doc_id")), bits)
+        held = texts.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text")
+        sets = held.mapInArrow(_sets(self.size, self.seed, wanted), "class_hi bigint, class_lo bigint, n_shingles bigint, shingles array<bigint>")
+        sets = scratch.table(sets.dropDuplicates(_KEY).join(posted, _KEY).select("node", "first", "shingles"), "shingles")
         held = scratch.table(signatures.select("node", "signature").join(posted.select("node"), "node", "left_semi"), "held")
         links = self._linked(self._bounded(lists, sets, scratch), held, sets, scratch)
         labels = connected_components(links, scratch)
@@ -341,8 +346,9 @@ class NearDuplicates:
 
     def _linked(self, lists: DataFrame, signatures: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
         """a, b: links enough to join all classes of a component."""
-        pivots = scratch.table(lists.groupBy("token").agg(F.min("node").alias("pivot")), "pivots")
-        pairs = scratch.table(lists.join(pivots, "token").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        # the class that came first is the pivot: copies are made of what was there, so it's the same one in most of a group's lists
+        pivots = scratch.table(lists.groupBy("token").agg(F.min_by("node", "first").alias("pivot")), "pivots")
+        pairs = scratch.table(lists.join(pivots, "token").where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
         links = self._confirmed(pairs, signatures, sets, scratch)
         open_ = self._open_lists(lists, connected_components(links, scratch), scratch)
         if not _any(open_):
