@@ -63,10 +63,9 @@ def _repeat_words(words: Column) -> Column:
             return reduce(lambda a, b: a & b, (F.get(w, place(x) + d) == F.get(w, place(y) + d) for d in range(3)))
 
         keys = F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))))
-        found = lambda rows: F.struct(beside(rows, near).alias("near"), beside(rows, lambda x, y: near(x, y) & same(x, y)).alias("same"))
-        # neighbours of one hash that differ leave fewer rows, or rows beside others; then no hash is trusted
-        trusted = lambda rows: F.size(F.filter(rows, lambda x, k: F.coalesce(near(x, F.get(rows, k + 1)) & ~same(x, F.get(rows, k + 1)), F.lit(False)))) == 0
-        return let(keys, lambda rows: let(found(rows), lambda f: F.when(trusted(f["near"]), covered(F.transform(f["same"], place))).otherwise(by_words(w))))
+        # rows of one hash beside each other that differ in words are a collision: then no hash of the text is trusted
+        apart = lambda rows: F.filter(rows, lambda x, k: F.coalesce(near(x, F.get(rows, k + 1)) & ~same(x, F.get(rows, k + 1)), F.lit(False)))
+        return let(let(keys, lambda rows: beside(rows, near)), lambda rows: F.when(F.size(apart(rows)) == 0, covered(F.transform(rows, place))).otherwise(by_words(w)))
 
     def with_hashes(w: Column) -> Column:
         bits = F.greatest(F.ceil(F.log2(F.size(w).cast("double"))), F.lit(1)).cast("int")
@@ -147,13 +146,13 @@ class Cascade:
         return lambda name: F.col(name) if name in ready else feature(name, text, words)
 
     def fit(self, df: DataFrame, text: str = "text", ready: Sequence[str] = ()) -> Cascade:
-        """Measure every rule on a Bernoulli sample; features in ready are columns of df already, and cost a rule nothing."""
+        """Measure every rule on a Bernoulli sample; features in ready will be columns when rules are judged, and cost a rule nothing."""
         rows = df.count()
-        sample = df.select(text, *ready)
+        sample = df.select(text)
         if rows > self.sample_rows:
             sample = sample.sample(withReplacement=False, fraction=self.sample_rows / rows, seed=self.seed)
         scratch = Scratch(df.sparkSession, "cascade")
-        sample = scratch.table(sample.coalesce(8), "sample")
+        sample = scratch.table(with_features(sample.coalesce(8), ready, text), "sample")
         words = _words(F.col(text))
         f = self._resolver(F.col(text), words, set(ready))
 
@@ -187,5 +186,7 @@ class Cascade:
 
 def with_features(df: DataFrame, names: Sequence[str], text: str = "text") -> DataFrame:
     """df with feature columns; the words are split once."""
+    if not names:
+        return df
     held = df.withColumn("__words", _words(F.col(text)))
     return held.withColumns({n: feature(n, F.col(text), F.col("__words")) for n in names}).drop("__words")
