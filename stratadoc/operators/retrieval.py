@@ -123,7 +123,7 @@ def nearest(chunks: DataFrame, questions: DataFrame, k: int, *, scope: str | Non
     """
     kind = f"question_id {chunks.schema['id'].dataType.simpleString()}, chunk_id {chunks.schema['id'].dataType.simpleString()}, score double, low double, high double"
     by = F.col(scope) if scope else F.lit(0)
-    shape = lambda df, asks: df.select(by.alias("scope"), "id", "vector", *(["groups"] if groups else []), F.lit(asks).alias("asks"))
+    shape = lambda df, asks: df.where("vector is not null").select(by.alias("scope"), "id", "vector", *(["groups"] if groups else []), F.lit(asks).alias("asks"))
     c, q = shape(chunks, False), shape(questions, True)
     parts = c.groupBy("scope").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CHUNKS), F.lit(1)).cast("int").alias("parts"))
     sides = q.groupBy("scope").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_QUESTIONS), F.lit(1)).cast("int").alias("sides"))

@@ -139,14 +139,34 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("point_id", ids.point_id(F.col("chunk_id")))
 
 
-@query()
+def _structural(most: int) -> str:
+    """Common table expressions that end in sc: doc_id, chunk_index, kind, n_blocks, block numbers and text of structural groups of most words."""
+    window = most - min(64, most - 1)
+    return rf"""sb AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+sw AS (SELECT doc_id, i, ls[i + 1] AS t, len({_split('ls[i + 1]')}) AS w, instr(ls[i + 1], '|') > 0 AND i > 0 AS tab FROM sb),
+sg AS (SELECT doc_id, i, w, tab OR w > {most} AS alone, tab, CASE WHEN tab OR w > {most} THEN 0 ELSE w END AS held, 1 AS grp FROM sw WHERE i = 0
+UNION ALL SELECT b.doc_id, b.i, b.w, b.tab OR b.w > {most}, b.tab, CASE WHEN b.tab OR b.w > {most} THEN 0 WHEN g.alone OR (g.held > 0 AND g.held + b.w > {most}) THEN b.w ELSE g.held + b.w END,
+CASE WHEN b.tab OR b.w > {most} OR g.alone OR (g.held > 0 AND g.held + b.w > {most}) THEN g.grp + 1 ELSE g.grp END FROM sg g JOIN sw b ON b.doc_id = g.doc_id AND b.i = g.i + 1),
+st AS (SELECT sg.doc_id, grp, bool_or(alone) AS alone, bool_or(sg.tab) AS tab, max(sg.w) AS w, list(sg.i ORDER BY sg.i) AS ids, string_agg(sw.t, chr(10) || chr(10) ORDER BY sg.i) AS t FROM sg JOIN sw ON sw.doc_id = sg.doc_id AND sw.i = sg.i GROUP BY sg.doc_id, grp),
+sp AS (SELECT doc_id, grp, 0 AS b, tab, ids, t FROM st WHERE NOT alone OR w <= {most}
+UNION ALL SELECT * FROM (SELECT doc_id, grp, b, tab, ids, array_to_string(list_slice(ws, b + 1, b + {most}), ' ') AS t FROM (SELECT doc_id, grp, tab, ids, ws, unnest(range(0, len(ws), {window})) AS b FROM (SELECT *, {_split('t')} AS ws FROM st WHERE alone AND w > {most}))) WHERE length(t) > 50),
+sq AS (SELECT doc_id, grp, b, CASE WHEN tab THEN 'table' ELSE 'text' END AS kind, ids, regexp_replace(t, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM sp),
+sc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, b) - 1 AS chunk_index, kind, len(ids) AS n_blocks, ids, t FROM sq WHERE t <> '')"""
+
+
+def _chunk_id(parts: str) -> str:
+    h = f"sha1(unhex('{ids.NAMESPACE.hex}') || encode({parts}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || ['8', '9', 'a', 'b'][(instr('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1] || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+@query(f"WITH RECURSIVE {_structural(200)} SELECT doc_id, chunk_index, kind, n_blocks, md5(t) AS text_md5 FROM sc")
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of documents in groups of up to 200 words."""
     held = chunking.page_chunks(inputs.blocks(spark, sf_dir), 200)
     return held.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "kind", F.size("block_ids").cast("long").alias("n_blocks"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_structural(512)}, l AS (SELECT *, regexp_replace(t, '{_WS}', '', 'g') AS s FROM sc) SELECT doc_id, {_chunk_id("'chunk' || chr(31) || doc_id || chr(31) || 'structural-v1' || chr(31) || chunk_index")} AS chunk_id, CASE WHEN (length(s) - length(regexp_replace(s, '[\x{{0600}}-\x{{06FF}}]', '', 'g'))) / greatest(length(s), 1) > 0.5 THEN 'fa' ELSE 'en' END AS lang, '{{"type":"page","num":' || (doc_id + 1) || ',"page_id":"' || doc_id || '","strategy":"structural-v1","kind":"' || kind || '","block_ids":[' || array_to_string(list_transform(ids, lambda i: '"' || i || '"'), ',') || ']}}' AS location FROM l""")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = chunking.document_chunks(inputs.blocks(spark, sf_dir), ["g1", "g3"])
     return held.select("doc_id", "chunk_id", "lang", F.to_json("location").alias("location"))
@@ -227,15 +247,16 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = inputs.pages(spark, sf_dir)
     with_bars = table(spark, sf_dir, "documents").where(F.instr("text", "|") > 0).select(F.col("source").alias("document_id"))
-    return reports.file_reports(quality.document_quality(quality.page_quality(held)), held, with_bars)
+    failed = table(spark, sf_dir, "benchmark").where("item_id % 3 = 0").select(F.concat(F.lit("file "), F.col("item_id").cast("string")).alias("document_id"), F.lit("unreadable").alias("error"))
+    return reports.file_reports(quality.document_quality(quality.page_quality(held)), held, with_bars, failed)
 
 
-@query(f"WITH {_DOC}, tb AS (SELECT source AS document_id, count(*) AS n FROM documents WHERE instr(text, '|') > 0 GROUP BY source) SELECT document_id, total_pages, accepted_pages, score, level, CAST(coalesce(n, 0) AS BIGINT) AS table_count, CAST(0 AS BIGINT) AS ocr_route_pages FROM dd LEFT JOIN tb USING (document_id)")
+@query(f"WITH {_DOC}, tb AS (SELECT source AS document_id, count(*) AS n FROM documents WHERE instr(text, '|') > 0 GROUP BY source) SELECT document_id, total_pages, accepted_pages, score, level, CAST(coalesce(n, 0) AS BIGINT) AS table_count, (SELECT count(*) FROM documents WHERE source = document_id AND doc_id % 23 > 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0)) AS ocr_route_pages FROM dd LEFT JOIN tb USING (document_id) UNION ALL SELECT 'file ' || item_id, NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark WHERE item_id % 3 = 0")
 def file_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir).select("document_id", "total_pages", "accepted_pages", "score", "level", "table_count", "ocr_route_pages")
 
 
-@query(f"WITH {_DOC}, tb AS (SELECT count(*) AS n FROM documents WHERE instr(text, '|') > 0) SELECT count(*) AS files, count(*) AS files_extracted, CAST(0 AS BIGINT) AS files_failed, CAST(sum(total_pages) AS BIGINT) AS total_pages, CAST(sum(accepted_pages) AS BIGINT) AS accepted_pages, CAST(sum(needs_review_pages) AS BIGINT) AS needs_review_pages, CAST(sum(failed_pages) AS BIGINT) AS failed_pages, CAST(any_value(n) AS BIGINT) AS table_count, round(avg(score), 2) AS mean_quality_score, round(sum(accepted_pages) / sum(total_pages), 4) AS page_acceptance_rate FROM dd, tb")
+@query(f"WITH {_DOC}, tb AS (SELECT count(*) AS n FROM documents WHERE instr(text, '|') > 0) SELECT count(*) + (SELECT count(*) FROM benchmark WHERE item_id % 3 = 0) AS files, count(*) AS files_extracted, (SELECT count(*) FROM benchmark WHERE item_id % 3 = 0) AS files_failed, CAST(sum(total_pages) AS BIGINT) AS total_pages, CAST(sum(accepted_pages) AS BIGINT) AS accepted_pages, CAST(sum(needs_review_pages) AS BIGINT) AS needs_review_pages, CAST(sum(failed_pages) AS BIGINT) AS failed_pages, CAST(any_value(n) AS BIGINT) AS table_count, round(avg(score), 2) AS mean_quality_score, round(sum(accepted_pages) / sum(total_pages), 4) AS page_acceptance_rate FROM dd, tb")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.corpus_totals(_reports(spark, sf_dir))
 
@@ -261,15 +282,19 @@ def script_ratio_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.persian_ratio(F.col("text")), 6).alias("persian_ratio"), text.language(F.col("text")).alias("language"))
 
 
-@query()
+_ROUTER = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(1610) || chr(1609) || chr(1603) || chr(8204) || chr(160) || chr(8205) || chr(65279) || chr(173), chr(1740) || chr(1740) || chr(1705) || '  '), '[ \t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(rf"SELECT doc_id, md5(replace(replace(translate(text, chr(1610) || chr(1603), chr(1740) || chr(1705)), chr(1604) || chr(1575), chr(1575) || chr(1604)), chr(8204), ' ')) AS chars_md5, md5({_ocr('text')}) AS ocr_md5, md5(trim(regexp_replace(replace(regexp_replace({_ocr('text')}, '[\x{{064B}}-\x{{065F}}\x{{0670}}]', '', 'g'), chr(8204), ' '), '{_WS}+', ' ', 'g'))) AS evaluation_md5, md5(trim(regexp_replace(regexp_replace(replace(lower({_ROUTER}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+', ' ', 'g'), '{_WS}+', ' ', 'g'))) AS agreement_md5 FROM documents")
 def nfkc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_chars(c)).alias("chars_md5"), F.md5(text.normalize_ocr(c)).alias("ocr_md5"), F.md5(text.normalize_for_evaluation(c)).alias("evaluation_md5"), F.md5(text.normalize_for_agreement(c)).alias("agreement_md5"))
 
 
-@query("WITH t AS (SELECT source AS file, length(regexp_replace(coalesce(text, ''), '" + _WS + "', '', 'g')) AS n, doc_id FROM documents) SELECT file, count(*) AS pages, round(avg(n), 2) AS avg_chars, count(*) FILTER (WHERE n < 50) AS empty_pages, round(avg(CASE WHEN doc_id % 3 > 0 THEN 1.0 ELSE 0.0 END) * 100, 2) AS table_percent, CAST(sum(doc_id % 4) AS BIGINT) AS images, 0.0 AS persian_percent FROM t GROUP BY file")
+@query("WITH p AS (SELECT source AS file, doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN translate(text, 'aeiou', 'اویهع') ELSE text END, '" + _WS + r"', '', 'g') AS c FROM documents), t AS (SELECT *, length(c) AS n, CASE WHEN length(c) = 0 THEN 0.0 ELSE (length(c) - length(regexp_replace(c, '[\x{0600}-\x{06FF}]', '', 'g'))) / length(c) END AS fa FROM p) SELECT file, count(*) AS pages, round(avg(n), 2) AS avg_chars, count(*) FILTER (WHERE n < 50) AS empty_pages, round(avg(CASE WHEN doc_id % 3 > 0 THEN 1.0 ELSE 0.0 END) * 100, 2) AS table_percent, CAST(sum(doc_id % 4) AS BIGINT) AS images, round(avg(fa) * 100, 2) AS persian_percent FROM t GROUP BY file")
 def triage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "text", (F.col("doc_id") % 3).alias("n_tables"), (F.col("doc_id") % 4).alias("n_images"))
+    body = F.when(F.col("doc_id") % 5 == 0, F.translate("text", "aeiou", "اویهع")).otherwise(F.col("text")).alias("text")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), body, (F.col("doc_id") % 3).alias("n_tables"), (F.col("doc_id") % 4).alias("n_images"))
     return reports.triage(rows)
 
 
@@ -356,7 +381,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall(hits, truth)
 
 
-@query()
+@query(f"WITH {_BM25}, h AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 6) DESC, chunk_id) AS rank FROM b), t AS (SELECT question_id, chunk_id, benchmark.text AS question, documents.text AS text FROM h JOIN benchmark ON item_id = question_id JOIN documents ON doc_id = chunk_id WHERE rank <= 20), s AS (SELECT *, len(list_intersect(list_distinct({_split('lower(question)')}), {_split('lower(text)')})) / len(list_distinct({_split('lower(question)')})) AS score FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT question_id, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || any_value(question)) AS prompt_md5 FROM k WHERE rank <= 5 GROUP BY question_id")
 def rerank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best by BM25, reranked by word overlap, as prompts."""
     hits = retrieval.top_k_each(_bm25(spark, sf_dir).select("question_id", "chunk_id", F.round("bm25", 6).alias("score")), "question_id", 20, "chunk_id")
@@ -395,8 +420,13 @@ def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(evaluate.cer(F.replace("text", F.lit("th"), F.lit("d")), F.col("text")), 6).alias("cer"))
 
 
-@query()
+#: A passage without some of its words.
+_FEWER = "regexp_replace(text, ' (?:the|and) ', ' ', 'g')"
+
+
+@query(f"WITH p AS (SELECT item_id, {_split('text')} AS t, {_split(_FEWER)} AS h FROM benchmark) SELECT item_id, round((len(t) - len(h)) / len(t), 6) AS wer FROM p")
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word error rates of passages that lost some words: what is left is a subsequence, so the SQL needs no alignment."""
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(evaluate.wer(F.regexp_replace("text", " (?:the|and) ", " "), F.col("text")), 6).alias("wer"))
 
 
@@ -453,16 +483,34 @@ def permission_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rbac.permission_groups(_rbac(spark, sf_dir)[3]).select("resource", F.array_join("names", ",").alias("names"))
 
 
-@query(f"WITH {_RBAC}, r AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' ELSE 'create' END AS action, o_custkey AS target_id, CASE WHEN o_orderkey % 5 = 0 THEN 'admin' END AS new_level, CASE WHEN o_orderkey % 4 = 0 THEN 't' || (o_orderkey % 3) END AS new_tenant, 'g' || (o_orderkey % 6) AS g FROM orders) SELECT request_id, CASE WHEN action <> 'create' AND (u.user_id IS NULL OR u.tenant_id <> 't1') THEN 'not_found' WHEN new_level IS NOT NULL AND new_level <> coalesce(u.level, 'user') THEN 'level_change' WHEN new_tenant IS NOT NULL AND new_tenant <> 't1' THEN 'tenant_scope' WHEN g NOT IN ('g1', 'g3') THEN 'acl_scope' WHEN action = 'delete' AND u.level = 'creator' THEN 'last_creator' WHEN action = 'update' AND u.level = 'creator' AND new_level IS NOT NULL THEN 'last_creator' END AS deny_reason FROM r LEFT JOIN u ON u.user_id = r.target_id")
-def admin_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guards of user management over requests made of orders."""
+_REQUESTS = "r AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' ELSE 'create' END AS action, CASE WHEN o_orderkey % 13 = 0 THEN 10 WHEN o_orderkey % 17 = 0 THEN 1 ELSE o_custkey END AS target_id, CASE WHEN o_orderkey % 5 = 0 THEN 'admin' END AS new_level, CASE WHEN o_orderkey % 4 = 0 THEN 't' || (o_orderkey % 3) END AS new_tenant, 'g' || (o_orderkey % 6) AS g FROM orders)"
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    actor = access.Identity("admin_a", "t1", ("g1", "g3"), "admin")
-    asked = table(spark, sf_dir, "orders").select(
-        c("o_orderkey").alias("request_id"), F.when(c("o_orderkey") % 3 == 0, "update").when(c("o_orderkey") % 3 == 1, "delete").otherwise("create").alias("action"), c("o_custkey").alias("target_id"),
+    target = F.when(c("o_orderkey") % 13 == 0, 10).when(c("o_orderkey") % 17 == 0, 1).otherwise(c("o_custkey"))
+    return table(spark, sf_dir, "orders").select(
+        c("o_orderkey").alias("request_id"), F.when(c("o_orderkey") % 3 == 0, "update").when(c("o_orderkey") % 3 == 1, "delete").otherwise("create").alias("action"), target.alias("target_id"),
         F.when(c("o_orderkey") % 5 == 0, "admin").alias("level"), F.when(c("o_orderkey") % 4 == 0, F.concat(F.lit("t"), (c("o_orderkey") % 3).cast("string"))).alias("tenant_id"), F.array(F.concat(F.lit("g"), (c("o_orderkey") % 6).cast("string"))).alias("acl_groups"),
     )
-    return rbac.judged_requests(asked, _rbac(spark, sf_dir)[0], actor).select("request_id", "deny_reason")
+
+
+def _identity(spark: SparkSession, sf_dir: str, user_id: int) -> access.Identity:
+    """A user of the tables as who asks."""
+    row = _rbac(spark, sf_dir)[0].where(F.col("user_id") == user_id).first()
+    return access.Identity(row["username"], row["tenant_id"], ("g1", "g3"), row["level"])
+
+
+@query(f"WITH {_RBAC}, {_REQUESTS}, me AS (SELECT username AS mine, tenant_id AS home FROM u WHERE user_id = 10) SELECT request_id, CASE WHEN action <> 'create' AND (u.user_id IS NULL OR u.tenant_id <> home) THEN 'not_found' WHEN new_level IS NOT NULL AND new_level <> coalesce(u.level, 'user') THEN 'level_change' WHEN new_tenant IS NOT NULL AND new_tenant <> home THEN 'tenant_scope' WHEN g NOT IN ('g1', 'g3') THEN 'acl_scope' WHEN action = 'delete' AND username = mine THEN 'self_deletion' WHEN u.level = 'creator' AND (action = 'delete' OR new_level IS NOT NULL) THEN 'last_creator' END AS deny_reason FROM me, r LEFT JOIN u ON u.user_id = r.target_id")
+def admin_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards of user management over requests made of orders, asked by an admin among the users."""
+    return rbac.judged_requests(_requests(spark, sf_dir), _rbac(spark, sf_dir)[0], _identity(spark, sf_dir, 10)).select("request_id", "deny_reason")
+
+
+@query(f"WITH {_RBAC}, {_REQUESTS} SELECT request_id, CASE WHEN action <> 'create' AND u.user_id IS NULL THEN 'not_found' WHEN action = 'delete' AND u.user_id = 1 THEN 'self_deletion' WHEN u.user_id = 1 AND new_level IS NOT NULL THEN 'self_demotion' END AS deny_reason FROM r LEFT JOIN u ON u.user_id = r.target_id")
+def creator_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests asked by the only creator."""
+    return rbac.judged_requests(_requests(spark, sf_dir), _rbac(spark, sf_dir)[0], _identity(spark, sf_dir, 1)).select("request_id", "deny_reason")
 
 
 @query("SELECT source, lang AS ref FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT source, lang FROM documents WHERE doc_id % 3 = 0")
@@ -585,13 +633,14 @@ def adaptive_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.decided(held).select("doc_id", "route", "status", F.array_join("fallback_reasons", ",").alias("fallback_reasons"))
 
 
-@query("SELECT doc_id, 'page_number' AS violation FROM documents WHERE doc_id % 19 = 0 UNION ALL SELECT doc_id, 'combined_without_both' FROM documents WHERE doc_id % 7 = 0")
+@query("WITH p AS (SELECT doc_id, doc_id % 19 = 0 AS off, ['native', 'full_page_ocr', 'region_ocr', 'combined', 'rejected'][doc_id % 5 + 1] AS route, doc_id % 3 > 0 AS hn, doc_id % 4 > 0 AS ho, doc_id % 9 > 0 AS hi, doc_id % 2 = 0 AS ok, doc_id % 11 = 0 AS unknown, doc_id % 7 > 0 AS gate FROM documents) SELECT doc_id, unnest(list_filter([CASE WHEN off THEN 'page_number' END, CASE WHEN route = 'native' AND NOT hn THEN 'native_without_text' END, CASE WHEN route IN ('full_page_ocr', 'region_ocr') AND NOT ho THEN 'ocr_without_text' END, CASE WHEN route = 'combined' AND NOT (hn AND ho) THEN 'combined_without_both' END, CASE WHEN ok AND (route = 'rejected' OR NOT gate OR NOT hi OR unknown) THEN 'accepted_without_ground' END, CASE WHEN route = 'rejected' AND gate THEN 'rejected_but_passed' END], lambda x: x IS NOT NULL)) AS violation FROM p")
 def page_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that break an invariant; two kinds are put in by arithmetic."""
-    c = F.col
+    """Pages that break an invariant; all kinds are put in by arithmetic."""
+    d = F.col("doc_id")
+    route = F.element_at(F.array(*map(F.lit, ("native", "full_page_ocr", "region_ocr", "combined", "rejected"))), (d % 5 + 1).cast("int"))
     held = table(spark, sf_dir, "documents").select(
-        "doc_id", c("doc_id").alias("page_index"), F.when(c("doc_id") % 19 == 0, c("doc_id")).otherwise(c("doc_id") + 1).alias("page_number"), F.when(c("doc_id") % 7 == 0, "combined").otherwise("native").alias("selected_route"), F.lit("needs_review").alias("processing_status"),
-        F.lit("x").alias("native_text"), F.lit("").alias("ocr_text"), F.lit("x").alias("index_text"), F.lit("digital").alias("page_type"), F.lit(True).alias("gate_passed"),
+        "doc_id", d.alias("page_index"), F.when(d % 19 == 0, d).otherwise(d + 1).alias("page_number"), route.alias("selected_route"), F.when(d % 2 == 0, "accepted").otherwise("needs_review").alias("processing_status"),
+        F.when(d % 3 == 0, " ").otherwise("x").alias("native_text"), F.when(d % 4 == 0, "").otherwise("y").alias("ocr_text"), F.when(d % 9 == 0, "").otherwise("z").alias("index_text"), F.when(d % 11 == 0, "unknown").otherwise("digital").alias("page_type"), (d % 7 > 0).alias("gate_passed"),
     )
     return pages.violations(held).select("doc_id", "violation")
 
@@ -612,7 +661,7 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("page_id", F.col("reading_order").cast("long").alias("reading_order"), "block_type", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(rf"WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), s AS (SELECT doc_id, n, ls[n + 1] AS raw, CASE WHEN n = 0 THEN 18.0 ELSE 12.0 END AS size FROM l WHERE regexp_replace(ls[n + 1], '{_WS}', '', 'g') <> ''), m AS (SELECT *, median(size) OVER (PARTITION BY doc_id) AS mid, {_ocr('raw')} AS t FROM s), k AS (SELECT * FROM m WHERE t <> '') SELECT CAST(doc_id AS VARCHAR) AS page_id, CAST(n AS INTEGER) AS block_no, CASE WHEN regexp_matches(t, '^(?:[•·◦▪–\-*]|[0-9۰-۹]+[.)]|[a-zA-Z][.)])[ \t]+') THEN 'list_item' WHEN len({_split('t')}) <= 8 AND mid > 0 AND size >= mid * 1.2 AND NOT regexp_matches(t, '[.؟?!]$') THEN 'heading' ELSE 'paragraph' END AS block_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS reading_order FROM k")
 def native_block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as spans, the first one larger, as blocks with their types."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
@@ -668,7 +717,7 @@ def region_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("page_id").cast("long").alias("doc_id"), F.col("a_region_id").cast("long").alias("a"), F.col("b_region_id").cast("long").alias("b"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BOX}, pr AS (SELECT x.doc_id, x.n AS a, y.n AS b FROM bx x JOIN bx y ON x.doc_id = y.doc_id AND x.n <> y.n WHERE least(x.b, y.b) > greatest(x.t, y.t) AND greatest(0, least(x.r, y.r) - greatest(x.l, y.l)) / least(x.r - x.l, y.r - y.l) >= 0.6), re AS (SELECT doc_id, n AS d, n AS m FROM bx UNION SELECT re.doc_id, d, b FROM re JOIN pr ON pr.doc_id = re.doc_id AND pr.a = re.m), co AS (SELECT doc_id, d, min(m) AS g FROM re GROUP BY doc_id, d), ag AS (SELECT bx.doc_id, g, min(n) AS block_num, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, CAST(sum(wc) AS BIGINT) AS word_count, sum(cf * greatest(1, wc)) / sum(CASE WHEN cf IS NOT NULL THEN greatest(1, wc) END) AS confidence FROM bx JOIN co ON co.doc_id = bx.doc_id AND co.d = bx.n GROUP BY bx.doc_id, g) SELECT CAST(doc_id AS VARCHAR) AS page_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round_even(t / 20, 0), -r, block_num) AS INTEGER) AS region_id, CAST(l AS INTEGER) AS \"left\", CAST(t AS INTEGER) AS top, CAST(r AS INTEGER) AS \"right\", CAST(b AS INTEGER) AS bottom, word_count, round(confidence, 6) AS confidence FROM ag")
 def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.merged(inputs.boxes(spark, sf_dir)).select("page_id", "region_id", "left", "top", "right", "bottom", "word_count", F.round("confidence", 6).alias("confidence"))
 

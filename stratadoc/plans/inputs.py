@@ -116,7 +116,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         c("source").alias("document_id"), "doc_id", c("text").alias("index_text"), c("text").alias("native_text"), F.when(c("doc_id") % 3 == 0, c("text")).otherwise("").alias("ocr_text"), F.when(c("doc_id") % 29 == 0, "empty").otherwise("digital").alias("page_type"),
         F.when(c("doc_id") % 10 == 9, "needs_review").when(c("doc_id") % 41 == 0, "failed").otherwise("accepted").alias("processing_status"), F.when(c("doc_id") % 2 == 0, (c("doc_id") % 100).cast("double")).alias("decision_quality"),
-        F.when(c("doc_id") % 5 == 0, (c("doc_id") % 90).cast("double")).alias("decision_agreement"), F.when(c("doc_id") % 23 == 0, "rejected").otherwise("native").alias("selected_route"), (c("doc_id") % 23 != 0).alias("gate_passed"), (c("doc_id") % 4).cast("int").alias("n_fallbacks"),
+        F.when(c("doc_id") % 5 == 0, (c("doc_id") % 90).cast("double")).alias("decision_agreement"), F.when(c("doc_id") % 23 == 0, "rejected").when(c("doc_id") % 7 == 0, "combined").when(c("doc_id") % 11 == 0, "region_ocr").otherwise("native").alias("selected_route"), (c("doc_id") % 23 != 0).alias("gate_passed"), (c("doc_id") % 4).cast("int").alias("n_fallbacks"),
     )
 
 

@@ -142,7 +142,8 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held
 
 
-_MANIFESTS = f"mf AS (SELECT doc_id, text, {_id('document', chr(39) + 't' + chr(39) + ' || (doc_id % 4)', chr(39) + 'key ' + chr(39) + ' || doc_id')} AS document_id FROM documents), mr AS (SELECT *, {_id('revision', 'document_id', 'sha256(text)')} AS revision_id FROM mf)"
+_TENANT, _KEY, _PARAGRAPH, _PAGE_SIZED = "'t' || (doc_id % 4)", "'key ' || doc_id", "'paragraph'", "'page-v1'"
+_MANIFESTS = f"mf AS (SELECT doc_id, text, {_id('document', _TENANT, _KEY)} AS document_id FROM documents), mr AS (SELECT *, {_id('revision', 'document_id', 'sha256(text)')} AS revision_id FROM mf)"
 
 
 @query(f"WITH {_MANIFESTS} SELECT document_id, revision_id, 't' || (doc_id % 4) AS tenant_id, doc_id || '.txt' AS source_name, sha256(text) AS source_sha256, octet_length(encode(text)) AS file_size_bytes FROM mr")
@@ -180,7 +181,7 @@ def ocr_page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "page_id", "page_type", "selected_route", "processing_status", "gate_passed", "candidate_count")
 
 
-@query(rf"WITH li AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) SELECT doc_id, n AS reading_order, {_id('block', 'doc_id', chr(39) + 'paragraph' + chr(39), 'n')} AS block_id, {_language('ls[n + 1]')} AS language_profile FROM li")
+@query(rf"WITH li AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) SELECT doc_id, n AS reading_order, {_id('block', 'doc_id', _PARAGRAPH, 'n')} AS block_id, {_language('ls[n + 1]')} AS language_profile FROM li")
 def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as paragraph blocks with ids and languages."""
     lines = table(spark, sf_dir, "documents").select("doc_id", c("doc_id").cast("string").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("reading_order", "text")).withColumn("block_type", F.lit("paragraph"))
@@ -230,7 +231,7 @@ def _every_page_chunks(held: DataFrame, named: DataFrame) -> DataFrame:
     return out.select(c("source").cast("long").alias("doc_id"), c("chunk_index").cast("long").alias("chunk_index"), F.size("location.block_ids").cast("long").alias("n_blocks"), F.md5("text").alias("text_md5"))
 
 
-@query(rf"SELECT doc_id, {_id('chunk', 'doc_id', chr(39) + 'page-v1' + chr(39), '0')} AS chunk_id, md5(text) AS text_md5, {_language('text')} AS lang FROM documents WHERE doc_id % 4 <> 3")
+@query(rf"SELECT doc_id, {_id('chunk', 'doc_id', _PAGE_SIZED, '0')} AS chunk_id, md5(text) AS text_md5, {_language('text')} AS lang FROM documents WHERE doc_id % 4 <> 3")
 def page_sized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk a page, all of which are allowed."""
     held = table(spark, sf_dir, "documents").where("doc_id % 4 <> 3").select("doc_id", c("doc_id").cast("string").alias("page_id"), c("text").alias("index_text"), F.when(c("doc_id") % 2 == 0, "accepted").otherwise("needs_review").alias("processing_status"))
@@ -385,7 +386,7 @@ def column_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(c("page_id").cast("long").alias("doc_id"), c("box_no").cast("long").alias("box_no"), F.round(layout.horizontal_overlap(F.struct("left", "right"), column), 6).alias("share"))
 
 
-@query(f"WITH {_BOX}, p AS (SELECT doc_id, n, greatest(0, least(1200, CAST(round(l * 1200 / 800.0) AS INTEGER))) AS x0, greatest(0, least(1600, CAST(round(t * 1600 / 1000.0) AS INTEGER))) AS y0, greatest(0, least(1200, CAST(round(r * 1200 / 800.0) AS INTEGER))) AS x1, greatest(0, least(1600, CAST(round(b * 1600 / 1000.0) AS INTEGER))) AS y1 FROM bx), k AS (SELECT *, 'b' || n AS t FROM p WHERE x1 > x0 AND y1 > y0) SELECT doc_id, t AS text, x0 AS \"left\", y0 AS top, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x1 DESC, x0, y1, t) - 1 AS reading_order FROM k")
+@query(f"WITH {_BOX}, p AS (SELECT doc_id, n, greatest(0, least(1200, CAST(round(l * 1200 / 800.0) AS INTEGER))) AS x0, greatest(0, least(1600, CAST(round(t * 1600 / 1000.0) AS INTEGER))) AS y0, greatest(0, least(1200, CAST(round(r * 1200 / 800.0) AS INTEGER))) AS x1, greatest(0, least(1600, CAST(round(b * 1600 / 1000.0) AS INTEGER))) AS y1 FROM bx), k AS (SELECT *, 'b' || n AS t FROM p WHERE x1 > x0 AND y1 > y0) SELECT doc_id, t AS text, CAST(x0 AS BIGINT) AS \"left\", CAST(y0 AS BIGINT) AS top, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x1 DESC, x0, y1, t) - 1 AS reading_order FROM k")
 def native_region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks in points as regions in pixels, from the top, right before left."""
     held = inputs.boxes(spark, sf_dir).select("page_id", F.concat(F.lit("b"), c("box_no").cast("string")).alias("text"), *(c(x).cast("double").alias(x) for x in ("left", "top", "right", "bottom")))
