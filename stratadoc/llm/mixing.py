@@ -12,12 +12,13 @@ which the budget ends is ordered, so a leaf with a third of all rows is no singl
 
 Defined results: null lang or source are values of their own (shown as ''). A text without words
 has 0 tokens and is taken wherever it stands in the prefix; a leaf without tokens is taken whole
-once if its budget isn't negative. Repeated rows are separate entries. An empty table gives an
+once if its budget isn't negative. Very long texts are counted whole, as any other. Repeated rows are separate entries. An empty table gives an
 empty table. Weights default to 1 for names that aren't listed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, Scratch
 
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of the order key that name a bin: 4096 bins a leaf.
-BIN_DIGITS = 3
+#: Hex digits of the order key that name a bin: 4096 bins a leaf at least, more where all rows are more than so many a bin.
+BIN_DIGITS, MOST_DIGITS, BIN_ROWS = 3, 6, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -83,8 +84,9 @@ def select(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, i
     dealt = scratch.table(budgets(scratch.table(leaves, "leaves"), weights, percent=percent, max_epochs=max_epochs), "budgets")
     whole = F.when(F.col("tokens") > 0, F.least(F.expr("budget div tokens"), F.lit(max_epochs))).otherwise(1)
     leaf = dealt.select(*LEVELS, whole.alias("epochs"), F.when(whole < max_epochs, F.col("budget") - whole * F.col("tokens")).otherwise(-1).alias("rest"))
+    digits = max(BIN_DIGITS, min(MOST_DIGITS, math.ceil(math.log(max(slim.count() / BIN_ROWS, 1), 16))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    held = slim.join(leaf, list(LEVELS)).withColumn("key", key).withColumn("bin", F.substring("key", 1, BIN_DIGITS))
+    held = slim.join(leaf, list(LEVELS)).withColumn("key", key).withColumn("bin", F.substring("key", 1, digits))
     bins = held.where("rest >= 0").groupBy(*LEVELS, "rest", "bin").agg(F.sum("n_tokens").alias("k"))
     upto = F.sum("k").over(Window.partitionBy(*LEVELS).orderBy("bin"))
     bins = scratch.table(bins.withColumn("end", upto).select(*LEVELS, "bin", "end", (F.col("end") - F.col("k")).alias("begin")), "bins")

@@ -12,8 +12,9 @@ histogram with at most ``capacity`` lengths, whatever the number of documents. O
 The pieces of a length get ranks without a gap (counted by hashed buckets, so that a length that a
 third of all pieces have is no single task), and a rank has its sequence and place in the plan.
 
-Defined results: a null or empty text is the end id alone. Repeated rows are packed one by one; a
-row without doc_id is packed too. An empty table gives an empty table.
+Defined results: a null or empty text is the end id alone. Very long texts are encoded whole and cut.
+Repeated rows are packed one by one; a row without doc_id is packed too. Of the columns doc_id alone
+passes through. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cascade over all documents. The base features are columns of the result; those of the other rules are worked out where no rule before them has rejected."""
     measured = quality_rules.with_features(documents(spark, sf_dir), BASE_FEATURES)
-    cascade = quality_rules.Cascade().fit(measured, ready=BASE_FEATURES)
+    cascade = quality_rules.Cascade().fit(documents(spark, sf_dir), ready=BASE_FEATURES)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return cascade.judge(measured, ready=BASE_FEATURES).select("doc_id", *BASE_FEATURES, base.alias("base_failed"), "kept")
 
@@ -139,7 +139,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-_SPACE = r"[ \t\n\x0b\x0c\r]"
+
+def _secrets_sql() -> str:
+    """Each kind's matches and what stands between them, as places; the kinds' own tests are in their patterns but for that of an assignment."""
+    parts = []
+    for number, kind in enumerate(secret_scan.KINDS):
+        pattern = kind.pattern.replace("'", "''")
+        holds = f"length(regexp_extract(m, '{pattern}', 1)) >= 8" if kind.name == "assign" else "true"
+        parts.append(f"""SELECT doc_id, {number} AS kind, m, list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda g: length(g))), 0) AS start
+FROM (SELECT doc_id, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, ms, gaps FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gaps FROM d)) WHERE {holds}""")
+    names = ", ".join(f"'{k.name}'" for k in secret_scan.KINDS)
+    told = f"[{names}][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(m) AS BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+string_agg({told}, ',' ORDER BY start, kind) FILTER (WHERE kind < {len(secret_scan.BASE_KINDS)}) AS base, string_agg({told}, ',' ORDER BY start, kind) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": r"""
@@ -185,6 +200,32 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """,
+    "op3_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i, h FROM d),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM w),
+g AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1),
+o AS (SELECT *, coalesce(i > max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM g),
+n AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+s AS (SELECT doc_id, span, min(i) AS lo, max(i) + 100 AS hi FROM n GROUP BY doc_id, span),
+e AS (SELECT s.*, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM s),
+p AS (SELECT e.doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN p ON p.doc_id = d.doc_id
+""",
+    "op4_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.m
+), c AS (SELECT d, min(m) AS component_id FROM r GROUP BY d)
+SELECT c.d AS doc_id, coalesce(n, 0) AS n_shingles, component_id, c.d = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.d
+""",
+    "op8_secret_scan": _secrets_sql(),
     "op7_source_mixing": r"""
 WITH d AS (
   SELECT doc_id,

@@ -121,3 +121,45 @@ def url(address: str | None) -> tuple[str, str, str | None, str | None]:
     host, path = ascii_lower(m[1]), m[2]
     fits = [(len(h) + len(p), h + p, verdict) for verdict, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def mix(docs: dict[int, tuple[str, str, str, str | None]], weights: dict, *, percent: int, max_epochs: int, seed: int) -> dict[int, int]:
+    """Copies taken of each document (domain, lang, source, text): shares by weight, those that can't use theirs capped first."""
+    tokens = {d: len(WORD.findall(v[3] or "")) for d, v in docs.items()}
+    leaves = defaultdict(list)
+    for d, v in docs.items():
+        leaves[v[:3]].append(d)
+    own = {leaf: sum(tokens[d] for d in held) for leaf, held in leaves.items()}
+
+    def shared(budget: int, prefix: tuple) -> dict[tuple, int]:
+        depth = len(prefix)
+        if depth == 3:
+            return {prefix: budget}
+        names = sorted({leaf[depth] for leaf in leaves if leaf[:depth] == prefix})
+        room = {n: max_epochs * sum(t for leaf, t in own.items() if leaf[: depth + 1] == (*prefix, n)) for n in names}
+        w = {n: weights.get(("domain", "lang", "source")[depth], {}).get(n, 1) for n in names}
+        given: dict[str, int] = {}
+        while True:
+            left, open_ = budget - sum(given.values()), [n for n in names if n not in given]
+            total = sum(w[n] for n in open_)
+            full = [n for n in open_ if room[n] * total <= left * w[n]]
+            if not full:
+                given |= {n: left * w[n] // total for n in open_}
+                break
+            least = min(full, key=lambda n: (room[n] / w[n], n))
+            given[least] = room[least]
+            if len(given) == len(names):
+                break
+        return {leaf: b for n in names for leaf, b in shared(given[n], (*prefix, n)).items()}
+
+    total = sum(tokens.values())
+    budgets = shared(min(total * percent // 100, total * max_epochs), ())
+    out = {}
+    for leaf, held in leaves.items():
+        epochs = min(budgets[leaf] // own[leaf], max_epochs) if own[leaf] else 1
+        rest = budgets[leaf] - epochs * own[leaf] if epochs < max_epochs else -1
+        upto = 0
+        for d in sorted(held, key=lambda d: (hashlib.md5(f"{seed}:{epochs}:{d}".encode()).hexdigest(), d)):
+            upto += tokens[d]
+            out[d] = epochs + (rest >= 0 and upto <= rest)
+    return {d: n for d, n in out.items() if n}

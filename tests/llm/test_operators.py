@@ -392,6 +392,16 @@ def test_mixing_keeps_to_budgets_and_weights(spark, docs):
     assert sorted(out.collect()) == sorted(again.collect())
 
 
+@pytest.mark.parametrize("percent, epochs, seed", [(60, 2, 1), (80, 1, 1), (150, 3, 5), (7, 1, 9)])
+def test_mixing_equals_brute_force(spark, docs, corpus, percent, epochs, seed):
+    df = spark.read.parquet(f"{docs}/documents.parquet")
+    domain = lambda source: {True: "web"}.get(source[-1] in "01234", "books" if source[-1] in "56789" else "other")
+    held = {r.doc_id: (domain(r.source), r.lang or "", r.source, r.text) for r in df.collect()}
+    want = brute.mix(held, queries.MIX_WEIGHTS, percent=percent, max_epochs=epochs, seed=seed)
+    out = mixing.select(df, queries.mix_domain(), queries.MIX_WEIGHTS, percent=percent, max_epochs=epochs, seed=seed)
+    assert {d: n for d, (n,) in by_id(out, "copies").items()} == want and set(held) == set(corpus)
+
+
 def test_shortages_go_to_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("a", "x", "s", 10), ("a", "y", "s", 1000), ("b", "x", "s", 1000)], "domain string, lang string, source string, tokens bigint")
     out = {(r.domain, r.lang): r.budget for r in mixing.budgets(leaves, {}, percent=50, max_epochs=1).collect()}
