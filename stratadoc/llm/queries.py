@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.inputs import table
 from .common import bound_batches
 from . import fingerprints, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_counts, url_filter
 
@@ -14,7 +15,8 @@ BASE_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ("doc_id", "text"))
+    """documents; a small table, which one row group may hold, is dealt to all cores."""
+    return table(spark, sf_dir, "documents").select(*columns or ("doc_id", "text"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
