@@ -31,6 +31,16 @@ def fixed_chunks(df: DataFrame, text: str = "text", size: int = 512, overlap: in
     return df.select(*df.columns, F.posexplode(split_fixed(F.col(text), size, overlap)).alias("chunk_index", "chunk_text"))
 
 
+def native_page_chunks(pages: DataFrame, language_: str, *, start: int = 0, end: int | None = None, page: str = "page_index") -> DataFrame:
+    """Fixed windows page by page (source, page_index from 0, text) in a range whose end is excluded; ids by source, page and window, the language as it is told."""
+    inside = F.col(page) >= start if end is None else (F.col(page) >= start) & (F.col(page) < end)
+    held = fixed_chunks(pages.where(inside))
+    return held.select(
+        F.concat_ws("", "source", F.lit("-"), F.col(page).cast("string"), F.lit("_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.lit(language_).alias("lang"), F.lit("pdf").alias("source_type"), "source",
+        F.struct(F.lit("page").alias("type"), F.col(page).alias("num")).alias("location"), F.col("chunk_text").alias("text"),
+    )
+
+
 def split_articles(text: Column, mark: str = "ماده") -> Column:
     """Articles from one heading (a line of the mark and digits of any script) to the next, as they stand; what is before the first goes, and none gives no rows."""
     head = rf"\n{SPACE}*{mark}\p{{Nd}}+"

@@ -132,6 +132,25 @@ def region_accepted() -> Column:
     return (F.col("confidence") >= 35) & (F.col("quality_score") >= 40) & (F.col("word_count") >= 1)
 
 
+def _score(candidate: Column) -> Column:
+    return F.when(candidate.isNull(), 0.0).otherwise(F.round(candidate["quality_score"] * 0.40 + candidate["confidence"] * 0.35 + candidate["agreement_score"] * 0.25, 2))
+
+
+def simple_route(page_type: Column, native_text: Column, full: Column, region: Column, complex_: Column, *, tolerance: float = 12.0) -> Column:
+    """The simpler policy's route of a page from its best candidates (struct<confidence, quality_score, agreement_score, text>, or null).
+
+    A region's is taken if it is usable and the full page's failed, or the layout is complex and it is
+    within a tolerance, or it is better by more than 3.
+    """
+    good = F.coalesce((full["confidence"] >= 55) & (full["quality_score"] >= 55) & (full["agreement_score"] >= 55) & (F.length(full["text"]) >= 10), F.lit(False))
+    usable = F.coalesce((region["confidence"] >= 45) & (region["quality_score"] >= 50) & (F.length(region["text"]) >= 10), F.lit(False))
+    prefers = usable & (~good | (complex_ & (_score(region) >= _score(full) - tolerance)) | (_score(region) > _score(full) + 3))
+    return (
+        F.when(page_type == "digital", "native").when(prefers, "region_ocr").when(full.isNotNull(), "full_page_ocr").when(region.isNotNull(), "region_ocr")
+        .when(F.coalesce(native_text, F.lit("")) != "", "native").otherwise("region_ocr")
+    )
+
+
 def swept_best(runs: DataFrame, *, page: str = "page_id") -> DataFrame:
     """The best run of each page over all settings: by selection_score, quality_score, confidence, length of text, then the first."""
     order = Window.partitionBy(page).orderBy(F.desc("selection_score"), F.desc("quality_score"), F.desc("confidence"), F.desc(F.length("text")), "run_no")

@@ -353,6 +353,27 @@ def simple_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "run_no", ocr.simple_gate().alias("passed"), ocr.region_accepted().alias("region_accepted"))
 
 
+_SIMPLE_ROUTE = "rd AS (SELECT doc_id, ['digital', 'mixed', 'scanned'][doc_id % 3 + 1] AS kind, CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id * 31 % 101 AS DOUBLE) END AS fc, CAST(doc_id * 17 % 101 AS DOUBLE) AS fq, CAST(doc_id * 5 % 101 AS DOUBLE) AS fa, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id * 37 % 101 AS DOUBLE) END AS rc, CAST(doc_id * 13 % 101 AS DOUBLE) AS rq, CAST(doc_id * 7 % 101 AS DOUBLE) AS ra, doc_id % 2 = 0 AS cx, doc_id % 8 = 0 AS blank FROM documents), rs AS (SELECT *, CASE WHEN fc IS NULL THEN 0.0 ELSE round(fq * 0.40 + fc * 0.35 + fa * 0.25, 2) END AS fs, CASE WHEN rc IS NULL THEN 0.0 ELSE round(rq * 0.40 + rc * 0.35 + ra * 0.25, 2) END AS rsc, coalesce(fc >= 55 AND fq >= 55 AND fa >= 55, false) AS good, coalesce(rc >= 45 AND rq >= 50, false) AS usable FROM rd)"
+
+
+@query(f"WITH {_SIMPLE_ROUTE} SELECT doc_id, CASE WHEN kind = 'digital' THEN 'native' WHEN usable AND (NOT good OR (cx AND rsc >= fs - 12) OR rsc > fs + 3) THEN 'region_ocr' WHEN fc IS NOT NULL THEN 'full_page_ocr' WHEN rc IS NOT NULL THEN 'region_ocr' WHEN NOT blank THEN 'native' ELSE 'region_ocr' END AS route FROM rs")
+def simple_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simpler policy's routes of pages from their best candidates."""
+    d = c("doc_id")
+    number = lambda m: (d * m % 101).cast("double")
+    made = lambda there, a, b, e: F.when(there, F.struct(number(a).alias("confidence"), number(b).alias("quality_score"), number(e).alias("agreement_score"), F.lit("a text of some length").alias("text")))
+    kind = F.element_at(F.array(*map(F.lit, ("digital", "mixed", "scanned"))), (d % 3 + 1).cast("int"))
+    held = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), made(d % 4 > 0, 31, 17, 5).alias("full"), made(d % 5 > 0, 37, 13, 7).alias("region"))
+    return held.select("doc_id", ocr.simple_route(c("kind"), F.when(d % 8 > 0, "x"), c("full"), c("region"), d % 2 == 0).alias("route"))
+
+
+@query(f"WITH pr AS (SELECT doc_id, source, {_split('text')} AS ws FROM documents WHERE doc_id >= 3 AND doc_id < 150), pi AS (SELECT doc_id, source, ws, unnest(range(0, len(ws), 448)) AS b FROM pr), pp AS (SELECT doc_id, source, b, array_to_string(list_slice(ws, b + 1, b + 512), ' ') AS t FROM pi) SELECT source || '-' || doc_id || '_' || (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1) AS chunk_id, 'de' AS lang, doc_id AS num, md5(t) AS text_md5 FROM pp WHERE length(t) > 50")
+def native_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a range in fixed windows, in the language that is told."""
+    held = chunking.native_page_chunks(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "page_index"), "de", start=3, end=150)
+    return held.select("chunk_id", "lang", c("location.num").alias("num"), F.md5("text").alias("text_md5"))
+
+
 @query(f"WITH {_WORDS}, px AS (SELECT doc_id, list(length(text) * 9 % 256 ORDER BY word_no) AS v FROM wo GROUP BY doc_id) SELECT doc_id, CAST(list_sum(list_transform(v, lambda x: CASE WHEN x > 60 THEN 255 ELSE 0 END)) AS BIGINT) AS black_white, CAST(list_sum(list_transform(v, lambda x: 255 - x)) AS BIGINT) AS inverted, CAST(list_sum(CASE WHEN list_min(v) = list_max(v) THEN v ELSE list_transform(v, lambda x: CAST(floor((x - list_min(v)) * 255 / (list_max(v) - list_min(v))) AS BIGINT)) END) AS BIGINT) AS stretched FROM px")
 def grey_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of words as grey values of a picture: threshold, inversion, contrast."""
