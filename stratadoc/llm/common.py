@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import json
 import re
 import shutil
@@ -168,6 +169,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives freed memory back at the end of its task: workers stay for later tasks, and what they hold counts for their executor."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def slices(sizes: np.ndarray, most_bytes: int, most_rows: int | None = None) -> Iterator[tuple[int, int]]:
     """First row and number of rows of slices of about most_bytes (one row at least) and of most_rows at most."""
     most_rows = most_rows or len(sizes)

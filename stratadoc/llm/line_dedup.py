@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, Scratch, TableStore, record_batches
+from .common import ASCII_SPACE, Scratch, TableStore, record_batches, tidy
 
 #: Documents whose lines go to a shard of the index, about.
 DOCS_A_SHARD = 20_000
@@ -196,7 +196,7 @@ def _post(min_chars: int, n_shards: int):
                 shards = np.frombuffer(b"".join(keys), "<u4").reshape(-1, 4)[:, 0] % n_shards
                 yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], ["shard", "key", "doc_id"])
 
-    return run
+    return tidy(run)
 
 
 def _filter_row(shard: int, held: CuckooFilter | None) -> pa.Table:
@@ -422,4 +422,4 @@ def _without(min_chars: int):
                 arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" and changed else batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return run
+    return tidy(run)

@@ -46,12 +46,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, Scratch, byte_sizes, slices
+from .common import ASCII_SPACE, Scratch, byte_sizes, slices, tidy
 from .components import connected_components
 
 N_COORDS, MATCHES = 48, 22
 #: Text and documents that are shingled at once; the arrays of a slice take about fifty times its text.
-SLICE_BYTES, SLICE_ROWS = 2_000_000, 16_384
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 16_384
 #: Bits of the map of documents whose sets are needed, at most; more documents than an eighth of them pass it more and more by chance, and are told apart behind it.
 MAP_BITS = 1 << 26
 #: Classes and shingles of a block in which links are sought that pivots haven't found, about.
@@ -166,7 +166,7 @@ def _signatures(size: int, seed: int, n_coords: int, in_row: bool):
                 names = ["doc_id", *_KEY, "signature"]
                 yield pa.RecordBatch.from_arrays([*held, row.slice(start, n)] if in_row else held, [*names, "row"] if in_row else names)
 
-    return run
+    return tidy(run)
 
 
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(k, T.LongType()) for k in _KEY), T.StructField("signature", T.ArrayType(T.IntegerType()))])
@@ -187,7 +187,7 @@ def _sets(size: int, seed: int, wanted: np.ndarray):
                 at = np.r_[0, np.cumsum(sizes)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*_classes(hashes, full, starts, n), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64)))], [*_KEY, "shingles"])
 
-    return run
+    return tidy(run)
 
 
 def _marked(ids: DataFrame, bits: int) -> np.ndarray:
