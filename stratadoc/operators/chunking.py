@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import SPACE, language, normalize_for_comparison, split_words, strip
+from ..functions.text import SPACE, blank, language, normalize_for_comparison, split_words, strip
 
 #: Windows of at most so many characters are left out.
 LEAST_CHARS = 50
@@ -93,11 +93,12 @@ def page_chunks(pages: DataFrame, max_words: int = 512) -> DataFrame:
     return out.select("*", F.col("piece.text").alias("text"), F.col("piece.kind").alias("kind"), F.col("piece.blocks").alias("block_ids")).drop("piece")
 
 
-def allowed_pages(pages: DataFrame, *, allow_needs_review: bool = False, strict: bool = False) -> DataFrame:
-    """Accepted pages and, if asked for, those to be reviewed; strict raises for any other instead of leaving it out."""
+def allowed_pages(pages: DataFrame, *, allow_needs_review: bool = False, strict: bool = False, allow_empty: bool = False) -> DataFrame:
+    """Accepted pages and, if asked for, those to be reviewed; strict raises for any other, and for an empty one unless allowed, instead of leaving it out."""
     allowed = (F.col("processing_status") == "accepted") | (F.lit(allow_needs_review) & (F.col("processing_status") == "needs_review"))
     if strict:
-        return pages.where(F.when(allowed & (F.length(strip(F.col("index_text"))) > 0), F.lit(True)).otherwise(F.raise_error(F.lit("a page is failed, unreviewed or empty")).cast("boolean")))
+        whole = F.lit(allow_empty) | ~blank(F.col("index_text"))
+        return pages.where(F.when(allowed & whole, F.lit(True)).otherwise(F.raise_error(F.lit("a page is failed, unreviewed or empty")).cast("boolean")))
     return pages.where(allowed)
 
 
@@ -113,9 +114,9 @@ def document_chunks(pages: DataFrame, acl_groups: list[str], *, allow_needs_revi
     return held.drop("index_text")
 
 
-def page_sized(pages: DataFrame, *, allow_needs_review: bool = False) -> DataFrame:
-    """One chunk a page; a page that isn't allowed raises."""
-    return allowed_pages(pages, allow_needs_review=allow_needs_review, strict=True).select(
+def page_sized(pages: DataFrame, *, allow_needs_review: bool = False, allow_empty: bool = False) -> DataFrame:
+    """One chunk a page; a page that isn't allowed raises, one without text too unless that is allowed."""
+    return allowed_pages(pages, allow_needs_review=allow_needs_review, strict=True, allow_empty=allow_empty).select(
         "*", F.col("index_text").alias("text"), ids.canonical_id("chunk", ids.Plain(F.col("page_id")), ids.Plain(F.lit("page-v1")), ids.Plain(F.lit(0))).alias("chunk_id"), language(F.col("index_text")).alias("lang")
     )
 
