@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -84,6 +85,11 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def normalize_chars(text: Column, *, swap_ligature: bool = True, compose: bool = True) -> Column:
     """Arabic yeh and kaf to their Persian forms, zero-width non-joiner to a space; the swap of lam-alef is optional."""
     out = nfkc(text) if compose else text
