@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import clamp, half_up
-from ..functions.text import ALNUM, blank, compact, count_matches, normalize_ocr, normalize_router, split_words
+from ..functions.text import ALNUM, blank, bound, compact, count_matches, normalize_ocr, normalize_router, split_words
 from . import candidates, layout
 
 #: A word that an engine reads: its text, confidence (negative: none), box and place in the page's structure.
@@ -171,5 +171,6 @@ def inverted(pixels: Column) -> Column:
 
 def stretched(pixels: Column) -> Column:
     """Grey values spread over the whole range; a picture of one value stays."""
-    low, high = F.array_min(pixels), F.array_max(pixels)
-    return F.when(low == high, pixels).otherwise(F.transform(pixels, lambda v: F.floor((v - low) * 255 / (high - low)).cast("int")))
+    spread = lambda p: F.when(p["low"] == p["high"], p["v"]).otherwise(F.transform(p["v"], lambda v: F.floor((v - p["low"]) * 255 / (p["high"] - p["low"])).cast("int")))
+    # the bounds are worked out once a picture, not once a pixel
+    return bound(bound(pixels, lambda v: F.struct(v.alias("v"), F.array_min(v).alias("low"), F.array_max(v).alias("high"))), spread)
