@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import casefold, nfkc, squeeze
+from .text import composed_fold
 
 #: Namespace of canonical ids; a deployment passes its own.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "stratadoc")
@@ -36,7 +36,7 @@ class Plain:
 
 def normalized_part(value: Column) -> Column:
     """Composed, trimmed, case folded, blanks reduced; an empty part raises."""
-    out = squeeze(casefold(nfkc(value.cast("string"))))
+    out = composed_fold(value.cast("string"))
     return F.when(F.length(out) > 0, out).otherwise(F.raise_error(F.lit("identifier parts must not be empty")))
 
 

@@ -137,5 +137,6 @@ def stamped(chunks: DataFrame, tenant_id: str, acl_groups: list[str]) -> DataFra
 def layer_text(native: Column, ocr: Column) -> Column:
     """Both layers of a page, the native one alone where they say the same: composed, case and variants folded, blanks reduced."""
     n, o = strip(F.coalesce(native, F.lit(""))), strip(F.coalesce(ocr, F.lit("")))
-    same = normalize_for_comparison(n) == normalize_for_comparison(o)
+    both = (n != "") & (o != "")  # others aren't compared
+    same = normalize_for_comparison(F.when(both, n)) == normalize_for_comparison(F.when(both, o))
     return F.when(n == "", o).when((o == "") | same, n).otherwise(F.concat(n, F.lit("\n\n"), o))

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import quality
 from ..functions.quality import clamp, half_up
-from ..functions.text import ALNUM, blank, bound, compact, count_matches, normalize_ocr, normalize_router, split_words
-from . import candidates, layout
+from ..functions.text import ODD, blank, bound, normalize_ocr, router_normalized, squeezed_fold
+from . import layout
 
 #: A word that an engine reads: its text, confidence (negative: none), box and place in the page's structure.
 WORD = "struct<text:string,conf:string,left:int,top:int,width:int,height:int,block_num:int,par_num:int,line_num:int>"
@@ -73,18 +75,22 @@ def region_candidates(regions: DataFrame) -> DataFrame:
     The first region of each text counts; confidence weighs words, a region by one at least; coverage is
     that of a region by its share of the page.
     """
-    held = candidates.first_texts(regions, order="region_no")
+    # regions that don't count stay as rows, so that pages without any are there without a join
+    held = regions.withColumn("__key", squeezed_fold(F.col("text")))
+    nth = F.row_number().over(Window.partitionBy("page_id", "__key").orderBy("region_no"))
+    held = held.withColumn("__first", (F.col("__key") != "") & (nth == 1)).drop("__key")
+    box = F.struct("left", "top", "right", "bottom")
+    again = F.coalesce(F.lag(box).over(Window.partitionBy("page_id", "__first").orderBy("region_no")) == box, F.lit(False))
+    held = held.withColumn("__again", F.col("__first") & again)
+    of = lambda value: F.when(F.col("__first"), value)
     weight = F.when(F.col("mean_confidence").isNotNull(), F.greatest(F.col("word_count"), F.lit(1)))
     share = (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")) / F.greatest(F.lit(1), F.col("page_width") * F.col("page_height"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("region_no", "text"))), lambda r: r["text"]), "\n\n")
-    made = held.groupBy("page_id").agg(
-        normalize_ocr(text).alias("text"), half_up(F.sum(F.col("mean_confidence") * weight) / F.sum(weight), 2).alias("mean_confidence"), F.sum("word_count").alias("word_count"),
-        half_up(F.least(F.sum(F.col("coverage") * share), F.lit(1.0)), 6).alias("coverage"), F.count(F.lit(1)).alias("n_regions"),
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(of(F.struct("region_no", "text")))), lambda r: r["text"]), "\n\n")
+    out = held.groupBy("page_id").agg(
+        normalize_ocr(text).alias("text"), half_up(F.sum(of(F.col("mean_confidence") * weight)) / F.sum(of(weight)), 2).alias("mean_confidence"), F.coalesce(F.sum(of(F.col("word_count"))), F.lit(0)).alias("word_count"),
+        F.coalesce(half_up(F.least(F.sum(of(F.col("coverage") * share)), F.lit(1.0)), 6), F.lit(0.0)).alias("coverage"), (~F.max("__again")).alias("reading_order_valid"), F.max("__first").alias("structurally_valid"),
     )
-    order = layout.repeated_boxes(held, order="region_no")
-    out = regions.select("page_id").distinct().join(made, "page_id", "left").join(order, "page_id", "left")
-    out = out.withColumns({"text": F.coalesce("text", F.lit("")), "word_count": F.coalesce("word_count", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0)), "reading_order_valid": F.coalesce("reading_order_valid", F.lit(True))})
-    return out.withColumns({"route": F.lit("region_ocr"), "structurally_valid": F.coalesce(F.col("n_regions") > 0, F.lit(False))}).drop("n_regions")
+    return out.withColumn("route", F.lit("region_ocr"))
 
 
 def needs_ocr(page_type: Column) -> Column:
@@ -103,22 +109,36 @@ def _class(chars: str) -> str:
     return "".join(rf"\x{{{ord(c):x}}}" for c in chars)
 
 
+def _simple_counts(text: str | None) -> tuple[int, ...]:
+    text = router_normalized(text or "")
+    n, meaningful, _ = quality.characters(text, "")
+    words = text.split()
+    plain = [x for w in words if (x := (w if w.isalnum() else ODD.sub("", w)).lower())]
+    return n, meaningful, sum(map(text.count, PUNCTUATION)), sum(map(text.count, SUSPICIOUS)), len(words), len(plain), len(set(plain))
+
+
+_COUNTS = ("n", "meaningful", "marks", "suspicious", "words", "plain", "distinct")
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.IntegerType()) for name in _COUNTS]))
+def simple_counts(texts: pd.Series) -> pd.DataFrame:
+    """What simple_quality weighs, in one pass over a batch; the JVM needs a regular expression each."""
+    return pd.DataFrame([_simple_counts(t) for t in texts], columns=_COUNTS)
+
+
 def simple_quality(text: Column, confidence: Column | None = None) -> Column:
     """0 to 100: letters and digits, valid characters, length and words, less what is suspicious or repeated; with confidence where it is known."""
 
-    def score(t: Column) -> Column:
-        solid = compact(t)
-        n = F.length(solid)
-        words = split_words(t)
-        plain = F.filter(F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_\x{0600}-\x{06FF}]+", ""))), lambda w: w != "")
-        base = count_matches(solid, ALNUM) / n * 35 + count_matches(solid, rf"[\p{{L}}\p{{N}}{_class(PUNCTUATION)}]") / n * 25
-        base = base + F.least(n / 250, F.lit(1.0)) * 20 + F.least(F.size(words) / 35, F.lit(1.0)) * 20 - count_matches(solid, f"[{_class(SUSPICIOUS)}]") / n * 100
-        repeats = (F.size(plain) > 0) & (F.size(F.array_distinct(plain)) / F.size(plain) < 0.25)
+    def score(k: Column) -> Column:
+        n = k["n"]
+        base = k["meaningful"] / n * 35 + (k["meaningful"] + k["marks"]) / n * 25
+        base = base + F.least(n / 250, F.lit(1.0)) * 20 + F.least(k["words"] / 35, F.lit(1.0)) * 20 - k["suspicious"] / n * 100
+        repeats = (k["plain"] > 0) & (k["distinct"] / k["plain"] < 0.25)
         bounded = clamp(F.when(repeats, base - 15).otherwise(base))
         known = bounded if confidence is None else F.when(confidence.isNull(), bounded).otherwise(bounded * 0.55 + clamp(confidence) * 0.45)
         return F.when(n == 0, 0.0).otherwise(F.round(clamp(known), 2))
 
-    return F.transform(F.array(normalize_router(text)), score)[0]
+    return bound(simple_counts(text), score)
 
 
 def simple_gate(*, least_confidence: float = 55.0, least_quality: float = 55.0, least_agreement: float = 55.0, least_characters: int = 10) -> Column:
