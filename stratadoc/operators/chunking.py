@@ -1,29 +1,44 @@
-"""Chunking: sliding windows, articles, structural groups of blocks, page-sized chunks. All by expressions."""
+"""Chunking: sliding windows, articles, structural groups of blocks, page-sized chunks. Words are split and joined in one pass over Arrow batches, the rest is expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import SPACE, blank, language, normalize_for_comparison, split_words, strip
+from ..functions.text import SPACE, blank, language, normalize_for_comparison, strip
 
 #: Windows of at most so many characters are left out.
 LEAST_CHARS = 50
 OVERLAP = 64
 
 
+def windows(text: str | None, size: int, overlap: int) -> list[str]:
+    """What split_fixed gives, in Python."""
+    words = (text or "").split()
+    held = (" ".join(words[i : i + size]) for i in range(0, len(words), size - overlap))
+    return [x for x in held if len(x) > LEAST_CHARS]
+
+
+@lru_cache(16)
+def _windows(size: int, overlap: int) -> Callable[[Column], Column]:
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([windows(x, size, overlap) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return run
+
+
 def split_fixed(text: Column, size: int = 512, overlap: int = OVERLAP) -> Column:
     """Windows of ``size`` words that start every size - overlap words, joined by spaces; short ones are left out."""
     if size <= overlap:
         raise ValueError("size must exceed overlap")
-
-    def windows(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))
-        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " ")), lambda x: F.length(x) > LEAST_CHARS)
-
-    words = split_words(text)
-    return F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, windows(w)).otherwise(F.array().cast("array<string>"))))
+    return _windows(size, overlap)(text)
 
 
 def fixed_chunks(df: DataFrame, text: str = "text", size: int = 512, overlap: int = OVERLAP) -> DataFrame:
@@ -47,48 +62,68 @@ def split_articles(text: Column, mark: str = "ماده") -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)({head}.*?)(?={head}|\z)"), F.lit(1))
 
 
-_STATE = "struct<out:array<struct<text:string,kind:string,blocks:array<string>>>,parts:array<string>,held:array<string>,words:int>"
+_PIECES = "array<struct<text:string,kind:string,blocks:array<string>>>"
+_PIECE = pa.struct([("text", pa.string()), ("kind", pa.string()), ("blocks", pa.list_(pa.string()))])
+
+
+def grouped(blocks: Iterable[tuple[str, str | None, str | None]], max_words: int, overlap: int) -> Iterator[tuple[str, str, list[str]]]:
+    """What structural gives, in Python: text, kind, block ids. A text that is null counts as none."""
+    parts: list[str] = []
+    held: list[str] = []
+    words = 0
+    for name, kind, text in blocks:
+        n = len((text or "").split())
+        if kind == "table" or n > max_words:
+            yield "\n\n".join(parts).strip(), "text", held
+            parts, held, words = [], [], 0
+            alone = [text or ""] if n <= max_words else windows(text, max_words, overlap)
+            yield from ((x.strip(), "table" if kind == "table" else "text", [name]) for x in alone)
+            continue
+        if (kind == "heading" and held) or (words > 0 and words + n > max_words):
+            yield "\n\n".join(parts).strip(), "text", held
+            parts, held, words = [], [], 0
+        if text is not None:
+            parts.append(text)
+        held.append(name)
+        words += n
+    yield "\n\n".join(parts).strip(), "text", held
+
+
+@lru_cache(16)
+def _grouped(max_words: int, overlap: int) -> Callable[[Column], Column]:
+    @F.arrow_udf(_PIECES)
+    def run(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten()
+        named = dict(zip((f.name for f in flat.type), flat.flatten()))
+        blocks = zip(*(named[x].to_pylist() for x in ("block_id", "block_type", "text")))
+        ends, texts, kinds, own = [0], [], [], []
+        for n in rows.value_lengths().fill_null(0).to_pylist():
+            for text, kind, ids_ in grouped(islice(blocks, n), max_words, overlap):
+                if text:
+                    texts.append(text)
+                    kinds.append(kind)
+                    own.append(ids_)
+            ends.append(len(texts))
+        pieces = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((texts, kinds, own), _PIECE)], fields=list(_PIECE))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
+
+    return run
 
 
 def structural(blocks: Column, max_words: int = 512, overlap: int = OVERLAP) -> Column:
     """array<struct<text, kind, blocks>> of array<struct<block_id, block_type, text>> in reading order.
 
     Paragraphs are grouped up to a budget of words. A heading closes an open group, a table stands
-    alone, a block over the budget is split alone. A fold over the blocks with the open group as state.
+    alone, a block over the budget is split alone. One pass over the blocks with the open group as state.
     """
-    overlap = min(overlap, max_words - 1)
-    kind = "array<struct<text:string,kind:string,blocks:array<string>>>"
-    piece = lambda text, kind_, ids_: F.struct(strip(text).alias("text"), kind_.alias("kind"), ids_.alias("blocks"))
-    none = F.array().cast("array<string>")
-
-    def closed(acc: Column) -> Column:
-        return F.when(F.size(acc["parts"]) > 0, F.concat(acc["out"], F.array(piece(F.array_join(acc["parts"], "\n\n"), F.lit("text"), acc["held"])).cast(kind))).otherwise(acc["out"])
-
-    def state(out: Column, parts: Column, held: Column, words: Column) -> Column:
-        return F.struct(out.alias("out"), parts.alias("parts"), held.alias("held"), words.cast("int").alias("words"))
-
-    def step(acc: Column, b: Column) -> Column:
-        n = b["n"]
-        own = F.array(b["block_id"])
-        kind_ = F.when(b["block_type"] == "table", "table").otherwise("text")
-        whole = F.array(piece(b["text"], kind_, own)).cast(kind)
-        cut = F.transform(split_fixed(b["text"], max_words, overlap), lambda t: piece(t, kind_, own)).cast(kind)
-        alone = state(F.concat(closed(acc), F.when((b["block_type"] == "table") & (n <= max_words), whole).otherwise(cut)), none, none, F.lit(0))
-        opens = ((b["block_type"] == "heading") & (F.size(acc["parts"]) > 0)) | ((acc["words"] > 0) & (acc["words"] + n > max_words))
-        begun = state(closed(acc), F.array(b["text"]), own, n)
-        grown = state(acc["out"], F.concat(acc["parts"], F.array(b["text"])), F.concat(acc["held"], own), acc["words"] + n)
-        return F.when((b["block_type"] == "table") | (n > max_words), alone).when(opens, begun).otherwise(grown).cast(_STATE)
-
-    start = state(F.array().cast(kind), none, none, F.lit(0)).cast(_STATE)
-    # words are counted once a block, before the fold
-    sized = F.transform(blocks, lambda b: F.struct(b["block_id"].alias("block_id"), b["block_type"].alias("block_type"), b["text"].alias("text"), F.regexp_count(b["text"], F.lit(f"[^{SPACE[1:-1]}]+")).alias("n")))
-    return F.filter(F.aggregate(sized, start, step, closed), lambda c: c["text"] != "")
+    return _grouped(max_words, min(overlap, max_words - 1))(blocks)
 
 
 def page_chunks(pages: DataFrame, max_words: int = 512) -> DataFrame:
     """Chunks of pages (page_id, index_text, blocks): structural, or fixed windows of the text where there are no blocks."""
-    plain = F.transform(split_fixed(F.col("index_text")), lambda t: F.struct(strip(t).alias("text"), F.lit("text").alias("kind"), F.array().cast("array<string>").alias("blocks")))
-    pieces = F.when(F.coalesce(F.size("blocks"), F.lit(0)) > 0, structural(F.col("blocks"), max_words)).otherwise(plain)
+    there = F.coalesce(F.size("blocks"), F.lit(0)) > 0  # what the other way takes is null, and makes nothing
+    plain = F.transform(split_fixed(F.when(~there, F.col("index_text"))), lambda t: F.struct(strip(t).alias("text"), F.lit("text").alias("kind"), F.array().cast("array<string>").alias("blocks")))
+    pieces = F.concat(structural(F.when(there, F.col("blocks")), max_words), plain)
     out = pages.select(*[c for c in pages.columns if c != "blocks"], F.posexplode(pieces).alias("chunk_index", "piece"))
     return out.select("*", F.col("piece.text").alias("text"), F.col("piece.kind").alias("kind"), F.col("piece.blocks").alias("block_ids")).drop("piece")
 
