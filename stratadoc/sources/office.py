@@ -152,10 +152,17 @@ def docx_blocks(items: DataFrame) -> DataFrame:
 
 
 def plain_chunks(items: DataFrame) -> DataFrame:
-    """Fixed windows of a document's paragraphs, tables aside, joined by line breaks: path, index, text, lang."""
-    from ..functions.text import blank
+    """Fixed windows of a document's paragraphs, tables aside, joined by line breaks: path, index, text, lang.
+
+    items is a row an item, or a row a document (path, items: an array in order); the latter isn't shuffled.
+    Windows are of words, so blank paragraphs are nothing to them.
+    """
     from ..operators.chunking import fixed_chunks
 
-    shown = items.where((F.col("kind") == "paragraph") & ~blank(F.col("text")))
-    whole = shown.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    if "items" in items.columns:
+        texts = F.transform(F.filter("items", lambda i: i["kind"] == "paragraph"), lambda i: i["text"])
+        whole = items.select("path", F.array_join(texts, "\n").alias("body"))
+    else:
+        shown = items.where(F.col("kind") == "paragraph")
+        whole = shown.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "text"))), lambda x: x["text"]), "\n").alias("body"))
     return fixed_chunks(whole, "body").select("path", F.col("chunk_index").alias("index"), F.col("chunk_text").alias("text"), language(F.col("chunk_text")).alias("lang"))
