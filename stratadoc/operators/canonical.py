@@ -38,25 +38,30 @@ def provenance(pipeline: str, version: str, *, digest: str = "source_sha256", at
     )
 
 
+def identified(documents: DataFrame) -> DataFrame:
+    """documents (tenant_id, logical_key, source_name, source_sha256, ...) with document_id and revision_id, digest and name as a manifest has them."""
+    digest = ids.valid_sha256(F.col("source_sha256"))
+    held = documents.withColumn("document_id", ids.canonical_id("document", F.col("tenant_id"), F.col("logical_key")))
+    held = held.withColumn("revision_id", ids.canonical_id("revision", ids.Plain(F.col("document_id")), ids.Plain(digest)))
+    return held.withColumns({"source_name": F.regexp_extract("source_name", r"[^/\\]*$", 0), "source_sha256": digest})
+
+
 def manifests(documents: DataFrame, parser: str, version: str, *, at: datetime | None = None) -> DataFrame:
     """A manifest a document (tenant_id, logical_key, source_name, source_type, source_sha256, file_size_bytes, mime_type, total_pages).
 
     Ids follow from tenant and key, and from the content; of a source only its name is told, never its folder.
     """
-    digest = ids.valid_sha256(F.col("source_sha256"))
-    held = documents.withColumn("document_id", ids.canonical_id("document", F.col("tenant_id"), F.col("logical_key")))
-    held = held.withColumn("revision_id", ids.canonical_id("revision", ids.Plain(F.col("document_id")), ids.Plain(digest)))
+    held = identified(documents)
     metadata = F.col("metadata") if "metadata" in documents.columns else F.create_map().cast("map<string,string>")
     return held.select(
-        "document_id", "revision_id", "tenant_id", F.regexp_extract("source_name", r"[^/\\]*$", 0).alias("source_name"), "source_type", digest.alias("source_sha256"), "file_size_bytes", "mime_type", "total_pages",
+        "document_id", "revision_id", "tenant_id", "source_name", "source_type", "source_sha256", "file_size_bytes", "mime_type", "total_pages",
         F.lit(parser).alias("parser_name"), F.lit(version).alias("parser_version"), (F.lit(at) if at else F.current_timestamp()).alias("created_at"), metadata.alias("metadata"),
     )
 
 
-def _paged(pages: DataFrame, manifests_: DataFrame) -> DataFrame:
-    """pages (document_id, page_index, ...) with the identities of their document."""
-    named = manifests_.select("document_id", "revision_id")
-    held = pages.join(named, "document_id")
+def _paged(pages: DataFrame, manifests_: DataFrame | None) -> DataFrame:
+    """pages (document_id, page_index, ...) with the identities of their document; those that carry its revision_id need no manifests."""
+    held = pages if manifests_ is None else pages.join(manifests_.select("document_id", "revision_id"), "document_id")
     index = F.when(F.col("page_index") >= 0, F.col("page_index")).otherwise(F.raise_error(F.lit("page_index must be 0 or more")).cast("int"))
     return held.withColumns({"page_id": ids.canonical_id("page", ids.Plain(F.col("revision_id")), ids.Plain(index)), "page_number": (F.col("page_index") + 1).cast("int")})
 
@@ -74,13 +79,13 @@ def _assembled(held: DataFrame, text: str, route: str, page_type: Column, candid
     })
 
 
-def native_pages(pages: DataFrame, manifests_: DataFrame) -> DataFrame:
+def native_pages(pages: DataFrame, manifests_: DataFrame | None = None) -> DataFrame:
     """Pages (document_id, page_index, native_text, processing_status, gate_passed) of extractors that read text."""
     held = _paged(pages, manifests_).withColumns({"native_text": F.coalesce("native_text", F.lit("")), "ocr_text": F.lit("")})
     return _assembled(held, "native_text", "native", F.lit("digital"), 0)
 
 
-def ocr_pages(pages: DataFrame, manifests_: DataFrame) -> DataFrame:
+def ocr_pages(pages: DataFrame, manifests_: DataFrame | None = None) -> DataFrame:
     """Pages (document_id, page_index, ocr_text, processing_status, gate_passed) of extractors that read an image."""
     held = _paged(pages, manifests_).withColumns({"ocr_text": F.coalesce("ocr_text", F.lit("")), "native_text": F.lit("")})
     return _assembled(held, "ocr_text", "full_page_ocr", F.lit("scanned"), 1)
@@ -176,7 +181,19 @@ def chunks(pages: DataFrame, blocks_: DataFrame, manifests_: DataFrame, scores:
     """
     packed = blocks_.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "block_id", "block_type", "text"))), lambda b: F.struct(b["block_id"].alias("block_id"), b["block_type"].alias("block_type"), b["text"].alias("text"))).alias("blocks"))
     held = matched(pages.drop("quality_score"), manifests_).join(packed, "page_id", "left").join(scores, ["document_id", "page_number"], "left")
-    held = chunking.document_chunks(held, acl_groups, allow_needs_review=allow_needs_review, max_words=max_words)
+    return nested_chunks(held, acl_groups, extractor=extractor, allow_needs_review=allow_needs_review, max_words=max_words)
+
+
+def nested_blocks(text: str) -> Column:
+    """A paragraph block a line of a page's text, nested in order, as chunks take them; blank lines are none."""
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: ~blank(x))
+    kind = F.lit("paragraph")
+    return F.transform(lines, lambda x, i: F.struct(ids.canonical_id("block", ids.Plain(F.col("page_id")), ids.Plain(kind), ids.Plain(i)).alias("block_id"), kind.alias("block_type"), x.alias("text")))
+
+
+def nested_chunks(pages: DataFrame, acl_groups: list[str], *, extractor: str, allow_needs_review: bool = False, max_words: int = 350) -> DataFrame:
+    """The same of pages that carry their blocks (nested in order), their document's tenant_id, source_name and source_type, and quality_score: nothing is shuffled."""
+    held = chunking.document_chunks(pages, acl_groups, allow_needs_review=allow_needs_review, max_words=max_words)
     place = F.struct(
         F.lit("page").alias("type"), F.col("page_number").alias("num"), "page_id", "document_id", "revision_id", "source_type", F.lit(extractor).alias("extractor_route"), F.col("selected_route").alias("route"),
         "quality_score", F.lit("structural-v1").alias("strategy"), "block_ids", "kind",
@@ -203,10 +220,8 @@ def extracted_chunks(documents: DataFrame, acl_groups: list[str], *, parser: str
     """
     body = F.array_join(F.transform("pages", lambda p: F.coalesce(p, F.lit(""))), "\f")
     held = documents.withColumns({"source_sha256": F.sha2(body, 256), "file_size_bytes": F.octet_length(body).cast("long"), "mime_type": F.lit("text/plain"), "total_pages": F.size("pages")})
-    named = manifests(held, parser, version)
-    keyed = held.withColumn("document_id", ids.canonical_id("document", F.col("tenant_id"), F.col("logical_key")))
-    texts = keyed.select("document_id", F.posexplode("pages").alias("page_index", "raw")).select("document_id", "page_index", normalize_ocr(F.col("raw")).alias("native_text"))
-    pages = native_pages(judged(texts, "native_text"), named)
-    lines = pages.select("page_id", F.posexplode(F.filter(F.split("native_text", "\n"), lambda x: ~blank(x))).alias("reading_order", "text")).withColumn("block_type", F.lit("paragraph"))
+    named = identified(held).select("document_id", "revision_id", "tenant_id", "source_name", "source_type", F.posexplode("pages").alias("page_index", "raw"))
+    pages = native_pages(judged(named.withColumn("native_text", normalize_ocr(F.col("raw"))).drop("raw"), "native_text"))
     empty = {"decision_quality": F.lit(None).cast("double"), "decision_agreement": F.lit(None).cast("double"), "n_fallbacks": F.lit(0)}
-    return chunks(pages, blocks(lines), named, page_scores(pages.withColumns(empty)), acl_groups, extractor=parser, allow_needs_review=allow_needs_review, max_words=max_words)
+    scored = quality.page_quality(pages.withColumns(empty)).withColumns({"quality_score": F.col("score"), "blocks": nested_blocks("native_text")})
+    return nested_chunks(scored.select(*pages.columns, "blocks"), acl_groups, extractor=parser, allow_needs_review=allow_needs_review, max_words=max_words)
