@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import blank, ocr_normalized
 
@@ -84,6 +85,12 @@ def characters(text: str, garbage: str) -> tuple[int, int, int]:
     return int(solid.sum()), int((kinds & _IS_ALNUM > 0).sum()), int((solid & (kinds & _IS_CONTROL > 0)).sum()) + sum(text.count(c) for c in garbage)
 
 
+@F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("meaningful", T.IntegerType())]))
+def solid_counts(texts: pd.Series) -> pd.DataFrame:
+    """Characters of a text as it is but for white space, and of these letters or digits."""
+    return pd.DataFrame([characters(t or "", "")[:2] for t in texts], columns=["n", "meaningful"])
+
+
 def _counted(text: str | None, garbage: str) -> tuple[int, int, int, int, int, str]:
     text = ocr_normalized(text or "")
     n, meaningful, bad = characters(text, garbage)

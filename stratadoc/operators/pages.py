@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ALNUM, compact, count_matches, normalize_ocr, split_words, strip
+from ..functions.quality import solid_counts
+from ..functions.text import blank, normalize_ocr, split_words, strip
 
 
 @dataclass(frozen=True)
@@ -24,9 +25,14 @@ class PagePolicy:
     max_empty_visual: float = 0.003
 
 
+def native_characters(text: Column) -> Column:
+    """Characters but for white space; null of null."""
+    return F.when(text.isNotNull(), solid_counts(text)["n"])
+
+
 def meaningful_ratio(text: Column) -> Column:
-    held = compact(F.coalesce(text, F.lit("")))
-    return F.when(F.length(held) == 0, 0.0).otherwise(F.round(count_matches(held, ALNUM) / F.length(held), 4))
+    counts = solid_counts(text)
+    return F.when(counts["n"] == 0, 0.0).otherwise(F.round(counts["meaningful"] / counts["n"], 4))
 
 
 def evidence(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -35,7 +41,7 @@ def evidence(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     usable = blocks.where((F.length(normalize_ocr(F.col("text"))) > 0) & (F.col("left") >= 0) & (F.col("top") >= 0) & (F.col("right") > F.col("left")) & (F.col("bottom") > F.col("top")))
     n = usable.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_blocks"))
     held = held.join(n, "page_id", "left").fillna(0, ["n_blocks"])
-    return held.withColumns({"native_characters": F.length(compact(F.col("native_text"))), "meaningful_ratio": meaningful_ratio(F.col("native_text"))})
+    return held.withColumns({"native_characters": native_characters(F.col("native_text")), "meaningful_ratio": meaningful_ratio(F.col("native_text"))})
 
 
 def classified(pages: DataFrame, policy: PagePolicy = PagePolicy()) -> DataFrame:
@@ -70,7 +76,7 @@ def routed(pages: DataFrame, preferred: str = "full_page_ocr") -> DataFrame:
     """route, status, passed from page_type, native_text, ocr_text and ocr_passed."""
     if preferred not in ("full_page_ocr", "region_ocr"):
         raise ValueError("preferred must be an OCR route")
-    has = lambda c: F.length(strip(F.coalesce(F.col(c), F.lit("")))) > 0
+    has = lambda c: ~blank(F.col(c))
     native, ocr, passed = has("native_text"), has("ocr_text"), F.col("ocr_passed")
     digital = (F.col("page_type") == "digital") & ~ocr
     return pages.withColumns({
@@ -86,7 +92,7 @@ def decided(pages: DataFrame) -> DataFrame:
     Read: native_text, ocr_text (of the selected or best rejected candidate), selected_route (null: none
     passed), reason (of the selection), page_type, first_type and native_usable (before OCR).
     """
-    has = lambda c: F.length(strip(F.coalesce(F.col(c), F.lit("")))) > 0
+    has = lambda c: ~blank(F.col(c))
     chosen, native = F.col("selected_route").isNotNull(), has("native_text")
     combined = chosen & native & (F.col("page_type") == "mixed")
     plain = (F.col("first_type") == "digital") & F.col("native_usable")
@@ -140,7 +146,7 @@ def renumbered(pages: DataFrame, document: str = "document_id", page: str = "sou
 
 def violations(pages: DataFrame) -> DataFrame:
     """Pages that break an invariant, with its name."""
-    has = lambda c: F.length(strip(F.coalesce(F.col(c), F.lit("")))) > 0
+    has = lambda c: ~blank(F.col(c))
     route, ok = F.col("selected_route"), F.col("processing_status") == "accepted"
     rules = F.array(
         F.when(F.col("page_number") != F.col("page_index") + 1, "page_number"),

@@ -82,8 +82,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page evidence of documents by their whole texts; blank and short pages are rows of their own, with negative ids."""
-    from ..functions.text import compact
-    from ..operators.pages import meaningful_ratio
+    from ..operators.pages import meaningful_ratio, native_characters
 
     c = F.col
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,7 +90,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = docs.unionByName(more)
     n = F.abs("doc_id")
     return held.select(
-        "doc_id", c("text").alias("native_text"), F.length(compact(c("text"))).alias("native_characters"), meaningful_ratio(c("text")).alias("meaningful_ratio"), F.when(n % 9 == 0, 0).otherwise(1).alias("n_blocks"),
+        "doc_id", c("text").alias("native_text"), native_characters(c("text")).alias("native_characters"), meaningful_ratio(c("text")).alias("meaningful_ratio"), F.when(n % 9 == 0, 0).otherwise(1).alias("n_blocks"),
         ((n % 8) / 10.0).cast("double").alias("image_coverage"), ((n % 13) / 200.0).cast("double").alias("visual_ratio"), (n % 4 == 0).alias("has_ocr"),
     )
 
