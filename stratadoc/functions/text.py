@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,6 +162,12 @@ _ocr_texts, _evaluation_texts, _agreement_texts, _comparison_texts = map(_in_pyt
 squeezed_fold, composed_fold = map(_in_python, (_squeezed_fold, _part))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def normalize_ocr_all(texts: pa.Array) -> pa.Array:
+    """normalize_ocr of each text of an array; a null stays one."""
+    return pa.array([row and [x and ocr_normalized(x) for x in row] for row in texts.to_pylist()], pa.list_(pa.string()))
+
+
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with the value worked out once however often f names it."""
     return F.transform(F.array(value), f)[0]

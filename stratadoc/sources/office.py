@@ -139,14 +139,23 @@ def sheet_chunks(cells: DataFrame, *, long_text: float = 40.0, header_share: flo
 
 
 def docx_blocks(items: DataFrame) -> DataFrame:
-    """Body items as blocks: type by style, tables as reading text."""
+    """Body items as blocks: type by style, tables as reading text.
+
+    items is a row an item, or a row a document (path, items: an array in order); the latter isn't shuffled.
+    """
     from ..functions import tables
-    from ..functions.text import normalize_ocr
+    from ..functions.text import normalize_ocr, normalize_ocr_all
     from ..operators.pages import paragraph_type
 
-    grid = tables.padded(F.col("rows"))
-    text = F.when(F.col("kind") == "table", tables.reading_text(grid, F.lit(None).cast("string"))).otherwise(normalize_ocr(F.col("text")))
-    held = items.withColumns({"block_type": F.when(F.col("kind") == "table", "table").otherwise(paragraph_type(F.col("style"))), "text": text})
+    told = lambda rows: tables.reading_text(tables.padded(rows), F.lit(None).cast("string"))
+    kind_of = lambda kind, style: F.when(kind == "table", "table").otherwise(paragraph_type(style))
+    if "items" in items.columns:
+        texts = normalize_ocr_all(F.transform("items", lambda i: F.when(i["kind"] != "table", i["text"])))
+        both = F.zip_with("items", texts, lambda i, t: F.struct(i.alias("i"), F.when(i["kind"] == "table", told(i["rows"])).otherwise(t).alias("t")))
+        held = items.select("path", F.posexplode(F.filter(both, lambda b: F.length(b["t"]) > 0)).alias("reading_order", "b")).select("path", "b.i.*", F.col("b.t").alias("t"), "reading_order")
+        return held.withColumns({"block_type": kind_of(F.col("kind"), F.col("style")), "text": F.col("t")}).drop("t")
+    text = F.when(F.col("kind") == "table", told(F.col("rows"))).otherwise(normalize_ocr(F.col("text")))
+    held = items.withColumns({"block_type": kind_of(F.col("kind"), F.col("style")), "text": text})
     held = held.where(F.length("text") > 0)
     return held.withColumn("reading_order", F.row_number().over(Window.partitionBy("path").orderBy("item_no")) - 1)
 
